@@ -121,7 +121,7 @@ def spread(lengths: np.ndarray, flat: np.ndarray, codes: np.ndarray, offsets: np
 
 
 #: Units whose ids a Python worker remembers; beyond so many it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 @functools.lru_cache(maxsize=2)

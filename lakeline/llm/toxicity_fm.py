@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lakeline.llm.common import append_columns, bounded_sample, fresh, owners, strings, words
 
 #: Labelled rows that the machine is fitted on, at most (those whose id's hash is smallest).
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Buckets of the term hash, a power of two.
 BUCKETS = 1 << 20
 #: Hashed terms that the machine keeps, and its factors' width.
