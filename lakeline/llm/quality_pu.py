@@ -25,6 +25,8 @@ from lakeline.llm.common import append_columns, bounded_sample, owners, sums, te
 #: Positives and unlabelled texts that the network is fitted on, at most (those whose id's hash is smallest).
 FIT_ROWS = 12_000
 HIDDEN = 16
+#: Shares of the positives below the thresholds at which the class prior is read: few, as the least of many is too low.
+PRIOR_AT = (0.0, 0.02, 0.05, 0.1, 0.2)
 MEASURES = ("log_words", "word_chars", "distinct", "repeat_next", "upper", "symbol", "bang", "bar", "digit", "stop", "comma", "line_words", "dup_lines", "top_word", "wide")
 
 
@@ -95,17 +97,17 @@ def back(layers: list[np.ndarray], x: np.ndarray, hidden: np.ndarray, slope: np.
     return [x.T @ inner, inner.sum(0), hidden.T @ slope, np.array([slope.sum()])]
 
 
-def train(good: np.ndarray, other: np.ndarray, prior: float | None, seed: int = 5, epochs: int = 60) -> list[np.ndarray]:
+def train(good: np.ndarray, other: np.ndarray, prior: float | None, seed: int = 5, steps: int = 1200) -> list[np.ndarray]:
     """The network for log-loss. With a prior, by the non-negative risk; without, positives against unlabelled."""
     rng = np.random.default_rng(seed)
     layers = [rng.normal(0, 0.3, (good.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
     state, step = [[np.zeros_like(p), np.zeros_like(p)] for p in layers], 0
     batches = max(1, len(other) // 512)
-    for _ in range(epochs):
+    while step < steps:
         for gi, oi in zip(np.array_split(rng.permutation(len(good)), batches), np.array_split(rng.permutation(len(other)), batches), strict=True):
+            step += 1
             if not len(gi) or not len(oi):
                 continue
-            step += 1
             hg, vg = forward(layers, good[gi])
             ho, vo = forward(layers, other[oi])
             pg, po = sigmoid(vg), sigmoid(vo)
@@ -129,10 +131,10 @@ def train(good: np.ndarray, other: np.ndarray, prior: float | None, seed: int =
 
 
 def class_prior(good: np.ndarray, other: np.ndarray) -> float:
-    """The share of good texts among the others: least ratio of their mass above a threshold that half of the positives pass."""
+    """The share of good texts among the others: least ratio of their mass above a threshold that most positives pass."""
     if not len(good) or not len(other):
         return 0.5
-    ratios = [(other >= t).mean() / (good >= t).mean() for t in np.quantile(good, np.linspace(0.0, 0.5, 51))]
+    ratios = [(other >= t).mean() / (good >= t).mean() for t in np.quantile(good, PRIOR_AT)]
     return float(np.clip(min(ratios), 0.02, 0.98))
 
 
@@ -143,7 +145,7 @@ def learn(good: np.ndarray, other: np.ndarray) -> Model:
     centre, scale = both.mean(0), both.std(0) + 0.05
     good, other = np.clip((good - centre) / scale, -8, 8), np.clip((other - centre) / scale, -8, 8)
     # the prior is read from rows that the plain score was not trained on
-    layers = train(good[::2], other[::2], None, epochs=15)
+    layers = train(good[::2], other[::2], None, steps=400)
     prior = class_prior(forward(layers, good[1::2])[1], forward(layers, other[1::2])[1]) if min(len(good), len(other)) > 3 else 0.5
     return Model(centre, scale, train(good, other, prior), prior)
 

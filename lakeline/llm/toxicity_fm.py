@@ -29,6 +29,8 @@ FIT_ROWS = 8_000
 BUCKETS = 1 << 20
 #: Hashed terms that the machine keeps, and its factors' width.
 TERMS, FACTORS = 1024, 8
+#: Least standard score of a term that is kept.
+LEAST_Z = 4
 #: Toxic rows weigh so many times the others in fitting.
 TOXIC_WEIGHT = 3
 
@@ -99,7 +101,7 @@ def learn(labels: np.ndarray, row: np.ndarray, bucket: np.ndarray, seed: int = 7
     spread = np.sqrt(np.maximum(expected * (1 - toxic.mean()) * (1 - total / n), 1e-9))
     clear = np.where((total >= 4) & (total < n), np.abs(inside - expected) / spread, 0)
     chosen = np.argsort(-clear, kind="stable")[:TERMS]
-    chosen = chosen[clear[chosen] > 4]
+    chosen = chosen[clear[chosen] > LEAST_Z]
     slot[chosen] = np.arange(len(chosen))
     x = np.zeros((n, max(1, len(chosen))), dtype=np.float32)
     known = slot[bucket] >= 0
