@@ -24,8 +24,12 @@ def day(text: str) -> F.Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-LINE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-DELTA = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
+def line_total() -> F.Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
+def stock_delta() -> F.Column:
+    return F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
 
 
 @query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey = 100")
@@ -69,7 +73,7 @@ def order_detail(spark: SparkSession, d: str) -> DataFrame:
     orders = t(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     lines = t(spark, d, "lineitem").where("l_orderkey % 97 = 0")
     part = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return lines.join(orders, "l_orderkey").join(part, "l_partkey").select("l_orderkey", "o_orderdate", "p_name", "l_quantity", LINE.alias("line_total"))
+    return lines.join(orders, "l_orderkey").join(part, "l_partkey").select("l_orderkey", "o_orderdate", "p_name", "l_quantity", line_total().alias("line_total"))
 
 
 @query("""select c_custkey, c_name || ' <' || c_mktsegment || '>' as label, count(*) as n_orders, sum(o_totalprice::decimal(18,2))::double as lifetime
@@ -82,7 +86,7 @@ def customer_lifetime(spark: SparkSession, d: str) -> DataFrame:
 @query("""select p_partkey, coalesce(sum(case when l_returnflag = 'R' then l_quantity else -l_quantity end::decimal(18,2)), 0)::double as net, count(l_partkey) as n_moves
 from part left join (select * from lineitem where l_suppkey % 3 = 0) on p_partkey = l_partkey group by p_partkey""")
 def stock_position(spark: SparkSession, d: str) -> DataFrame:
-    moves = t(spark, d, "lineitem").where("l_suppkey % 3 = 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(money(DELTA).alias("net"), F.count(F.lit(1)).alias("n_moves"))
+    moves = t(spark, d, "lineitem").where("l_suppkey % 3 = 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(money(stock_delta()).alias("net"), F.count(F.lit(1)).alias("n_moves"))
     return t(spark, d, "part").select("p_partkey").join(moves, "p_partkey", "left").select("p_partkey", F.coalesce("net", F.lit(0.0)).alias("net"), F.coalesce("n_moves", F.lit(0)).cast("long").alias("n_moves"))
 
 
@@ -116,7 +120,7 @@ TOP = "select l_partkey as p_partkey, sum((l_extendedprice * (1 - l_discount))::
 
 
 def best_parts(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    sums = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(money(LINE, 4).alias("revenue"))
+    sums = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(money(line_total(), 4).alias("revenue"))
     return sums.orderBy(F.desc("revenue"), "p_partkey").limit(n)
 
 
@@ -202,7 +206,7 @@ from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_
 def spend_by_category(spark: SparkSession, d: str) -> DataFrame:
     orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     part = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return t(spark, d, "lineitem").join(orders, "l_orderkey").join(part, "l_partkey").groupBy("o_custkey", "p_brand").agg(money(LINE, 4).alias("spend"))
+    return t(spark, d, "lineitem").join(orders, "l_orderkey").join(part, "l_partkey").groupBy("o_custkey", "p_brand").agg(money(line_total(), 4).alias("spend"))
 
 
 @query("select p_name, count(l_orderkey) as n_orders from part left join (select * from lineitem where l_quantity >= 45) on p_partkey = l_partkey group by p_name")
