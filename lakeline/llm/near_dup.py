@@ -7,10 +7,13 @@ errors one chunk has at most RADIUS // CHUNKS = 1, and that one error is enumera
 in turn. Documents that share such a key meet in a bucket. At the lowest similarity that links, 0.85, a pair differs in
 more than RADIUS of the values with a chance of about one in a hundred thousand.
 
-Equal sets are first folded into their smallest id. In a bucket every member is compared with the bucket's smallest; most
-groups are connected by that. What remains, members of one bucket that are not yet connected, is compared in blocks, only
-between different components. A pair counts as a link when the whole shingle sets, made anew from the texts, have the
-similarity; so the classes are those of all links within the radius, and no bucket, group or class is capped or collected.
+Equal sets are first folded into their smallest id. In a bucket every member is compared with one: the member that shares
+the most keys with others, which in a group of edited copies is close to all. Most groups are connected by that. What
+remains, members of one bucket that are not yet connected, is compared in blocks, only between different components. For
+those that still have a near signature there, shingles that no other such document has are counted: they bound how much
+two sets can share, and most pairs that are not similar enough go by that bound alone. A pair counts as a link when the
+whole shingle sets, made anew from the texts, have the similarity; so the classes are those of all links within the
+radius, and no bucket, group or class is capped or collected.
 
 Null and empty texts have an empty set and are linked with nothing; texts of one to four words have one shingle, all
 their words; repeated rows with one id are one document (equal texts), a null id stays out of all links and is its own
@@ -33,7 +36,9 @@ SHINGLE = 5
 COMPONENTS, CHUNKS, RADIUS = 32, 8, 15
 PER_CHUNK = COMPONENTS // CHUNKS
 #: Members of a bucket in one block of the comparison that follows.
-BLOCK = 256
+BLOCK = 128
+#: Ids (8 bytes each) that may be broadcast to pick their texts; beyond, the join is left to Spark.
+BROADCAST_IDS = 1_000_000
 #: Multipliers of the shingle hash, odd 64-bit numbers.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -131,6 +136,13 @@ def near(a: str, b: str) -> F.Column:
     return of(a, b)
 
 
+def picked(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents with these ids; rows that share an id are one document."""
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    small = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Of pairs (a, b), those whose whole shingle sets have at least that similarity."""
 
@@ -152,9 +164,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    # one row per id; rows that share an id are one document
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").dropDuplicates(["id"]), "texts")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    needed = written(picked(docs, ids, id_col, text_col), "texts")
     one = needed.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = needed.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -189,45 +200,85 @@ def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct near pairs (a, b) of members of one bucket that are in different components.
-
-    A bucket's members, in order of their components, form blocks of bounded size; each two blocks that don't hold one
-    same component are compared by themselves, so that no bucket has to fit in a task.
-    """
+def mixed_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets that hold several components, in blocks of bounded size, members in order of their components."""
     members = buckets.join(labels, "node")
     mixed_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
     members = members.join(mixed_keys, "key")
-    # a bucket of some thousands is spread by its members' components before its blocks are numbered
+    # a large bucket is spread by its members' components before its blocks are numbered
     spread = members.withColumn("salt", F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("component"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0).cast("long")))
     ordered = spread.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("key", "salt").orderBy("component", "node")) - 1) / BLOCK))
-    block = ordered.groupBy("key", "salt", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature"))).alias("rows"))
-    block = written(block, "blocks")
-    left = block.select("key", F.col("salt").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rows").alias("rows1"))
-    right = block.select("key", F.col("salt").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rows").alias("rows2"))
-    ordered_blocks = F.expr("(s1 < s2 or (s1 = s2 and p1 <= p2)) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
-    tasks = left.join(right, "key").where(ordered_blocks).select("rows1", "rows2")
+    return ordered.groupBy("key", "salt", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature"))).alias("rows"))
+
+
+def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
+    """Compares each two blocks of a bucket that don't hold one same component; pick gives rows from their near members.
+
+    pick((nodes, other columns, near pairs' places) of both blocks) returns a record batch of schema kind.
+    """
+    extra = [c for c in blocks.schema["rows"].dataType.elementType.names if c not in ("node", "component", "signature")]
+    left = blocks.select("key", F.col("salt").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rows").alias("rows1"))
+    right = blocks.select("key", F.col("salt").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rows").alias("rows2"))
+    each_two = F.expr("(s1 < s2 or (s1 = s2 and p1 <= p2)) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
+    tasks = left.join(right, "key").where(each_two).select("rows1", "rows2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            nodes, comps, signatures = (rows.flatten()) if len(rows) else ([], [], [])
-            return nodes.to_numpy(), comps.to_numpy(), np.frombuffer(b"".join(signatures.to_pylist()), dtype="<u2").reshape(-1, COMPONENTS)
+        def of(rows) -> dict:
+            return {"node": rows.field("node").to_numpy(), "component": rows.field("component").to_numpy(), "signature": np.frombuffer(b"".join(rows.field("signature").to_pylist()), dtype="<u2").reshape(-1, COMPONENTS)} | {c: rows.field(c).to_numpy() for c in extra}
 
         for batch in batches:
-            found_a, found_b = [], []
             for one, two in zip(batch.column(0), batch.column(1), strict=True):
-                (n1, c1, s1), (n2, c2, s2) = of(one.values), of(two.values)
-                differ = np.zeros((len(n1), len(n2)), dtype=np.int16)
+                x, y = of(one.values), of(two.values)
+                differ = np.zeros((len(x["node"]), len(y["node"])), dtype=np.int8)
                 for k in range(COMPONENTS):
-                    differ += s1[:, k][:, None] != s2[:, k][None, :]
-                i, j = np.nonzero((differ <= RADIUS) & (c1[:, None] != c2[None, :]))
-                found_a.append(np.minimum(n1[i], n2[j]))
-                found_b.append(np.maximum(n1[i], n2[j]))
-            a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (found_a, found_b))
-            both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+                    differ += x["signature"][:, k][:, None] != y["signature"][:, k][None, :]
+                i, j = np.nonzero((differ <= RADIUS) & (x["component"][:, None] != y["component"][None, :]))
+                if len(i):
+                    yield pick(x, y, i, j)
+
+    return tasks.mapInArrow(run, kind)
+
+
+def active_nodes(blocks: DataFrame) -> DataFrame:
+    """Members that have a near one of another component: each once."""
+    def pick(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([x["node"][i], y["node"][j]])), pa.int64())], names=["node"])
+
+    return unlike(blocks, pick, "node long").distinct()
+
+
+def own_shingles(active: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, own): how many of a document's shingles no other active document has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, 1):
+                hashes, ends = shingle_hashes(piece.column(1))
+                own = [np.unique(hashes[a:b]) for a, b in zip(ends, ends[1:])]
+                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(np.concatenate(own).view(np.int64))], names=["node", "shingle"])
+
+    rows = picked(docs, active.select(F.col("node").alias("id")), id_col, text_col).select("id", "text").mapInArrow(run, "node long, shingle long")
+    # one row per shingle: how many have it, and one that does
+    counts = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    return counts.where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def cross_pairs(blocks: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Distinct near pairs (a, b) of different components whose sets may have the similarity.
+
+    sizes: (node, n, own). Two sets share at most the smaller number of shingles that are not a document's own.
+    """
+    member = blocks.select("key", "salt", "part", "lo", "hi", F.explode("rows").alias("r")).select("key", "salt", "part", "lo", "hi", "r.*").join(sizes, "node")
+    rebuilt = member.groupBy("key", "salt", "part").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature", "n", "own"))).alias("rows"))
+
+    def pick(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        most = np.minimum((x["n"] - x["own"])[i], (y["n"] - y["own"])[j])
+        may = 100 * most >= percent * (x["n"][i] + y["n"][j] - most)
+        one, two = x["node"][i[may]], y["node"][j[may]]
+        both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
 
-    return tasks.mapInArrow(run, "a long, b long").distinct()
+    return unlike(rebuilt, pick, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,15 +289,23 @@ def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
     folded = written(filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "folded")
     nodes = folded.select("node", "signature")
     keyed = keys(nodes)
-    pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "pivot")
-    buckets = written(keyed.join(pivots, "key"), "buckets")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = written(keyed.join(shared, "key"), "buckets")
+    weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = written(buckets.select("key", "node").join(weight, "node"), "weighed")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("p")).select("key", (-F.col("p.node")).alias("pivot"), F.col("p.weight").alias("weight"))
     tips = nodes.select(F.col("node").alias("pivot"), F.col("signature").alias("pivot_signature"))
-    stars = written(buckets.where("node <> pivot").select("pivot", "node").distinct().join(nodes, "node").join(tips, "pivot").where(near("signature", "pivot_signature")).select(F.col("pivot").alias("a"), F.col("node").alias("b")), "stars")
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    edges = weighed.select("key", "node").join(pivots, "key").where("node <> pivot").select("pivot", "weight", "node").distinct()
+    stars = edges.join(nodes, "node").join(tips, "pivot").where(near("signature", "pivot_signature"))
+    first = written(stars.groupBy("node").agg(F.max_by("pivot", F.struct("weight", "pivot")).alias("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "first")
     links = written(confirmed(first, docs, percent, id_col, text_col), "links")
     found = written(components(links), "components")
-    labels = labelled(nodes, found)
-    rest = written(cross_pairs(buckets.select("key", "node"), labels).join(first, ["a", "b"], "left_anti"), "rest")
+    blocks = written(mixed_blocks(buckets.select("key", "node"), labelled(nodes, found)), "blocks")
+    active = written(active_nodes(blocks), "active")
+    own = own_shingles(active, docs, id_col, text_col)
+    set_size = filled.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"))
+    sizes = written(active.join(set_size, "node").join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own")), "sizes")
+    rest = written(cross_pairs(blocks, sizes, percent).join(first, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         more = confirmed(rest, docs, percent, id_col, text_col)
         found = written(components(links.unionByName(more)), "components")
