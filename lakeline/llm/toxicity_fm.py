@@ -31,6 +31,8 @@ BUCKETS = 1 << 20
 TERMS, FACTORS = 1024, 8
 #: Least standard score of a term that is kept.
 LEAST_Z = 4
+#: Most that a term's weight begins with.
+ODDS = 3
 #: Toxic rows weigh so many times the others in fitting.
 TOXIC_WEIGHT = 3
 
@@ -109,7 +111,7 @@ def learn(labels: np.ndarray, row: np.ndarray, bucket: np.ndarray, seed: int = 7
     rng = np.random.default_rng(seed)
     odds = np.log((inside[chosen] + 0.5) / (toxic.sum() + 1)) - np.log((total[chosen] - inside[chosen] + 0.5) / (n - toxic.sum() + 1))
     weight = np.zeros(x.shape[1], dtype=np.float32)
-    weight[: len(chosen)] = np.clip(odds, -2, 2)  # weights begin at the terms' own odds
+    weight[: len(chosen)] = np.clip(odds, -ODDS, ODDS)  # weights begin at the terms' own odds
     factor = rng.normal(0, 0.02, (x.shape[1], FACTORS)).astype(np.float32)
     bias, step = np.float32(np.log(toxic.mean() / (1 - toxic.mean()))), 0
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (weight, factor)]
