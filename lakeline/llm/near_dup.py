@@ -174,10 +174,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Rows (node, component) for all ends of edges (a, b): component is the smallest node reachable.
 
-    Large-star and small-star in turn, until the edges no longer change; each round's edges are written out.
+    Large-star and small-star in turn, until the edges are stars; each round's edges are written out.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -185,10 +184,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = written(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
+        # settled: every node has one target, and no target has one
+        rows, distinct = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if rows == distinct and not edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").take(1):
             break
-        last = now
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -214,8 +213,10 @@ def mixed_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
     """Compares each two blocks of a bucket that don't hold one same component; pick gives rows from their near members.
 
-    pick((nodes, other columns, near pairs' places) of both blocks) returns a record batch of schema kind.
+    pick(columns of the one block, of the other, places of near pairs in both) returns rows (as a matrix) of schema kind.
+    A task gives a row once per batch; rows of a single column, which are no more than its members, once altogether.
     """
+    names = [part.split()[0] for part in kind.split(",")]
     extra = [c for c in blocks.schema["rows"].dataType.elementType.names if c not in ("node", "component", "signature")]
     left = blocks.select("key", F.col("salt").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rows").alias("rows1"))
     right = blocks.select("key", F.col("salt").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rows").alias("rows2"))
@@ -226,7 +227,9 @@ def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
         def of(rows) -> dict:
             return {"node": rows.field("node").to_numpy(), "component": rows.field("component").to_numpy(), "signature": np.frombuffer(b"".join(rows.field("signature").to_pylist()), dtype="<u2").reshape(-1, COMPONENTS)} | {c: rows.field(c).to_numpy() for c in extra}
 
+        seen = np.zeros((0, 1), dtype=np.int64)
         for batch in batches:
+            found = []
             for one, two in zip(batch.column(0), batch.column(1), strict=True):
                 x, y = of(one.values), of(two.values)
                 differ = np.zeros((len(x["node"]), len(y["node"])), dtype=np.int8)
@@ -234,15 +237,21 @@ def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
                     differ += x["signature"][:, k][:, None] != y["signature"][:, k][None, :]
                 i, j = np.nonzero((differ <= RADIUS) & (x["component"][:, None] != y["component"][None, :]))
                 if len(i):
-                    yield pick(x, y, i, j)
+                    found.append(pick(x, y, i, j))
+            if found:
+                rows = np.unique(np.concatenate(found), axis=0)
+                if len(names) == 1:
+                    rows = np.setdiff1d(rows, seen).reshape(-1, 1)
+                    seen = np.union1d(seen, rows).reshape(-1, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, c], pa.int64()) for c in range(len(names))], names=names)
 
     return tasks.mapInArrow(run, kind)
 
 
 def active_nodes(blocks: DataFrame) -> DataFrame:
     """Members that have a near one of another component: each once."""
-    def pick(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([x["node"][i], y["node"][j]])), pa.int64())], names=["node"])
+    def pick(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([x["node"][i], y["node"][j]])).reshape(-1, 1)
 
     return unlike(blocks, pick, "node long").distinct()
 
@@ -271,12 +280,11 @@ def cross_pairs(blocks: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     member = blocks.select("key", "salt", "part", "lo", "hi", F.explode("rows").alias("r")).select("key", "salt", "part", "lo", "hi", "r.*").join(sizes, "node")
     rebuilt = member.groupBy("key", "salt", "part").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature", "n", "own"))).alias("rows"))
 
-    def pick(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    def pick(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         most = np.minimum((x["n"] - x["own"])[i], (y["n"] - y["own"])[j])
         may = 100 * most >= percent * (x["n"][i] + y["n"][j] - most)
         one, two = x["node"][i[may]], y["node"][j[may]]
-        both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
+        return np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
 
     return unlike(rebuilt, pick, "a long, b long").distinct()
 
@@ -308,7 +316,7 @@ def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
     rest = written(cross_pairs(blocks, sizes, percent).join(first, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         more = confirmed(rest, docs, percent, id_col, text_col)
-        found = written(components(links.unionByName(more)), "components")
+        found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     member = folded.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     joined = sketched.join(member, "digest", "left")
     alone = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
