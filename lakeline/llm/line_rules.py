@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 #: The characters that part words, and the counted symbols.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+WORDS_APART = r"[\x20\x09-\x0D]+"
 #: Characters of the punctuation rule, and the most of them in 100 word characters.
 MARKS, MOST_MARKS = "#*$%&<>=_~^!", 10
 #: Bars that make a line navigation, at least, and words per bar, at most.
@@ -39,18 +40,19 @@ def counted(text: F.Column, chars: str) -> F.Column:
     return F.length(text) - F.length(without(text, chars))
 
 
-def bad_line(line: F.Column) -> F.Column:
-    """Whether a line breaks a rule."""
-    chars = F.length(without(line, SPACE))
-    n_words = F.size(F.split(F.trim(F.translate(line, SPACE, " " * len(SPACE))), " +"))
-    bars = counted(line, "|")
-    marks = 100 * counted(line, MARKS) > MOST_MARKS * chars
-    navigation = (bars >= BARS) | ((bars >= 1) & (WORDS_PER_BAR * bars >= n_words))
-    lower = F.lower(line)
-    phrase = lower.contains(PHRASES[0])
-    for p in PHRASES[1:]:
-        phrase = phrase | lower.contains(p)
-    return marks | navigation | (phrase & (n_words <= LONGEST))
+def judged_lines(lines: F.Column) -> F.Column:
+    """Of an array of lines, structs (line, chars, bad); each count is made once, phrases are sought in short lines only."""
+    counts = F.transform(lines, lambda x: F.struct(x.alias("line"), F.length(without(x, SPACE)).cast("long").alias("chars"), counted(x, MARKS).alias("marks"), (F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit("")))).alias("bars"), F.size(F.array_remove(F.split(x, WORDS_APART), "")).alias("n_words")))
+    short = F.transform(counts, lambda y: F.struct(y["line"].alias("line"), y["chars"].alias("chars"), y["marks"].alias("marks"), y["bars"].alias("bars"), y["n_words"].alias("n_words"), F.when(y["n_words"] <= LONGEST, F.lower(y["line"])).alias("low")))
+
+    def bad(y: F.Column) -> F.Column:
+        phrase = F.lit(False)
+        for p in PHRASES:
+            phrase = phrase | y["low"].contains(p)
+        marks = 100 * y["marks"] > MOST_MARKS * y["chars"]
+        return marks | (y["bars"] >= BARS) | ((y["bars"] >= 1) & (WORDS_PER_BAR * y["bars"] >= y["n_words"])) | (y["low"].isNotNull() & phrase)
+
+    return F.transform(short, lambda y: F.struct(y["line"].alias("line"), y["chars"].alias("chars"), bad(y).alias("bad")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,17 +61,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     cut = base.select(
         "doc_id",
-        F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"),
-        F.filter(F.split("t", "\n"), lambda x: without(x, SPACE) != "").alias("lines"),
-        F.length(without(F.col("t"), SPACE)).cast("long").alias("word_chars"),
+        F.array_remove(F.split("t", WORDS_APART), "").alias("w"),
+        F.filter(judged_lines(F.split("t", "\n")), lambda y: y["chars"] > 0).alias("judged"),
         counted(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
     )
     n = F.size("w")
     third = F.greatest(n - 2, F.lit(0))
     places = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     windows = F.arrays_zip(F.slice("w", F.lit(1), third).alias("a"), F.slice("w", F.lit(2), third).alias("b"), F.slice("w", F.lit(3), third).alias("c"), places.alias("p"))
-    judged = F.transform("lines", lambda x: F.struct(F.length(without(x, SPACE)).cast("long").alias("chars"), bad_line(x).alias("bad")))
-    sorted_ = cut.select("doc_id", "word_chars", "n_symbols", n.cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), judged.alias("judged"), F.sort_array(windows).alias("s"))
+    sorted_ = cut.select("doc_id", "n_symbols", n.cast("long").alias("n_words"), (F.size("judged") - F.size(F.array_distinct("judged.line"))).cast("long").alias("n_dup_lines"), F.transform("judged", lambda y: F.struct(y["chars"].alias("chars"), y["bad"].alias("bad"))).alias("judged"), F.sort_array(windows).alias("s"))
     # neighbours in sorted order that are equal windows give the places of all windows found twice or more
     m = F.greatest(F.size("s") - 1, F.lit(0))
     twice = F.zip_with(F.slice("s", F.lit(1), m), F.slice("s", F.lit(2), m), lambda x, y: F.when((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.array(x["p"], y["p"])))
@@ -79,7 +79,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     covered = F.when(k > 0, F.aggregate(F.zip_with("starts", follow, lambda x, y: F.least(F.lit(3), y - x)), F.lit(0), lambda a, x: a + x)).otherwise(0)
     bad = F.filter("judged", lambda x: x["bad"])
     counts = repeated.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"),
+        "doc_id", "n_words", F.aggregate("judged.chars", F.lit(0).cast("long"), lambda a, x: a + x).alias("word_chars"), "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"),
         F.size("judged").cast("long").alias("n_lines"), F.size(bad).cast("long").alias("n_bad_lines"),
         F.aggregate(bad, F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("lost_chars"),
     )
@@ -90,8 +90,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the lines that break a rule removed from their texts."""
-    lines = F.filter(F.split(F.col(text_col), "\n"), lambda x: (without(x, SPACE) == "") | ~bad_line(x))
-    return docs.withColumn(text_col, F.array_join(lines, "\n"))
+    lines = F.filter(judged_lines(F.split(F.col(text_col), "\n")), lambda y: (y["chars"] == 0) | ~y["bad"])
+    return docs.withColumn(text_col, F.array_join(F.transform(lines, lambda y: y["line"]), "\n"))
 
 
 def quoted(text: str) -> str:
