@@ -76,8 +76,9 @@ def test_line_rules_base(spark, odd, none):
 
 
 def test_line_rules_verdict(spark):
-    good = "\n".join(f"Line {i} has some plain words that say number {i * 7} and end here." for i in range(12))
-    menu = "\n".join(f"Home{i} | About{i} | Shop{i} | Help{i} | More{i}" for i in range(30))
+    # twelve lines without a repeated three-word window, so that the base counts pass
+    good = "\n".join(" ".join(f"{w}{i}" for w in "Line has some plain words that say a number and end".split()) + "." for i in range(12))
+    menu = "\n".join(f"Home{i} | About{i} |{i} Shop{i} |{i} Help{i} |{i} More{i}" for i in range(60))
     rows = {x["doc_id"]: x for x in line_rules.judge(spark.createDataFrame([(1, good), (2, good + "\n" + menu[:100]), (3, menu), (4, good + "\nAll rights reserved."), (5, menu + "\n" + good)], "doc_id long, text string")).collect()}
     assert rows[1]["kept"] and rows[1]["n_bad_lines"] == 0 and rows[2]["kept"] and rows[2]["n_bad_lines"] > 0 and not rows[3]["kept"]
     assert rows[4]["kept"] and rows[4]["n_bad_lines"] == 1 and not rows[5]["kept"]
