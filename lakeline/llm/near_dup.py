@@ -199,6 +199,12 @@ def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def first_key(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The place (chunk and left-out value) of the first key that two signatures share: there their pair counts, in other buckets not."""
+    same = (one == two).reshape(-1, CHUNKS, PER_CHUNK)
+    return (same.sum(axis=2, keepdims=True) - same == PER_CHUNK - 1).reshape(-1, COMPONENTS).argmax(axis=1)
+
+
 def mixed_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Buckets that hold several components, in blocks of bounded size, members in order of their components."""
     members = buckets.join(labels, "node")
@@ -214,14 +220,15 @@ def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
     """Compares each two blocks of a bucket that don't hold one same component; pick gives rows from their near members.
 
     pick(columns of the one block, of the other, places of near pairs in both) returns rows (as a matrix) of schema kind.
-    A task gives a row once per batch; rows of a single column, which are no more than its members, once altogether.
+    Each pair is taken up in one bucket, that of its first key. A task gives a row once per batch; rows of a single column,
+    which are no more than its members, once altogether.
     """
     names = [part.split()[0] for part in kind.split(",")]
     extra = [c for c in blocks.schema["rows"].dataType.elementType.names if c not in ("node", "component", "signature")]
     left = blocks.select("key", F.col("salt").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rows").alias("rows1"))
     right = blocks.select("key", F.col("salt").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rows").alias("rows2"))
     each_two = F.expr("(s1 < s2 or (s1 = s2 and p1 <= p2)) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
-    tasks = left.join(right, "key").where(each_two).select("rows1", "rows2")
+    tasks = left.join(right, "key").where(each_two).select("key", "rows1", "rows2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows) -> dict:
@@ -230,14 +237,15 @@ def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
         seen = np.zeros((0, 1), dtype=np.int64)
         for batch in batches:
             found = []
-            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+            for key, one, two in zip(batch.column(0).to_numpy(), batch.column(1), batch.column(2), strict=True):
                 x, y = of(one.values), of(two.values)
                 differ = np.zeros((len(x["node"]), len(y["node"])), dtype=np.int8)
                 for k in range(COMPONENTS):
                     differ += x["signature"][:, k][:, None] != y["signature"][:, k][None, :]
                 i, j = np.nonzero((differ <= RADIUS) & (x["component"][:, None] != y["component"][None, :]))
-                if len(i):
-                    found.append(pick(x, y, i, j))
+                first = first_key(x["signature"][i], y["signature"][j]) == key % COMPONENTS
+                if first.any():
+                    found.append(pick(x, y, i[first], j[first]))
             if found:
                 rows = np.unique(np.concatenate(found), axis=0)
                 if len(names) == 1:
