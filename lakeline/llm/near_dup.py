@@ -164,7 +164,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    ends = [pairs.select(F.col(side).alias("id")).distinct() for side in ("a", "b")]
+    ids = written(ends[0].unionByName(ends[1]).distinct(), "ids")
     needed = written(picked(docs, ids, id_col, text_col), "texts")
     one = needed.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = needed.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
