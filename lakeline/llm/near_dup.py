@@ -4,8 +4,9 @@ A document's set holds its distinct five-word shingles. Its signature has `COMPO
 documents whose sets have Jaccard similarity s differ in each value with a chance of about 1 - s. All pairs whose
 signatures differ in at most `RADIUS` values are found: the signature is split into `CHUNKS` chunks, so that of RADIUS
 errors one chunk has at most RADIUS // CHUNKS = 1, and that one error is enumerated by leaving each value of the chunk out
-in turn. Documents that share such a key meet in a bucket. At the lowest similarity that links, 0.85, a pair differs in
-more than RADIUS of the values with a chance of about one in a hundred thousand.
+in turn. Documents that share such a key meet in a bucket. A pair differs in more than RADIUS of the values with a chance
+(binomial) of about 1 in 290,000 at the similarity 0.85, op10's lowest that links, and of about 1 in 7,000 at 0.8, the
+pipeline's.
 
 Equal sets are first folded into their smallest id. In a bucket every member is compared with one: the member that shares
 the most keys with others, which in a group of edited copies is close to all. Most groups are connected by that. What
