@@ -7,7 +7,7 @@ class and, for a shared entry, one of its distinct words. The sum of a text's lo
 word is scored given all its neighbours, itself left out.
 
 Training is synchronous: in each round every partition of the whole corpus takes gradient steps from the same weights on
-every STRIDE-th word of all its texts, and the partitions' weights are averaged, weighted by their words, by a shuffle in
+every word of all its texts, and the partitions' weights are averaged, weighted by their words, by a shuffle in
 pieces. What is gathered, counts and weights, grows with the corpus.
 
 Null and empty texts have no words and score 0; a single word is predicted from edge marks; repeated rows score alike;
@@ -32,8 +32,8 @@ from lakeline.llm.common import binary_array, slices, strings, words, written
 OWN, SHARED, CLASSES = 4096, 256, 64
 ENTRIES = 1 + OWN + SHARED
 WIDTH, SIDE = 24, (-2, -1, 1, 2)
-#: Every so many words of a text is trained on (another start each round); rounds; words in a gradient step.
-STRIDE, ROUNDS, STEP_WORDS = 16, 2, 2048
+#: Rounds over all words; words in a gradient step.
+ROUNDS, STEP_WORDS = 2, 2048
 #: Weights in one piece of the averaging, partitions summed in one group, and levels of groups (64 ** 3 partitions).
 PIECE, GROUP, LEVELS = 1 << 14, 64, 3
 
@@ -151,18 +151,17 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """The weights after so many rounds over texts (doc_id, entries)."""
     weights = start_weights()
     context = texts.sparkSession.sparkContext
-    for turn in range(rounds):
+    for _ in range(rounds):
         shared = context.broadcast(weights)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, seen = shared.value.copy(), 0
             squares = np.full(len(own), 1e-8, dtype=np.float32)
             for batch in batches:
                 for piece in slices(batch, 0):
                     entries, places = flat_texts(piece.column(0))
-                    chosen = places[(5 * turn) % STRIDE :: STRIDE]
-                    steps(own, squares, entries, chosen)
-                    seen += len(chosen)
+                    steps(own, squares, entries, places)
+                    seen += len(places)
             if seen:
                 cut = [own[i : i + PIECE] for i in range(0, len(own), PIECE)]
                 part = TaskContext.get().partitionId()

@@ -1,0 +1,30 @@
+"""The masked language model's training with the query's own setting."""
+
+import numpy as np
+
+from lakeline.llm import masked_lm
+
+
+def test_every_word_is_a_target(spark):
+    """Each word stands once: only a target moves its neighbours' vectors, so all must have moved."""
+    entries = np.arange(1, 1 + masked_lm.OWN, dtype="<u2")
+    df = spark.createDataFrame([(0, bytearray(entries.tobytes()))], "doc_id long, entries binary")
+    before, after = (masked_lm.parts(w)[0] for w in (masked_lm.start_weights(), masked_lm.trained(df)))
+    moved = (before != after).any(axis=2)
+    # the word before a target stands on its side -1: all words but the last come before one
+    assert moved[masked_lm.SIDE.index(-1), entries[:-1]].all() and moved[masked_lm.SIDE.index(1), entries[1:]].all()
+
+
+def test_query_setting_learns_order(spark):
+    """Words in the order of the corpus are likelier than the same words shuffled, with the query's own rounds."""
+    rng = np.random.default_rng(6)
+    names = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(names[(s + k) % 40] for s in rng.integers(0, 40, n) for k in range(8))
+    docs = [(i, text(60)) for i in range(60)]
+    mixed = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in docs[:10]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    v = masked_lm.vocabulary(df)
+    weights = masked_lm.trained(masked_lm.coded(df, v, "doc_id", "text"))
+    both = spark.createDataFrame(docs[:10] + mixed, "doc_id long, text string")
+    rows = {r["doc_id"]: r["per_word"] for r in masked_lm.scored(masked_lm.coded(both, v, "doc_id", "text"), weights, v).collect()}
+    assert all(rows[i] > rows[1000 + i] + 0.3 for i in range(10))
