@@ -1,106 +1,162 @@
 """Masked pseudo-likelihood of texts.
 
 A bidirectional window network predicts every word from the two words on either side. Words are counted over the whole
-corpus: the commonest have an entry of their own, the others share entries by hash. The network gives the chance of the
-word's class (entry modulo the number of classes) from its neighbours' entries, and the counts give the entry in the
-class and, for a shared entry, one of its distinct words. The sum of a text's log-chances is its score, so that every
-word is scored given all its neighbours, itself left out.
+corpus: the commonest `OWN` have an entry of their own (a documented bound of the network's size), all others share
+`SHARED` entries by hash. The network gives the chance of an entry's class and of the entry in its class, both from the
+same hidden values, so that every entry is predicted from the context. Which word of a shared entry it is follows from
+the counts of all words in the other documents: (n - own + PRIOR) / (mass - own mass + PRIOR * kinds), where `own` is
+what the document itself counts. That table has a row for each word of the corpus and is joined, never held whole. The
+sum of a text's log-chances is its score; so every word is scored given all its neighbours, itself left out.
 
 Training is synchronous: in each round every partition of the whole corpus takes gradient steps from the same weights on
 every word of all its texts, and the partitions' weights are averaged, weighted by their words, by a shuffle in
 pieces. What is gathered, counts and weights, grows with the corpus.
 
-Null and empty texts have no words and score 0; a single word is predicted from edge marks; repeated rows score alike;
-an empty table gives no rows; other columns don't matter.
+Words are told apart by a 64-bit hash. Texts are cut into words once, in slices of about 4 MB; a longer text is a slice of
+its own. Null and empty texts have no words and score 0; a single word is predicted from edge marks; repeated rows
+score alike; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.llm.common import binary_array, slices, strings, words, written
+from lakeline.llm.common import binary_array, slices, strings, sums, words, written
 
-#: Words with an entry of their own, shared entries, classes; entry 0 marks a text's edges.
+#: Words with an entry of their own, shared entries, classes of entries; entry 0 marks a text's edges.
 OWN, SHARED, CLASSES = 4096, 256, 64
-ENTRIES = 1 + OWN + SHARED
-WIDTH, SIDE = 24, (-2, -1, 1, 2)
-#: Rounds over all words; words in a gradient step.
-ROUNDS, STEP_WORDS = 2, 2048
-#: Weights in one piece of the averaging, partitions summed in one group, and levels of groups (64 ** 3 partitions).
-PIECE, GROUP, LEVELS = 1 << 14, 64, 3
+ENTRIES, IN_CLASS = 1 + OWN + SHARED, (OWN + SHARED) // CLASSES
+WIDTH, SIDE = 16, (-2, -1, 1, 2)
+#: Rounds over all words; words in a gradient step: at first, and at most (a step has an eighth of the words before it).
+ROUNDS, FIRST_WORDS, STEP_WORDS = 2, 512, 16384
+#: What is added to the count of every word of a shared entry.
+PRIOR = 0.1
+#: Weights in one piece of the averaging, and partitions summed in one group.
+PIECE, GROUP = 1 << 14, 64
 
 
 @dataclass
 class Vocabulary:
-    entry: dict[str, int]
-    log_in_class: np.ndarray  # of an entry: log chance of it in its class, and of one of its words
+    own: np.ndarray  # hashes of the words with an own entry, ascending
+    rank: np.ndarray  # their places by count, from 0
+    mass: np.ndarray  # of an entry: occurrences
+    kinds: np.ndarray  # of an entry: distinct words
 
+    def entries(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' entries."""
+        shared = (1 + OWN + hashes % SHARED).astype(np.uint16)
+        if not len(self.own):
+            return shared
+        at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+        return np.where(self.own[at] == hashes, 1 + self.rank[at], shared).astype(np.uint16)
 
-def shared_entry(word: str) -> int:
-    return 1 + OWN + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
 
-
-def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """Rows (word, n) over all texts."""
+def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Two kinds of rows: (slice, doc_id, codes) of each text, codes being the numbers (32 bits) of its words in the slice,
+    and (slice, hashes, counts) of each slice's distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for piece in slices(batch, 0):
-                distinct, codes, _ = words(piece.column(0))
-                yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], names=["word", "n"])
+            for piece in slices(batch, 1):
+                distinct, codes, offsets = words(piece.column(1))
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in strings(distinct.cast(pa.binary()))), dtype=np.uint64, count=len(distinct)).view(np.int64)
+                n, none = len(piece), lambda k, kind: pa.nulls(k, kind)
+                longs = pa.list_(pa.int64())
+                flat = codes.astype("<i4") if len(codes) else np.zeros(0, dtype="<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), piece.column(0), binary_array(flat.view(np.uint8), offsets * 4), none(n, longs), none(n, longs)], names=names)
+                counts = np.bincount(codes, minlength=len(distinct)) if len(codes) else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), none(1, pa.int64()), none(1, pa.binary()), pa.array([hashes], longs), pa.array([counts], longs)], names=names)
+                number += 1
+
+    names = ["slice", "doc_id", "codes", "hashes", "counts"]
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "slice long, doc_id long, codes binary, hashes array<long>, counts array<long>")
 
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def word_rows(pieces: DataFrame, without: np.ndarray | None = None) -> DataFrame:
+    """Rows (slice, at, h, n): a slice's distinct words, those of the ascending hashes in `without` left out."""
+    shared = pieces.sparkSession.sparkContext.broadcast(without)
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    counts = written(count_words(docs, text_col), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN).toArrow()
-    entry = {w: 1 + i for i, w in enumerate(top["word"].to_pylist())}
-    mass, kinds = np.ones(ENTRIES), np.ones(ENTRIES)
-    mass[1 : 1 + len(entry)] = top["n"].to_numpy()
-    own = counts.orderBy(F.desc("n"), "word").limit(OWN).select("word")
-    rest = counts.join(F.broadcast(own), "word", "left_anti").groupBy((F.crc32(F.encode("word", "UTF-8")) % SHARED).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toArrow()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                h, n = hashes.values.to_numpy(), counts.values.to_numpy()
+                keep = np.flatnonzero(~np.isin(h, shared.value)) if shared.value is not None else np.arange(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), number)), pa.array(keep.astype(np.int32)), pa.array(h[keep]), pa.array(n[keep])], names=["slice", "at", "h", "n"])
+
+    return pieces.where("hashes is not null").select("slice", "hashes", "counts").mapInArrow(run, "slice long, at int, h long, n long")
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """counts: (h, n) of all words. At most OWN + SHARED rows come to the driver."""
+    top = counts.orderBy(F.desc("n"), "h").limit(OWN).toArrow()
+    own = top["h"].to_numpy()
+    mass, kinds = np.zeros(ENTRIES), np.zeros(ENTRIES)
+    mass[1 : 1 + len(own)], kinds[1 : 1 + len(own)] = top["n"].to_numpy(), 1
+    least = counts.sparkSession.createDataFrame([(int(h),) for h in own], "h long")
+    rest = counts.join(F.broadcast(least), "h", "left_anti").groupBy(F.pmod("h", F.lit(SHARED)).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toArrow()
     at = 1 + OWN + rest["b"].to_numpy().astype(np.int64)
     mass[at], kinds[at] = rest["n"].to_numpy(), rest["kinds"].to_numpy()
-    of_class = np.bincount(np.arange(ENTRIES) % CLASSES, mass, minlength=CLASSES)
-    return Vocabulary(entry, np.log(mass / of_class[np.arange(ENTRIES) % CLASSES] / kinds))
+    order = np.argsort(own)
+    return Vocabulary(own[order], order, mass, kinds)
 
 
-def coded(docs: DataFrame, v: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, entries): each text's entries, 16 bits each."""
-    shared = docs.sparkSession.sparkContext.broadcast(v)
+def slice_texts(rows: pa.Table, found: pa.Table, v: Vocabulary) -> pa.Table:
+    """(doc_id, entries, share) of a slice's texts: 16 bits a word, and the sum of its words' log-shares of their entries."""
+    hashes = np.concatenate([x.values.to_numpy() for x in rows["hashes"] if x.is_valid])
+    entry, n = v.entries(hashes), np.zeros(len(hashes))
+    n[found["at"].to_numpy()] = found["n"].to_numpy()
+    texts = rows.filter(pc.is_valid(rows["codes"])).combine_chunks()
+    sizes = pc.binary_length(texts["codes"]).to_numpy().astype(np.int64) // 4
+    codes = np.frombuffer(b"".join(texts["codes"].to_pylist()), dtype="<i4")
+    entries, doc = entry[codes], np.repeat(np.arange(len(sizes)), sizes)
+    rare = entries > OWN
+    pair, own = np.unique(doc[rare] * max(1, len(hashes)) + codes[rare], return_counts=True)
+    of, word = np.divmod(pair, max(1, len(hashes)))
+    bucket = entry[word].astype(np.int64) - 1 - OWN
+    own_mass = np.bincount(of * SHARED + bucket, own, minlength=len(sizes) * SHARED)[of * SHARED + bucket]
+    share = np.log((n[word] - own + PRIOR) / (v.mass[entry[word]] - own_mass + PRIOR * v.kinds[entry[word]]))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.table({"doc_id": texts["doc_id"], "entries": binary_array(entries.astype("<u2").view(np.uint8), ends * 2), "share": pa.array(np.bincount(of, own * share, minlength=len(sizes)), pa.float64())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry = shared.value.entry
-        for batch in batches:
-            for piece in slices(batch, 1):
-                distinct, codes, offsets = words(piece.column(1))
-                own = np.array([entry.get(w) or shared_entry(w) for w in strings(distinct)], dtype="<u2")
-                flat = own[codes] if len(codes) else np.zeros(0, dtype="<u2")
-                yield pa.RecordBatch.from_arrays([piece.column(0), binary_array(flat.view(np.uint8), offsets * 2)], names=["doc_id", "entries"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, entries binary")
+def coded(pieces: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFrame:
+    """Rows (doc_id, entries, share) of all texts. A slice's rows meet its words' counts; words with an own entry need none."""
+    shared = pieces.sparkSession.sparkContext.broadcast(v)
+    rare = word_rows(pieces, v.own).select("slice", "at", "h").join(counts, "h").select("slice", "at", "n")
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return slice_texts(rows, found, shared.value)
+
+    return pieces.select("slice", "doc_id", "codes", "hashes").groupBy("slice").cogroup(rare.groupBy("slice")).applyInArrow(run, "doc_id long, entries binary, share double")
+
 
+def start_weights(v: Vocabulary) -> np.ndarray:
+    """All weights in one row: a vector per entry and side, hidden biases, classes, entries in their classes.
 
-def start_weights() -> np.ndarray:
-    """All weights in one row: a vector per entry and side, hidden biases, classes by width, class biases."""
+    The biases begin at the counts, so that without training an entry's chance is its share of the corpus.
+    """
     rng = np.random.default_rng(11)
-    return np.concatenate([rng.normal(0, 0.1, len(SIDE) * ENTRIES * WIDTH), np.zeros(WIDTH), rng.normal(0, 0.1, WIDTH * CLASSES), np.zeros(CLASSES)]).astype(np.float32)
+    mass = (v.mass[1:] + PRIOR).reshape(CLASSES, IN_CLASS)
+    of_class = mass.sum(axis=1)
+    vectors, none = rng.normal(0, 0.1, len(SIDE) * ENTRIES * WIDTH), lambda n: np.zeros(n * WIDTH)
+    return np.concatenate([vectors, none(1), none(CLASSES), np.log(of_class / of_class.sum()), none(CLASSES * IN_CLASS), np.log(mass / of_class[:, None]).ravel()]).astype(np.float32)
 
 
-def parts(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    a = len(SIDE) * ENTRIES * WIDTH
-    b = a + WIDTH
-    c = b + WIDTH * CLASSES
-    return weights[:a].reshape(len(SIDE), ENTRIES, WIDTH), weights[a:b], weights[b:c].reshape(WIDTH, CLASSES), weights[c:]
+def parts(weights: np.ndarray) -> list[np.ndarray]:
+    """Vectors, hidden biases, classes, class biases, entries by class, their biases: views of one row of weights."""
+    shapes = ((len(SIDE), WIDTH, ENTRIES), (WIDTH,), (CLASSES, WIDTH), (CLASSES,), (CLASSES, IN_CLASS, WIDTH), (CLASSES, IN_CLASS))
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])
+    return [weights[e - int(np.prod(s)) : e].reshape(s) for s, e in zip(shapes, ends, strict=True)]
 
 
 def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,43 +169,73 @@ def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, places
 
 
-def forward(weights: np.ndarray, entries: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values and log-chances of the classes at places."""
-    vectors, bias, classes, class_bias = parts(weights)
-    hidden = bias + vectors[0][entries[at + SIDE[0]]]
-    for side in range(1, len(SIDE)):
-        hidden += vectors[side][entries[at + SIDE[side]]]
-    np.tanh(hidden, out=hidden)
-    value = hidden @ classes + class_bias
-    value -= value.max(axis=1, keepdims=True)
-    return hidden, value - np.log(np.exp(value).sum(axis=1, keepdims=True))
+def softmax(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of values turned, in place, into the exponentials of their distances from the largest, and these columns' sums."""
+    value -= value.max(axis=0)
+    np.exp(value, out=value)
+    return value, value.sum(axis=0)
 
 
-def steps(weights: np.ndarray, squares: np.ndarray, entries: np.ndarray, places: np.ndarray, rate: float = 0.05) -> None:
-    """Gradient steps (with AdaGrad) on the words at places, weights changed in place."""
-    vectors, bias, classes, class_bias = parts(weights)
-    s_vectors, s_bias, s_classes, s_class_bias = parts(squares)
-    for begin in range(0, len(places), STEP_WORDS):
-        at = places[begin : begin + STEP_WORDS]
-        hidden, log_chance = forward(weights, entries, at)
-        slope = np.exp(log_chance)
-        slope[np.arange(len(at)), entries[at] % CLASSES] -= 1
-        slope /= np.float32(len(at))
-        inner = (slope @ classes.T) * (1 - hidden**2)
-        for p, s, g in ((classes, s_classes, hidden.T @ slope), (class_bias, s_class_bias, slope.sum(0)), (bias, s_bias, inner.sum(0))):
-            s += g * g
-            p -= np.float32(rate) * g / (np.sqrt(s) + np.float32(1e-6))
+def forward(weights: np.ndarray, entries: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """Of places whose targets are in order of their classes: hidden values, (class, from, to) of the places, and the values
+    of all classes and of the entries in the target's class, before the softmax; a column per place."""
+    vectors, bias, classes, class_bias, inner, inner_bias = parts(weights)
+    hidden = vectors[0].take(entries[at + SIDE[0]], axis=1)
+    for side in range(1, len(SIDE)):
+        hidden += vectors[side].take(entries[at + SIDE[side]], axis=1)
+    hidden += bias[:, None]
+    np.tanh(hidden, out=hidden)
+    bounds = np.searchsorted((entries[at] - 1) // IN_CLASS, np.arange(CLASSES + 1)).tolist()
+    runs = [(c, a, b) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+    within = np.empty((IN_CLASS, len(at)), dtype=np.float32)
+    for c, a, b in runs:
+        within[:, a:b] = inner[c] @ hidden[:, a:b] + inner_bias[c][:, None]
+    return hidden, runs, classes @ hidden + class_bias[:, None], within
+
+
+def by_class(entries: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order of places by their targets' classes."""
+    return np.argsort(((entries[at] - 1) // IN_CLASS).astype(np.uint8), kind="stable")
+
+
+def steps(weights: np.ndarray, squares: np.ndarray, entries: np.ndarray, places: np.ndarray, seen: int = 0, rate: float = 0.05) -> None:
+    """Gradient steps (with AdaGrad) on the words at places, after so many seen, weights changed in place."""
+    vectors, _, classes, _, inner, inner_bias = own = parts(weights)
+    held = parts(squares)
+    end = 0
+    while end < len(places):
+        begin, end = end, end + min(STEP_WORDS, max(FIRST_WORDS, (seen + end) // 8))
+        at = places[begin:end]
+        at = at[by_class(entries, at)]
+        column, target = np.arange(len(at)), entries[at] - 1
+        hidden, runs, slope, within = forward(weights, entries, at)
+        for value in (slope, within):
+            value /= softmax(value)[1]
+        slope[target // IN_CLASS, column] -= 1
+        within[target % IN_CLASS, column] -= 1
+        back = classes.T @ slope
+        g_inner, g_inner_bias = np.zeros_like(inner), np.zeros_like(inner_bias)
+        for c, a, b in runs:
+            back[:, a:b] += inner[c].T @ within[:, a:b]
+            g_inner[c], g_inner_bias[c] = within[:, a:b] @ hidden[:, a:b].T, within[:, a:b].sum(axis=1)
+        g_classes = slope @ hidden.T
+        back *= 1 - hidden * hidden
+        g_vectors = np.empty_like(vectors)
         for side, distance in enumerate(SIDE):
-            seen, index = np.unique(entries[at + distance], return_inverse=True)
-            g = np.zeros((len(seen), WIDTH), dtype=np.float32)
-            np.add.at(g, index, inner)
-            s_vectors[side][seen] += g * g
-            vectors[side][seen] -= np.float32(rate) * g / (np.sqrt(s_vectors[side][seen]) + np.float32(1e-6))
+            beside = entries[at + distance]
+            for k in range(WIDTH):
+                g_vectors[side, k] = np.bincount(beside, back[k], minlength=ENTRIES)
+        for p, s, g in zip(own, held, (g_vectors, back.sum(axis=1), g_classes, slope.sum(axis=1), g_inner, g_inner_bias), strict=True):
+            g /= np.float32(len(at))
+            s += g * g
+            g /= np.sqrt(s) + np.float32(1e-6)
+            g *= np.float32(rate)
+            p -= g
 
 
-def trained(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights after so many rounds over texts (doc_id, entries)."""
-    weights = start_weights()
+def trained(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights after so many rounds over texts (doc_id, entries, ..)."""
+    weights = start_weights(v)
     context = texts.sparkSession.sparkContext
     for _ in range(rounds):
         shared = context.broadcast(weights)
@@ -160,7 +246,7 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             for batch in batches:
                 for piece in slices(batch, 0):
                     entries, places = flat_texts(piece.column(0))
-                    steps(own, squares, entries, places)
+                    steps(own, squares, entries, places, seen)
                     seen += len(places)
             if seen:
                 cut = [own[i : i + PIECE] for i in range(0, len(own), PIECE)]
@@ -172,43 +258,56 @@ def trained(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             return pa.table({"piece": rows["piece"][:1], "part": pa.array([rows["part"][0].as_py() // GROUP], pa.int32()), "n": pa.array([sum(rows["n"].to_pylist())]), "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
         kind = "piece int, part int, n double, w binary"
-        sums = texts.select("entries").mapInArrow(run, kind)
-        for _ in range(LEVELS):
-            sums = sums.groupBy("piece", F.floor(F.col("part") / GROUP)).applyInArrow(add, kind)
-        rows = sums.orderBy("piece").toArrow()
+        total = texts.select("entries").mapInArrow(run, kind)
+        left = texts.rdd.getNumPartitions()
+        while left > 1:  # groups of groups, until each piece has one row
+            total = total.groupBy("piece", F.floor(F.col("part") / GROUP)).applyInArrow(add, kind)
+            left = -(-left // GROUP)
+        rows = total.orderBy("piece").toArrow()
         if rows.num_rows:
             weights = np.concatenate([np.frombuffer(w, dtype=np.float32) / np.float32(n) for w, n in zip(rows["w"].to_pylist(), rows["n"].to_pylist(), strict=True)])
     return weights
 
 
-def log_chances(weights: np.ndarray, log_in_class: np.ndarray, entries: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The log-chance of every word."""
+def log_chances(weights: np.ndarray, entries: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The log-chance of the entry at every place."""
     out = np.zeros(len(places))
-    for begin in range(0, len(places), 8192):
-        at = places[begin : begin + 8192]
-        out[begin : begin + len(at)] = forward(weights, entries, at)[1][np.arange(len(at)), entries[at] % CLASSES] + log_in_class[entries[at]]
+    for begin in range(0, len(places), STEP_WORDS):
+        at = places[begin : begin + STEP_WORDS]
+        order = by_class(entries, at)
+        at = at[order]
+        _, _, *values = forward(weights, entries, at)
+        column, target = np.arange(len(at)), entries[at] - 1
+        for value, place in zip(values, (target // IN_CLASS, target % IN_CLASS), strict=True):
+            value, total = softmax(value)
+            out[begin + order] += np.log(np.maximum(value[place, column], 1e-30) / total)
     return out
 
 
-def scored(texts: DataFrame, weights: np.ndarray, v: Vocabulary) -> DataFrame:
-    """Rows (doc_id, n_words, log_likelihood, per_word) of texts (doc_id, entries)."""
-    shared = texts.sparkSession.sparkContext.broadcast((weights, v.log_in_class))
+def scored(texts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Rows (doc_id, n_words, log_likelihood, per_word) of texts (doc_id, entries, share)."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 1):
                 entries, places = flat_texts(piece.column(1))
                 n = np.array([len(x) // 2 for x in piece.column(1).to_pylist()], dtype=np.int64)
-                total = np.concatenate([[0.0], np.cumsum(log_chances(*shared.value, entries, places))])
-                ends = np.cumsum(n)
-                value = total[ends] - total[ends - n]
+                value = sums(log_chances(shared.value, entries, places), np.concatenate([[0], np.cumsum(n)])) + piece.column(2).to_numpy()
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(value), pa.array(value / np.maximum(n, 1))], names=["doc_id", "n_words", "log_likelihood", "per_word"])
 
-    return texts.select("doc_id", "entries").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+    return texts.select("doc_id", "entries", "share").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+
+
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Vocabulary]:
+    """The coded texts (doc_id, entries, share) and the vocabulary."""
+    pieces = written(cut(docs, id_col, text_col), "pieces")
+    counts = written(word_rows(pieces).groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    v = vocabulary(counts)
+    return written(coded(pieces, counts, v), "coded"), v
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Trains on docs and scores each of them: rows (doc_id, n_words, log_likelihood, per_word)."""
-    v = vocabulary(docs, text_col)
-    texts = written(coded(docs, v, id_col, text_col), "coded")
-    return scored(texts, trained(texts), v)
+    texts, v = prepared(docs, id_col, text_col)
+    return scored(texts, trained(texts, v, rounds))

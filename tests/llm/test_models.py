@@ -1,13 +1,10 @@
-"""Toxicity, quality, language and masked language model: held-out accuracy, brute force, odd rows."""
+"""Toxicity, quality and language: held-out accuracy, brute force, odd rows."""
 
-import math
 import zlib
 
 import numpy as np
-import pyarrow as pa
-import pytest
 
-from lakeline.llm import language_bloom, masked_lm, quality_pu, queries, toxicity_fm
+from lakeline.llm import language_bloom, quality_pu, queries, toxicity_fm
 from tests.llm.conftest import ODD
 
 SF = "/root/testdata/sf0.01"
@@ -145,46 +142,3 @@ def test_language_odd_rows(spark, odd, none):
     assert language_bloom.predict(none, m, lang_out="lp", score_out="ls").count() == 0
     kept = language_bloom.reject(odd, m)
     assert kept.columns == odd.columns and kept.count() <= len(ODD) - 4
-
-
-def test_masked_lm_is_the_formula():
-    """A word's chance by plain loops, and that all words of a class sum to one."""
-    weights = masked_lm.start_weights()
-    vectors, bias, classes, class_bias = masked_lm.parts(weights)
-    entries, places = masked_lm.flat_texts(pa.array([np.array([5, 7, 5, 4200], dtype="<u2").tobytes(), b""], pa.binary()))
-    assert entries.tolist() == [0, 0, 5, 7, 5, 4200, 0, 0, 0, 0, 0, 0] and places.tolist() == [2, 3, 4, 5]
-    inner = np.random.default_rng(0).normal(size=masked_lm.ENTRIES)
-    found = masked_lm.log_chances(weights, inner, entries, places)
-    for i, p in enumerate(places):
-        h = np.tanh(bias + sum(vectors[s][entries[p + d]] for s, d in enumerate(masked_lm.SIDE)))
-        z = h @ classes + class_bias
-        assert math.isclose(found[i], z[entries[p] % masked_lm.CLASSES] - np.log(np.exp(z).sum()) + inner[entries[p]], rel_tol=1e-4)
-
-
-def test_masked_lm_query(spark):
-    rows = queries.op7_masked_lm(spark, SF).collect()
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    assert {r["doc_id"]: r["n_words"] for r in rows} == {i: len(t.encode().split()) for i, t in docs.items()}
-    assert all(math.isclose(r["per_word"] * r["n_words"], r["log_likelihood"], rel_tol=1e-9) for r in rows)
-
-
-def test_masked_lm_learns_order(spark):
-    """Words in the order of the corpus are likelier than the same words shuffled."""
-    rng = np.random.default_rng(6)
-    names = [f"w{i}" for i in range(40)]
-    text = lambda n: " ".join(names[(s + k) % 40] for s in rng.integers(0, 40, n) for k in range(8))
-    docs = [(i, text(60)) for i in range(60)]
-    mixed = [(1000 + i, " ".join(rng.permutation(t.split()))) for i, t in docs[:10]]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
-    v = masked_lm.vocabulary(df)
-    weights = masked_lm.trained(masked_lm.coded(df, v, "doc_id", "text"), rounds=6)
-    both = spark.createDataFrame(docs[:10] + mixed, "doc_id long, text string")
-    rows = {r["doc_id"]: r["per_word"] for r in masked_lm.scored(masked_lm.coded(both, v, "doc_id", "text"), weights, v).collect()}
-    assert all(rows[i] > rows[1000 + i] + 0.3 for i in range(10))
-
-
-def test_masked_lm_odd_rows(spark, odd, none):
-    rows = {r["doc_id"]: r for r in masked_lm.score(odd).collect()}
-    assert len(rows) == len(ODD) and all(rows[i]["log_likelihood"] == 0 and rows[i]["n_words"] == 0 for i in (0, 1, 2))
-    assert rows[5]["log_likelihood"] == pytest.approx(rows[6]["log_likelihood"]) and rows[3]["log_likelihood"] < 0
-    assert masked_lm.score(none).count() == 0
