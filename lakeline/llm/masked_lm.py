@@ -4,13 +4,14 @@ A bidirectional window network predicts every word from the two words on either
 corpus: the commonest `OWN` have an entry of their own (a documented bound of the network's size), all others share
 `SHARED` entries by hash. The network gives the chance of an entry's class and of the entry in its class, both from the
 same hidden values, so that every entry is predicted from the context. Which word of a shared entry it is follows from
-the counts of all words in the other documents: (n - own + PRIOR) / (mass - own mass + PRIOR * kinds), where `own` is
-what the document itself counts. That table has a row for each word of the corpus and is joined, never held whole. The
-sum of a text's log-chances is its score; so every word is scored given all its neighbours, itself left out.
+its count in the other documents, (n - own + PRIOR) / (mass + PRIOR * kinds), where `own` is what the document itself
+counts, and mass and kinds are the shared entry's occurrences and distinct words. These counts have a row for each
+document and word; they are summed up by a shuffle and never held whole. The sum of a text's log-chances is its score; so
+every word is scored given all its neighbours, itself left out.
 
-Training is synchronous: in each round every partition of the whole corpus takes gradient steps from the same weights on
-every word of all its texts, and the partitions' weights are averaged, weighted by their words, by a shuffle in
-pieces. What is gathered, counts and weights, grows with the corpus.
+Training is synchronous: a round goes over every word of all texts, in `LEGS` parts of the texts. In each part every
+partition of the corpus takes gradient steps from the same weights on every word of its texts of that part, and the
+partitions' weights are averaged, weighted by their words, by a shuffle in pieces. What is gathered, counts and weights, grows with the corpus.
 
 Words are told apart by a 64-bit hash. Texts are cut into words once, in slices of about 4 MB; a longer text is a slice of
 its own. Null and empty texts have no words and score 0; a single word is predicted from edge marks; repeated rows
@@ -24,10 +25,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeline.llm.common import binary_array, slices, strings, sums, words, written
@@ -36,8 +36,10 @@ from lakeline.llm.common import binary_array, slices, strings, sums, words, writ
 OWN, SHARED, CLASSES = 4096, 256, 64
 ENTRIES, IN_CLASS = 1 + OWN + SHARED, (OWN + SHARED) // CLASSES
 WIDTH, SIDE = 16, (-2, -1, 1, 2)
-#: Rounds over all words; words in a gradient step: at first, and at most (a step has an eighth of the words before it).
-ROUNDS, FIRST_WORDS, STEP_WORDS = 2, 512, 16384
+#: Rounds over all words, and the parts of a round after each of which weights are averaged (a text is in one of them).
+ROUNDS, LEGS = 1, 4
+#: Words in a gradient step, at first and at most (a step has an eighth of the words before it), and AdaGrad's rate.
+FIRST_WORDS, STEP_WORDS, RATE = 512, 16384, 0.15
 #: What is added to the count of every word of a shared entry.
 PRIOR = 0.1
 #: Weights in one piece of the averaging, and partitions summed in one group.
@@ -61,39 +63,32 @@ class Vocabulary:
 
 
 def cut(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows: (slice, doc_id, codes) of each text, codes being the numbers (32 bits) of its words in the slice,
-    and (slice, hashes, counts) of each slice's distinct words."""
+    """A row per slice: a number for its first text, the texts' ids, their numbers of words (32 bits each), all words as
+    numbers (32 bits) of the slice's distinct words, and those words' hashes and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        first, longs = TaskContext.get().partitionId() << 40, pa.list_(pa.int64())
         for batch in batches:
             for piece in slices(batch, 1):
                 distinct, codes, offsets = words(piece.column(1))
                 hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in strings(distinct.cast(pa.binary()))), dtype=np.uint64, count=len(distinct)).view(np.int64)
-                n, none = len(piece), lambda k, kind: pa.nulls(k, kind)
-                longs = pa.list_(pa.int64())
-                flat = codes.astype("<i4") if len(codes) else np.zeros(0, dtype="<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), piece.column(0), binary_array(flat.view(np.uint8), offsets * 4), none(n, longs), none(n, longs)], names=names)
-                counts = np.bincount(codes, minlength=len(distinct)) if len(codes) else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([number]), none(1, pa.int64()), none(1, pa.binary()), pa.array([hashes], longs), pa.array([counts], longs)], names=names)
-                number += 1
+                codes = codes.astype("<i4") if len(codes) else np.zeros(0, dtype="<i4")
+                lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (piece.column(0), pa.array(hashes), pa.array(np.bincount(codes, minlength=len(distinct))))]
+                raw = [pa.array([x.tobytes()], pa.binary()) for x in (np.diff(offsets).astype("<i4"), codes)]
+                yield pa.RecordBatch.from_arrays([pa.array([first]), lists[0].cast(longs), *raw, lists[1].cast(longs), lists[2].cast(longs)], names=["first", "ids", "sizes", "codes", "hashes", "counts"])
+                first += len(piece)
 
-    names = ["slice", "doc_id", "codes", "hashes", "counts"]
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "slice long, doc_id long, codes binary, hashes array<long>, counts array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "first long, ids array<long>, sizes binary, codes binary, hashes array<long>, counts array<long>")
 
 
-def word_rows(pieces: DataFrame, without: np.ndarray | None = None) -> DataFrame:
-    """Rows (slice, at, h, n): a slice's distinct words, those of the ascending hashes in `without` left out."""
-    shared = pieces.sparkSession.sparkContext.broadcast(without)
+def word_rows(pieces: DataFrame) -> DataFrame:
+    """Rows (h, n): the distinct words of each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, hashes, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                h, n = hashes.values.to_numpy(), counts.values.to_numpy()
-                keep = np.flatnonzero(~np.isin(h, shared.value)) if shared.value is not None else np.arange(len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), number)), pa.array(keep.astype(np.int32)), pa.array(h[keep]), pa.array(n[keep])], names=["slice", "at", "h", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).flatten(), batch.column(1).flatten()], names=["h", "n"])
 
-    return pieces.where("hashes is not null").select("slice", "hashes", "counts").mapInArrow(run, "slice long, at int, h long, n long")
+    return pieces.select("hashes", "counts").mapInArrow(run, "h long, n long")
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -110,34 +105,40 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(own[order], order, mass, kinds)
 
 
-def slice_texts(rows: pa.Table, found: pa.Table, v: Vocabulary) -> pa.Table:
-    """(doc_id, entries, share) of a slice's texts: 16 bits a word, and the sum of its words' log-shares of their entries."""
-    hashes = np.concatenate([x.values.to_numpy() for x in rows["hashes"] if x.is_valid])
-    entry, n = v.entries(hashes), np.zeros(len(hashes))
-    n[found["at"].to_numpy()] = found["n"].to_numpy()
-    texts = rows.filter(pc.is_valid(rows["codes"])).combine_chunks()
-    sizes = pc.binary_length(texts["codes"]).to_numpy().astype(np.int64) // 4
-    codes = np.frombuffer(b"".join(texts["codes"].to_pylist()), dtype="<i4")
-    entries, doc = entry[codes], np.repeat(np.arange(len(sizes)), sizes)
-    rare = entries > OWN
-    pair, own = np.unique(doc[rare] * max(1, len(hashes)) + codes[rare], return_counts=True)
-    of, word = np.divmod(pair, max(1, len(hashes)))
-    bucket = entry[word].astype(np.int64) - 1 - OWN
-    own_mass = np.bincount(of * SHARED + bucket, own, minlength=len(sizes) * SHARED)[of * SHARED + bucket]
-    share = np.log((n[word] - own + PRIOR) / (v.mass[entry[word]] - own_mass + PRIOR * v.kinds[entry[word]]))
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    return pa.table({"doc_id": texts["doc_id"], "entries": binary_array(entries.astype("<u2").view(np.uint8), ends * 2), "share": pa.array(np.bincount(of, own * share, minlength=len(sizes)), pa.float64())})
-
-
-def coded(pieces: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFrame:
-    """Rows (doc_id, entries, share) of all texts. A slice's rows meet its words' counts; words with an own entry need none."""
+def coded(pieces: DataFrame, v: Vocabulary) -> DataFrame:
+    """Rows (key, doc_id, entries) of all texts: a number of its own, and 16 bits for each word's entry."""
     shared = pieces.sparkSession.sparkContext.broadcast(v)
-    rare = word_rows(pieces, v.own).select("slice", "at", "h").join(counts, "h").select("slice", "at", "n")
 
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        return slice_texts(rows, found, shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, ids, sizes, codes, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                entries = shared.value.entries(hashes.values.to_numpy())[np.frombuffer(codes, dtype="<i4")].astype("<u2")
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, dtype="<i4"), dtype=np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(ids))), ids.values, binary_array(entries.view(np.uint8), ends * 2)], names=["key", "doc_id", "entries"])
 
-    return pieces.select("slice", "doc_id", "codes", "hashes").groupBy("slice").cogroup(rare.groupBy("slice")).applyInArrow(run, "doc_id long, entries binary, share double")
+    return pieces.select("first", "ids", "sizes", "codes", "hashes").mapInArrow(run, "key long, doc_id long, entries binary")
+
+
+def shares(pieces: DataFrame, v: Vocabulary) -> DataFrame:
+    """Rows (key, share): the sum of the log-shares that a text's words have of their shared entries, by the other texts' counts.
+
+    Words with an entry of their own are left out before the shuffle, so no word that meets there is a common one.
+    """
+    shared = pieces.sparkSession.sparkContext.broadcast(v.own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sizes, codes, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                h, code, sizes = hashes.values.to_numpy(), np.frombuffer(codes, dtype="<i4"), np.frombuffer(sizes, dtype="<i4")
+                rare = ~np.isin(h, shared.value)[code]
+                pair, n = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rare] * max(1, len(h)) + code[rare], return_counts=True)
+                text, word = np.divmod(pair, max(1, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(first + text), pa.array(h[word]), pa.array(n.astype(np.int64))], names=["key", "h", "n"])
+
+    rows = pieces.select("first", "sizes", "codes", "hashes").mapInArrow(run, "key long, h long, n long")
+    room = F.element_at(F.lit((v.mass + PRIOR * v.kinds)[1 + OWN :].tolist()), (F.pmod("h", F.lit(SHARED)) + 1).cast("int"))
+    elsewhere = F.sum("n").over(Window.partitionBy("h")) - F.col("n")
+    return rows.withColumn("share", F.col("n") * F.log((elsewhere + PRIOR) / room)).groupBy("key").agg(F.sum("share").alias("share"))
 
 
 def start_weights(v: Vocabulary) -> np.ndarray:
@@ -198,7 +199,7 @@ def by_class(entries: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.argsort(((entries[at] - 1) // IN_CLASS).astype(np.uint8), kind="stable")
 
 
-def steps(weights: np.ndarray, squares: np.ndarray, entries: np.ndarray, places: np.ndarray, seen: int = 0, rate: float = 0.05) -> None:
+def steps(weights: np.ndarray, squares: np.ndarray, entries: np.ndarray, places: np.ndarray, seen: int = 0, rate: float = RATE) -> None:
     """Gradient steps (with AdaGrad) on the words at places, after so many seen, weights changed in place."""
     vectors, _, classes, _, inner, inner_bias = own = parts(weights)
     held = parts(squares)
@@ -234,10 +235,10 @@ def steps(weights: np.ndarray, squares: np.ndarray, entries: np.ndarray, places:
 
 
 def trained(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights after so many rounds over texts (doc_id, entries, ..)."""
+    """The weights after so many rounds over texts (key, entries, ..)."""
     weights = start_weights(v)
     context = texts.sparkSession.sparkContext
-    for _ in range(rounds):
+    for leg in range(rounds * LEGS):
         shared = context.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,7 @@ def trained(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray
             return pa.table({"piece": rows["piece"][:1], "part": pa.array([rows["part"][0].as_py() // GROUP], pa.int32()), "n": pa.array([sum(rows["n"].to_pylist())]), "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
         kind = "piece int, part int, n double, w binary"
-        total = texts.select("entries").mapInArrow(run, kind)
+        total = texts.where(F.pmod(F.xxhash64("key"), F.lit(LEGS)) == leg % LEGS).select("entries").mapInArrow(run, kind)
         left = texts.rdd.getNumPartitions()
         while left > 1:  # groups of groups, until each piece has one row
             total = total.groupBy("piece", F.floor(F.col("part") / GROUP)).applyInArrow(add, kind)
@@ -284,30 +285,35 @@ def log_chances(weights: np.ndarray, entries: np.ndarray, places: np.ndarray) ->
     return out
 
 
-def scored(texts: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Rows (doc_id, n_words, log_likelihood, per_word) of texts (doc_id, entries, share)."""
+def networked(texts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Rows (key, doc_id, n_words, entries_value): the sum of the log-chances of a text's entries."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 1):
-                entries, places = flat_texts(piece.column(1))
-                n = np.array([len(x) // 2 for x in piece.column(1).to_pylist()], dtype=np.int64)
-                value = sums(log_chances(shared.value, entries, places), np.concatenate([[0], np.cumsum(n)])) + piece.column(2).to_numpy()
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n), pa.array(value), pa.array(value / np.maximum(n, 1))], names=["doc_id", "n_words", "log_likelihood", "per_word"])
+            for piece in slices(batch, 2):
+                entries, places = flat_texts(piece.column(2))
+                n = np.array([len(x) // 2 for x in piece.column(2).to_pylist()], dtype=np.int64)
+                value = sums(log_chances(shared.value, entries, places), np.concatenate([[0], np.cumsum(n)]))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(n), pa.array(value, pa.float64())], names=["key", "doc_id", "n_words", "entries_value"])
+
+    return texts.select("key", "doc_id", "entries").mapInArrow(run, "key long, doc_id long, n_words long, entries_value double")
+
 
-    return texts.select("doc_id", "entries", "share").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, per_word double")
+def scored(texts: DataFrame, weights: np.ndarray, share: DataFrame) -> DataFrame:
+    """Rows (doc_id, n_words, log_likelihood, per_word) of texts (key, doc_id, entries) and their shares (key, share)."""
+    both = networked(texts, weights).join(share, "key", "left").withColumn("log_likelihood", F.col("entries_value") + F.coalesce("share", F.lit(0.0)))
+    return both.select("doc_id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_words", F.lit(1))).alias("per_word"))
 
 
-def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Vocabulary]:
-    """The coded texts (doc_id, entries, share) and the vocabulary."""
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Vocabulary, DataFrame]:
+    """The coded texts (key, doc_id, entries), the vocabulary, and the texts' shares (key, share)."""
     pieces = written(cut(docs, id_col, text_col), "pieces")
-    counts = written(word_rows(pieces).groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    v = vocabulary(counts)
-    return written(coded(pieces, counts, v), "coded"), v
+    v = vocabulary(written(word_rows(pieces).groupBy("h").agg(F.sum("n").alias("n")), "counts"))
+    return written(coded(pieces, v), "coded"), v, shares(pieces, v)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Trains on docs and scores each of them: rows (doc_id, n_words, log_likelihood, per_word)."""
-    texts, v = prepared(docs, id_col, text_col)
-    return scored(texts, trained(texts, v, rounds))
+    texts, v, share = prepared(docs, id_col, text_col)
+    return scored(texts, trained(texts, v, rounds), share)
