@@ -19,9 +19,12 @@ def session(name: str = "lakeline", **conf) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+    """A new path below spark.checkpoint.dir. Where that is unset, a local master (tests) gets a temporary folder; a cluster,
+    whose executors would each write to a disk of their own, gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lakeline-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lakeline-{uuid.uuid4().hex}/{name}"
@@ -30,7 +33,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, which ends its lineage."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
