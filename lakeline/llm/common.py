@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakeline.session import scratch, stored
+
 #: Text bytes that a task holds decoded at one time; longer batches are cut, a longer text stands alone.
 SLICE_BYTES = 4 << 20
 
@@ -22,21 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset (tests), below a temporary one."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lakeline-')}"
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lakeline-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    return scratch(spark, "").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def remainder(n: int, column: str = "doc_id") -> F.Column:
@@ -53,7 +45,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def append_columns(df: DataFrame, text: str, fields: dict[str, str], start: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
-    """df with more columns, computed from its text column batch by batch; start() runs once a task and gives the function of a batch."""
+    """df with more columns, computed from its text column batch by batch; start() runs once a task and gives the function of a batch.
+
+    Columns of df that have a new column's name (case is ignored) are replaced; the text column itself can't be.
+    """
+    taken = {name.lower() for name in fields}
+    if text.lower() in taken:
+        raise ValueError(f"the text column {text} can't be replaced")
+    df = df.drop(*[c for c in df.columns if c.lower() in taken])
     schema = StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields.items())).fields])
     out_names = [*df.columns, *fields]
     at = df.columns.index(text)

@@ -1,15 +1,18 @@
 """Language identification by n-gram filters that answer for all languages at once.
 
 Of every language's training texts the letter n-grams (three characters of a lower-cased word with an edge mark on
-either side) are counted over the whole corpus, and those that make up a stated share of the language's n-grams go into
-its Bloom filter. The filters are bit-sliced: one table of slots, each slot a bitmask of languages, so that the masks at
-an n-gram's slots, combined with AND, name all languages that contain it. A text's hits per language are counted, freed
-of the false positives that the filter's fill predicts, and the language with most of them wins, ties to the name that
-sorts first.
-
-Null texts, and texts without a letter, get `und` and score 0; the score is the winner's corrected share of the text's
-n-grams; without training rows every text is `und`; repeated rows are predicted alike; an empty table gives no rows;
-other columns don't matter.
+either side) are counted over the whole corpus. An n-gram belongs to the language that has it at the highest rate (uses
+per n-gram of the language) and to every other whose rate is at least `RIVAL` of that, so each counted n-gram, however
+rare, is in the filter of one language at least, and what a text in another language brings in is in none. The filters
+are bit-sliced: one table of slots, each slot a bitmask of languages, so that the masks at an n-gram's slots, combined
+with AND, name all languages that contain it. Spark sets the bits; the driver receives one row per used slot. The table has
+`ROOM` slots per counted n-gram, up to a bound; beyond, false positives grow. A text's hits per language are counted,
+freed of the false positives that the filter's fill predicts, and the language with most of them wins, ties to the name
+that sorts first.
+
+Null texts, and texts without a letter, get `und` and score 0; very long texts count whole; the score is the winner's
+corrected share of the text's n-grams; without training rows every text is `und`; repeated rows are predicted alike; an
+empty table gives no rows; columns that have the results' names are replaced, other columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,15 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeline.llm.common import append_columns, fresh, owners, slices, strings, sums, words
+from lakeline.llm.common import append_columns, fresh, owners, slices, strings, sums, words, written
 
-#: Share of a language's n-grams from which on an n-gram is in its filter; so a filter has at most 1 / SHARE of them.
-SHARE = 1e-4
-#: Slots of the table, a power of two, and slots per n-gram.
-SLOTS, HASHES = 1 << 19, 3
+#: Least part of the highest rate of an n-gram in any language at which it belongs to another one too.
+RIVAL = 0.1
+#: Slots per counted n-gram, least and most slots of the table (powers of two), and slots per n-gram.
+ROOM, LEAST_SLOTS, MOST_SLOTS, HASHES = 16, 1 << 16, 1 << 22, 3
 UNKNOWN = "und"
 EDGE = 1  # a code below every letter's
 
@@ -62,9 +65,9 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def places(keys: np.ndarray) -> list[np.ndarray]:
+def places(keys: np.ndarray, slots: int) -> list[np.ndarray]:
     """The slots of each key."""
-    return [(mixed(keys, seed) & np.uint64(SLOTS - 1)).astype(np.int64) for seed in range(1, HASHES + 1)]
+    return [(mixed(keys, seed) & np.uint64(slots - 1)).astype(np.int64) for seed in range(1, HASHES + 1)]
 
 
 @dataclass
@@ -74,21 +77,8 @@ class Model:
     false: np.ndarray  # a language's share of false positives
 
 
-def build(languages: list[str], grams: dict[str, np.ndarray]) -> Model:
-    """The filter of all languages from their n-grams' keys."""
-    masks = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), dtype=np.uint64)
-    false = np.zeros(len(languages))
-    for i, language in enumerate(languages):
-        bit, filled = np.uint64(1) << np.uint64(i % 64), np.zeros(SLOTS, dtype=bool)
-        for at in places(grams[language]):
-            filled[at] = True
-        masks[filled, i // 64] |= bit
-        false[i] = filled.mean() ** HASHES
-    return Model(languages, masks, false)
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """docs: the training rows, whose language is not null."""
+def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """Rows (lang, gram, n) over all texts whose language is not null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,13 +95,40 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * int(seen.sum()), pa.string()), "gram": pa.array(keys[seen], pa.int64()), "n": pa.array(count[seen], pa.int64())})
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def members(counts: DataFrame) -> DataFrame:
+    """Rows (lang, gram): which n-gram belongs to which languages."""
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    # at most 1 / SHARE n-grams per language
-    common = counts.join(totals, "lang").where(F.col("n") >= SHARE * F.col("total")).select("lang", "gram").toArrow()
-    languages = sorted(set(common["lang"].to_pylist()))
-    names, grams = np.array(common["lang"].to_pylist(), dtype=object), common["gram"].to_numpy()
-    return build(languages, {x: grams[names == x] for x in languages})
+    rates = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    best = F.max("rate").over(Window.partitionBy("gram"))
+    return rates.withColumn("best", best).where(F.col("rate") >= RIVAL * F.col("best")).select("lang", "gram")
+
+
+def build(grams: DataFrame) -> Model:
+    """The filter of all languages from rows (lang, gram). At most one row per slot and 64 languages comes to the driver."""
+    languages = sorted(r[0] for r in grams.select("lang").distinct().collect())
+    size = max(LEAST_SLOTS, min(MOST_SLOTS, 1 << (ROOM * grams.select("gram").distinct().count()).bit_length()))
+    number = {name: i for i, name in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
+            mask = (np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64)
+            for at in places(batch.column(1).to_numpy(), size):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lang // 64), pa.array(mask)], names=["slot", "part", "mask"])
+
+    rows = grams.mapInArrow(run, "slot long, part long, mask long").groupBy("slot", "part").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks = np.zeros((size, max(1, -(-len(languages) // 64))), dtype=np.uint64)
+    masks[rows["slot"].to_numpy(), rows["part"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    filled = [(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(languages))]
+    return Model(languages, masks, np.array(filled) ** HASHES)
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """docs: the training rows, whose language is not null."""
+    return build(written(members(gram_counts(docs, text_col, lang_col)), "grams"))
 
 
 def predict_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +136,7 @@ def predict_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     distinct, codes, offsets = words(pc.utf8_lower(pc.fill_null(texts, "")))
     word, key = gram_keys(distinct)
     keys, index = np.unique(key, return_inverse=True)
-    slots = places(keys)
+    slots = places(keys, len(model.masks))
     of_word = np.zeros((len(distinct), len(model.languages) + 1))
     of_word[:, -1] = np.bincount(word, minlength=len(distinct))
     found = model.masks[slots[0]]

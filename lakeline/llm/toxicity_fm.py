@@ -2,12 +2,14 @@
 
 A text's terms are its lower-cased words (runs of letters) and their first four and five letters, each hashed; a term
 counts once. The machine scores sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>) over the terms present, so that
-it learns which terms weigh more together. Of the hashed terms it keeps those whose presence goes with the label most
-clearly. It is fitted on a bounded sample of labelled rows, and applied to every whole text.
-
-Null and empty texts have no terms and score sigmoid(w0); repeated rows score alike; duplicate labels of an id count as
-toxic if one does; without labelled rows every score is 0.5 below the threshold's prior, sigmoid(-2); an empty table
-gives no rows; other columns don't matter.
+it learns which terms weigh more together. Of the hashed terms it keeps those whose presence goes with the label clearly,
+by themselves or together with one other term, so that two terms which are toxic only as a pair come in as well. It is
+fitted on a bounded sample of labelled rows, and applied to every whole text.
+
+Null and empty texts have no terms and score sigmoid(w0); very long texts are scored whole, a term counting once; repeated
+rows score alike; duplicate labels of an id count as toxic if one does; without labelled rows, or with labels of one kind,
+the machine is a constant (sigmoid(-2), or sigmoid(2) if all are toxic); an empty table gives no rows; a column that has
+the name of the result is replaced, other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from lakeline.llm.common import append_columns, bounded_sample, fresh, owners, s
 FIT_ROWS = 8_000
 #: Buckets of the term hash, a power of two.
 BUCKETS = 1 << 20
-#: Hashed terms that the machine keeps, and its factors' width.
+#: Hashed terms that the machine keeps for themselves, at most, and its factors' width.
 TERMS, FACTORS = 1024, 8
-#: Least standard score of a term that is kept.
+#: Least standard score of a term that is kept for itself.
 LEAST_Z = 4
+#: Terms whose pairs are counted (those whose presence varies most in the sample), least standard score of a pair whose terms are kept, least rows that have both.
+PAIR_TERMS, LEAST_PAIR_Z, PAIR_ROWS = 2048, 10, 8
 #: Most that a term's weight begins with.
 ODDS = 3
 #: Toxic rows weigh so many times the others in fitting.
@@ -91,6 +95,43 @@ def machine(model: Model, rows: int, row: np.ndarray, term: np.ndarray) -> np.nd
     return value
 
 
+def pair_scores(n: int, toxic: np.ndarray, row: np.ndarray, column: np.ndarray, columns: int) -> np.ndarray:
+    """For each of so many terms, how far (in standard scores) the toxic rows that it has together with another term are from
+    what both terms' own rates let expect, for the other term where that is most."""
+    x = np.zeros((n, columns), dtype=np.float32)
+    x[row, column] = 1
+    marked = x[toxic]
+    rate = marked.sum(axis=0) / np.maximum(x.sum(axis=0), 1)
+    best = np.zeros(columns)
+    for at in range(0, columns, 256):
+        part = slice(at, at + 256)
+        both, found = x[:, part].T @ x, marked[:, part].T @ marked
+        expected = np.clip(both * (rate[part, None] + rate - toxic.mean()), 0.01 * both, 0.99 * both)
+        spread = np.sqrt(np.maximum(expected * (1 - expected / np.maximum(both, 1)), 1e-9))
+        z = np.where(both >= PAIR_ROWS, np.abs(found - expected) / spread, 0)
+        z[np.arange(len(z)), at + np.arange(len(z))] = 0
+        best[part] = z.max(axis=1)
+    return best
+
+
+def chosen_terms(toxic: np.ndarray, row: np.ndarray, bucket: np.ndarray, inside: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The buckets that the machine keeps: clear for themselves, or in a pair. inside, total: rows of each, toxic and all."""
+    n = len(toxic)
+    expected = total * toxic.mean()
+    spread = np.sqrt(np.maximum(expected * (1 - toxic.mean()) * (1 - total / n), 1e-9))
+    clear = np.where((total >= 4) & (total < n), np.abs(inside - expected) / spread, 0)
+    alone = np.argsort(-clear, kind="stable")[:TERMS]
+    alone = alone[clear[alone] > LEAST_Z]
+    varied = total * (n - total)
+    paired = np.argsort(-varied, kind="stable")[:PAIR_TERMS]
+    paired = paired[varied[paired] > 0]
+    place = np.full(BUCKETS, -1)
+    place[paired] = np.arange(len(paired))
+    known = place[bucket] >= 0
+    paired = paired[pair_scores(n, toxic, row[known], place[bucket[known]], len(paired)) > LEAST_PAIR_Z]
+    return np.concatenate([alone, np.setdiff1d(paired, alone)])
+
+
 def learn(labels: np.ndarray, row: np.ndarray, bucket: np.ndarray, seed: int = 7, steps: int = 3000) -> Model:
     """Fits the machine to rows of present buckets."""
     n, toxic = len(labels), labels.astype(bool)
@@ -99,11 +140,7 @@ def learn(labels: np.ndarray, row: np.ndarray, bucket: np.ndarray, seed: int = 7
         return Model(slot, 2.0 if n and toxic.all() else -2.0, np.zeros(1), np.zeros((1, FACTORS)))
     inside = np.bincount(bucket[toxic[row]], minlength=BUCKETS).astype(float)
     total = np.bincount(bucket, minlength=BUCKETS).astype(float)
-    expected = total * toxic.mean()
-    spread = np.sqrt(np.maximum(expected * (1 - toxic.mean()) * (1 - total / n), 1e-9))
-    clear = np.where((total >= 4) & (total < n), np.abs(inside - expected) / spread, 0)
-    chosen = np.argsort(-clear, kind="stable")[:TERMS]
-    chosen = chosen[clear[chosen] > LEAST_Z]
+    chosen = chosen_terms(toxic, row, bucket, inside, total)
     slot[chosen] = np.arange(len(chosen))
     x = np.zeros((n, max(1, len(chosen))), dtype=np.float32)
     known = slot[bucket] >= 0
@@ -156,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score (0 to 1) of every text."""
+    """docs with the score (0 to 1) of every text, in place of a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
