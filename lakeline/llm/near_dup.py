@@ -11,13 +11,14 @@ pipeline's.
 Equal sets are first folded into their smallest id. In a bucket every member is compared with one: the member that shares
 the most keys with others, which in a group of edited copies is close to all. Most groups are connected by that. What
 remains, members of one bucket that are not yet connected, is compared in blocks, only between different components. For
-those that still have a near signature there, shingles that no other such document has are counted: they bound how much
-two sets can share, and most pairs that are not similar enough go by that bound alone. A pair counts as a link when the
+those that still have a near signature there, two exact bounds say how much two sets can share: a document's shingles that
+no other such document has are in no common part, and of the shingles that fall into one of `CELLS` cells by their hash two
+sets share at most the smaller number. Most pairs that are not similar enough go by these bounds alone. A pair counts as a link when the
 whole shingle sets, made anew from the texts, have the similarity; so the classes are those of all links within the
 radius, and no bucket, group or class is capped or collected.
 
 Null and empty texts have an empty set and are linked with nothing; texts of one to four words have one shingle, all
-their words; repeated rows with one id are one document (equal texts), a null id stays out of all links and is its own
+their words; very long texts have their whole set; repeated rows with one id are one document (equal texts), a null id stays out of all links and is its own
 class (null); an empty table gives no rows; other columns don't matter.
 """
 
@@ -36,8 +37,10 @@ from lakeline.llm.common import slices, strings, words, written
 SHINGLE = 5
 COMPONENTS, CHUNKS, RADIUS = 32, 8, 15
 PER_CHUNK = COMPONENTS // CHUNKS
-#: Members of a bucket in one block of the comparison that follows.
-BLOCK = 128
+#: Members of a bucket in one block of the comparison that follows, and blocks that one task compares with all others of the bucket.
+BLOCK, TASK_BLOCKS = 128, 8
+#: Cells that a set's shingles are counted in (a byte each; a set with a fuller cell goes by its other bound).
+CELLS = 128
 #: Ids (8 bytes each) that may be broadcast to pick their texts; beyond, the join is left to Spark.
 BROADCAST_IDS = 1_000_000
 #: Multipliers of the shingle hash, odd 64-bit numbers.
@@ -73,12 +76,12 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def sketch(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Each text's set size, a digest of its set, and its signature (16-bit values)."""
+def sketch(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Each text's set size, a digest of its set, its signature (16-bit values), and its shingles per cell (bytes)."""
     hashes, ends = shingle_hashes(texts)
     a, b = component_seeds()
     n = len(ends) - 1
-    size, digest, signature = np.zeros(n, dtype=np.int64), [b""] * n, np.zeros((n, COMPONENTS), dtype="<u2")
+    size, digest, signature, cells = np.zeros(n, dtype=np.int64), [b""] * n, np.zeros((n, COMPONENTS), dtype="<u2"), np.zeros((n, CELLS), dtype=np.uint8)
     for i in range(n):
         own = np.unique(hashes[ends[i] : ends[i + 1]])
         size[i] = len(own)
@@ -89,19 +92,21 @@ def sketch(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
                 part = own[at : at + 4096]
                 least = np.minimum(least, (part[None, :] * a[:, None] + b[:, None]).min(axis=1))
             signature[i] = (mixed(least) >> np.uint64(48)).astype("<u2")
-    return size, digest, signature
+            cells[i] = np.minimum(np.bincount((own % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255)
+    return size, digest, signature, cells
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, signature)."""
+    """Rows (doc_id, n_shingles, digest, signature, cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 1):
-                size, digest, signature = sketch(piece.column(1))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array([s.tobytes() for s in signature], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+                size, digest, *rest = sketch(piece.column(1))
+                raw = [pa.array([row.tobytes() for row in x], pa.binary()) for x in rest]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), *raw], names=["doc_id", "n_shingles", "digest", "signature", "cells"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, cells binary")
 
 
 def keys(nodes: DataFrame) -> DataFrame:
@@ -215,7 +220,7 @@ def mixed_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     # a large bucket is spread by its members' components before its blocks are numbered
     spread = members.withColumn("salt", F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("component"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0).cast("long")))
     ordered = spread.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("key", "salt").orderBy("component", "node")) - 1) / BLOCK))
-    return ordered.groupBy("key", "salt", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature"))).alias("rows"))
+    return ordered.groupBy("key", "salt", "part").agg(F.first("size").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature"))).alias("rows"))
 
 
 def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
@@ -227,14 +232,18 @@ def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
     """
     names = [part.split()[0] for part in kind.split(",")]
     extra = [c for c in blocks.schema["rows"].dataType.elementType.names if c not in ("node", "component", "signature")]
-    left = blocks.select("key", F.col("salt").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rows").alias("rows1"))
-    right = blocks.select("key", F.col("salt").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rows").alias("rows2"))
+    # the blocks of a large bucket are dealt to several tasks on the one side and go to all of these on the other
+    groups = F.ceil(F.col("size") / (BLOCK * TASK_BLOCKS))
+    left = blocks.select("key", F.pmod(F.xxhash64("salt", "part"), groups).alias("group"), F.col("salt").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rows").alias("rows1"))
+    right = blocks.select("key", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("group"), F.col("salt").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rows").alias("rows2"))
     each_two = F.expr("(s1 < s2 or (s1 = s2 and p1 <= p2)) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
-    tasks = left.join(right, "key").where(each_two).select("key", "rows1", "rows2")
+    tasks = left.join(right, ["key", "group"]).where(each_two).select("key", "rows1", "rows2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows) -> dict:
-            return {"node": rows.field("node").to_numpy(), "component": rows.field("component").to_numpy(), "signature": np.frombuffer(b"".join(rows.field("signature").to_pylist()), dtype="<u2").reshape(-1, COMPONENTS)} | {c: rows.field(c).to_numpy() for c in extra}
+            matrix = lambda c, kind, width: np.frombuffer(b"".join(rows.field(c).to_pylist()), dtype=kind).reshape(-1, width)
+            plain = {c: rows.field(c).to_numpy() for c in ("node", "component", *extra) if c != "cells"}
+            return plain | {"signature": matrix("signature", "<u2", COMPONENTS)} | ({"cells": matrix("cells", np.uint8, CELLS)} if "cells" in extra else {})
 
         seen = np.zeros((0, 1), dtype=np.int64)
         for batch in batches:
@@ -282,16 +291,24 @@ def own_shingles(active: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     return counts.where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
+def most_common(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For members i of x and j of y, a number that their sets' common part is not above."""
+    most = np.minimum((x["n"] - x["own"])[i], (y["n"] - y["own"])[j])
+    exact = (x["cells"].max(axis=1)[i] < 255) | (y["cells"].max(axis=1)[j] < 255)  # one of two bounds a cell, if one is not full
+    by_cell = np.concatenate([np.minimum(x["cells"][i[at : at + 4096]], y["cells"][j[at : at + 4096]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), 4096)])
+    return np.where(exact, np.minimum(most, by_cell), most)
+
+
 def cross_pairs(blocks: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Distinct near pairs (a, b) of different components whose sets may have the similarity.
 
-    sizes: (node, n, own). Two sets share at most the smaller number of shingles that are not a document's own.
+    sizes: (node, n, own, cells).
     """
-    member = blocks.select("key", "salt", "part", "lo", "hi", F.explode("rows").alias("r")).select("key", "salt", "part", "lo", "hi", "r.*").join(sizes, "node")
-    rebuilt = member.groupBy("key", "salt", "part").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature", "n", "own"))).alias("rows"))
+    member = blocks.select("key", "salt", "part", "size", "lo", "hi", F.explode("rows").alias("r")).select("key", "salt", "part", "size", "lo", "hi", "r.*").join(sizes, "node")
+    rebuilt = member.groupBy("key", "salt", "part").agg(F.first("size").alias("size"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature", "n", "own", "cells"))).alias("rows"))
 
     def pick(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        most = np.minimum((x["n"] - x["own"])[i], (y["n"] - y["own"])[j])
+        most = most_common(x, y, i, j)
         may = 100 * most >= percent * (x["n"][i] + y["n"][j] - most)
         one, two = x["node"][i[may]], y["node"][j[may]]
         return np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
@@ -304,7 +321,7 @@ def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
     sketched = written(sketches(docs, id_col, text_col), "sketches")
     filled = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # a digest's documents fold into their smallest id; the signature follows from the set
-    folded = written(filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "folded")
+    folded = written(filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("cells").alias("cells"), F.max("n_shingles").alias("n")), "folded")
     nodes = folded.select("node", "signature")
     keyed = keys(nodes)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -321,8 +338,7 @@ def classes(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col
     blocks = written(mixed_blocks(buckets.select("key", "node"), labelled(nodes, found)), "blocks")
     active = written(active_nodes(blocks), "active")
     own = own_shingles(active, docs, id_col, text_col)
-    set_size = filled.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"))
-    sizes = written(active.join(set_size, "node").join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own")), "sizes")
+    sizes = written(active.join(folded.select("node", "n", "cells"), "node").join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "cells"), "sizes")
     rest = written(cross_pairs(blocks, sizes, percent).join(first, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         more = confirmed(rest, docs, percent, id_col, text_col)

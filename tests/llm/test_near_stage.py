@@ -3,27 +3,12 @@
 import random
 
 import corpus_pipeline
-from tests.llm.test_search_and_rules import shingles
+from tests.llm.test_search_and_rules import brute_classes
 
 
 def brute_kept(docs, percent):
     """Ids that are the smallest of their class, all pairs compared."""
-    sets = {i: shingles(t) for i, t in docs}
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                p, q = sorted((find(a), find(b)))
-                root[q] = p
-    return {i for i in ids if find(i) == i}
+    return {i for i, (_, root) in brute_classes(docs, percent).items() if i == root}
 
 
 def edited_pairs():

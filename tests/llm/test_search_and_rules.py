@@ -1,9 +1,10 @@
-"""Exact top-k, line rules and near duplicates against brute force; the pipeline stage by stage."""
+"""Exact top-k, line rules and near duplicates against brute force."""
 
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeline.llm import line_rules, near_dup, queries, topk_nra
@@ -90,7 +91,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute_classes(docs):
+def brute_classes(docs, percent=85):
     sets = {i: shingles(t) for i, t in docs}
     root = {i: i for i in sets}
 
@@ -103,7 +104,7 @@ def brute_classes(docs):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -166,32 +167,33 @@ def test_signatures_within_radius_share_a_key():
         assert same.max() >= near_dup.PER_CHUNK - near_dup.RADIUS // near_dup.CHUNKS
 
 
+def test_bounds_on_common_shingles():
+    """Neither bound is below the true common part, also where cells are full."""
+    r = np.random.default_rng(8)
+    sets = [set(r.integers(0, 1 << 62, n).tolist()) for n in (1, 40, 300)]
+    base = r.integers(0, 1 << 62, 60_000).tolist()
+    sets += [set(base[:a]) | set(base[b:c]) for a, b, c in ((100, 0, 0), (90, 95, 110), (40_000, 0, 0), (39_000, 41_000, 60_000), (50, 200, 220))]
+    seen = {}
+    for s in sets:
+        for x in s:
+            seen[x] = seen.get(x, 0) + 1
+    cells = np.array([np.minimum(np.bincount([x % near_dup.CELLS for x in s], minlength=near_dup.CELLS), 255) for s in sets], dtype=np.uint8)
+    side = {"n": np.array([len(s) for s in sets]), "own": np.array([sum(seen[x] == 1 for x in s) for s in sets]), "cells": cells}
+    i, j = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+    most = near_dup.most_common(side, side, i, j)
+    for a, b, bound in zip(i.tolist(), j.tolist(), most.tolist(), strict=True):
+        if a != b:
+            assert bound >= len(sets[a] & sets[b])
+    assert most[(i == 3) & (j == 7)][0] < 100  # near to the 70 that they share
+
+
+def test_sketch_counts_cells():
+    size, _, _, cells = near_dup.sketch(pa.array(["a b c d e f g h", None, "A B C D E F G H", "one"], pa.string()))
+    assert size.tolist() == [4, 0, 4, 1] == cells.sum(axis=1).tolist() and (cells[0] == cells[2]).all()
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     found = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-    from tests.llm.test_tokens import check_pieces
-    from tokenizers import Tokenizer
-
-    from lakeline.llm import language_bloom, tokens, toxicity_fm
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    m = queries.toxicity_model(docs, sf)
-    left = docs.join(toxicity_fm.score(docs.select("doc_id", "text"), m, out="tox").where("tox < 0.5").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    lm = queries.language_model(left)
-    fine = {r["doc_id"] for r in language_bloom.predict(left.select("doc_id", "text"), lm).where("lang_pred <> 'und' and score >= 0.3").collect()}
-    texts = [(r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] in fine]
-    classes = brute_classes(texts)
-    kept = [(i, t) for i, t in texts if classes[i][1] == i]
-    now = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, sf)
-        assert now.columns == docs.columns, name
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert {r["doc_id"] for r in rows} == {i for i, _ in kept}
-    check_pieces(rows, kept, Tokenizer.from_file(tokens.default_vocabulary()), 2048)
