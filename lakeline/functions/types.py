@@ -15,8 +15,8 @@ WAREHOUSE = {
     "DATETIME": "timestamp", "TIMESTAMP": "timestamp", "TIMESTAMP_LTZ": "timestamp", "TIMESTAMP_NTZ": "timestamp", "TIMESTAMP_TZ": "timestamp",
 }
 DATABASE = {
-    "NUMBER": "decimal", "INTEGER": "bigint", "FLOAT": "double", "BINARY_DOUBLE": "double", "BINARY_FLOAT": "float", "DATE": "timestamp", "TIMESTAMP": "timestamp",
-    "CLOB": "string", "VARCHAR2": "string", "CHAR": "string", "NVARCHAR2": "string",
+    "NUMBER": "decimal", "DECIMAL": "decimal", "NUMERIC": "decimal", "INTEGER": "bigint", "SMALLINT": "smallint", "FLOAT": "double", "BINARY_DOUBLE": "double", "BINARY_FLOAT": "float",
+    "BOOLEAN": "boolean", "DATE": "timestamp", "TIMESTAMP": "timestamp", "CLOB": "string", "VARCHAR2": "string", "VARCHAR": "string", "CHAR": "string", "NCHAR": "string", "NVARCHAR2": "string",
 }
 RECORD = {"int": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean", "bytes": "binary", "string": "string", "timestamp-millis": "timestamp", "timestamp-micros": "timestamp", "date": "date"}
 

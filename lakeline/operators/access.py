@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeline.session import small
+
 
 def effective(bindings: DataFrame, role_perms: DataFrame, at: Column) -> DataFrame:
     """Rows (user_id, service_id, permission, binding_id): what each user may do per service.
@@ -43,7 +45,7 @@ def allow_list(perms: DataFrame, names: list[str]) -> DataFrame:
 
 def grants(perms: DataFrame, mapping: DataFrame, resource: str) -> DataFrame:
     """Per user and resource the engine's privileges, sorted and joined; permissions without one are dropped."""
-    return perms.join(F.broadcast(mapping), "permission").groupBy("user_id", resource).agg(F.array_join(F.array_sort(F.collect_set("privilege")), ",").alias("privileges"))
+    return perms.join(small(mapping), "permission").groupBy("user_id", resource).agg(F.array_join(F.array_sort(F.collect_set("privilege")), ",").alias("privileges"))
 
 
 def rules(perms: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
@@ -57,7 +59,3 @@ def rules(perms: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
 def role_name(permission: Column, resource: Column) -> Column:
     """A name of lower-case letters, digits and underscores."""
     return F.concat(F.lower(permission), F.lit("_"), F.regexp_replace(F.lower(resource), "[^a-z0-9]+", "_"))
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

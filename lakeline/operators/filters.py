@@ -16,6 +16,7 @@ def filter_tables(sized: DataFrame, include: DataFrame | None, exclude: DataFram
 def verdicts(sized: DataFrame, include: DataFrame, exclude: DataFrame, cap_gb: float) -> DataFrame:
     """Every table with COPY or the first reason to skip it: not requested, excluded, too large."""
     marked = sized.join(include.select("table_name", F.lit(1).alias("wanted")), "table_name", "left").join(exclude.select("table_name", F.lit(1).alias("barred")), "table_name", "left")
+    # fixed values: the report's verdicts
     verdict = F.when(F.col("wanted").isNull(), "SKIP (not in include list)").when(F.col("barred").isNotNull(), "SKIP (excluded)").when((F.lit(cap_gb) > 0) & (F.col("size_gb") > cap_gb), "SKIP (size)").otherwise("COPY")
     return marked.select("table_name", "size_gb", verdict.alias("verdict"))
 
@@ -29,6 +30,11 @@ def route(table: Column) -> Column:
     return F.lower(F.regexp_extract(table, "([A-Z_]+)$", 1))
 
 
+def visible(df: DataFrame, name: str) -> DataFrame:
+    """Rows whose name (of a topic) is not an internal one."""
+    return df.where(~F.col(name).startswith("__"))
+
+
 def ddl_events(events: DataFrame) -> DataFrame:
     """Schema changes worth handling: not a tombstone, with a table, and an ALTER."""
     return events.where(F.col("ddl").isNotNull() & F.col("table_name").isNotNull() & (F.col("table_name") != "") & F.upper("ddl").contains("ALTER TABLE"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeline.operators import access, filters, schema
 from lakeline.plans.registry import query
 from lakeline.plans.retail import t
+from lakeline.session import small
 
 AT = "2024-03-01"
 #: Permissions by remainder of supplier key; a role holds what its nation's suppliers stand for, on the nation's service.
@@ -117,16 +118,16 @@ def user_service_grid(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id")).join(services, (F.col("user_id") + F.col("service_id")) % 2 == 0)
 
 
-@query("""select distinct scope, p_name from (select distinct case when p_partkey % 2 = 0 then substr(p_name, 1, 6) || '*' else p_name end as scope from part where p_partkey % 40 < 2) s join part p on
+@query("""select distinct scope, p_name from (select distinct case when p_partkey % 2 = 0 then substr(p_name, 1, 6) || '*' else p_name end as scope from part) s join part p on
 case when scope like '%*' then starts_with(p_name, rtrim(scope, '*')) else p_name = scope end""")
 def scope_match(spark: SparkSession, d: str) -> DataFrame:
     part = t(spark, d, "part").select("p_partkey", "p_name")
-    scopes = part.where("p_partkey % 40 < 2").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.substring("p_name", 1, 6), F.lit("*"))).otherwise(F.col("p_name")).alias("scope")).distinct()
+    scopes = part.select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.substring("p_name", 1, 6), F.lit("*"))).otherwise(F.col("p_name")).alias("scope")).distinct()
     # prefixes of one length meet on that prefix, names on themselves: two equi-joins in place of a theta join
     wild, exact = scopes.where(F.col("scope").endswith("*")), scopes.where(~F.col("scope").endswith("*"))
     keyed = wild.withColumn("prefix", F.expr("rtrim('*', scope)")).withColumn("n", F.length("prefix"))
     lengths = keyed.select("n").distinct()
-    names = part.select("p_name").distinct().join(F.broadcast(lengths), F.length("p_name") >= F.col("n")).withColumn("prefix", F.expr("substring(p_name, 1, n)"))
+    names = part.select("p_name").distinct().join(small(lengths), F.length("p_name") >= F.col("n")).withColumn("prefix", F.expr("substring(p_name, 1, n)"))
     by_prefix = keyed.join(names, ["prefix", "n"]).select("scope", "p_name")
     by_name = exact.join(part.select("p_name").distinct(), F.col("scope") == F.col("p_name")).select("scope", "p_name")
     return by_prefix.unionByName(by_name).where(filters.scope_matches(F.col("scope"), F.col("p_name"))).distinct()

@@ -34,23 +34,30 @@ def cdc_latest(spark: SparkSession, d: str) -> DataFrame:
     return merge.latest(change_log(spark, d), ["k"], [F.col("seq")]).select("k", "op", "seq", "total")
 
 
+def streamed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a stream of its files in two micro-batches or more, and a checkpoint for its query."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    parts = max(4, spark.sparkContext.defaultParallelism)
+    df.repartition(parts).write.parquet(path)
+    return jobs.table_source(spark, path, df.schema, files_per_batch=-(-parts // 2)), scratch(spark, "offsets")
+
+
 @query(f"select k, total from {LAST} where op <> 'd'")
 def cdc_apply(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "log")
     log = change_log(spark, d)
-    log.repartition(4).write.parquet(path)
-    table = merge.VersionedTable(spark, scratch(spark, "table"), "k", buckets=4)
-    jobs.apply_changes(jobs.table_source(spark, path, log.schema, files_per_batch=2), table, ["k"], ["total"], scratch(spark, "offsets"), seconds=None)
+    table = jobs.change_table(spark, scratch(spark, "table"), ["k"])
+    stream, checkpoint = streamed(log, "log")
+    jobs.apply_changes(stream, table, ["k"], ["total"], checkpoint, seconds=None)
     found = table.read()
-    return merge.live(found.select("k", "total", "_seq", "_deleted")) if found is not None else merged(log)
+    return found.select("k", "total") if found is not None else merged(log)
 
 
 @query("select lower(regexp_extract('SHOP.' || case when o_orderkey % 2 = 0 then 'ORDERS' else 'ORDER_ITEMS' end, '([A-Z_]+)$', 1)) as route, count(*) as n_rows from orders group by 1")
 def cdc_fanout(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "SHOP.ORDERS").otherwise("SHOP.ORDER_ITEMS").alias("source_table"))
-    source, target = scratch(spark, "mixed"), scratch(spark, "routes")
-    rows.repartition(3).write.parquet(source)
-    jobs.fan_out(jobs.table_source(spark, source, rows.schema), "source_table", target, scratch(spark, "offsets"), seconds=None)
+    target = scratch(spark, "routes")
+    stream, checkpoint = streamed(rows, "mixed")
+    jobs.fan_out(stream, "source_table", target, checkpoint, seconds=None)
     return spark.read.schema("o_orderkey long, source_table string, route string, batch int").parquet(target).groupBy("route").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -71,25 +78,34 @@ def sync_point_asof(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select table_name, count(*) as n_changes, min(seq) as first_seq from {LOG} join ({SYNC}) using (table_name) where seq >= scn * 10 group by table_name")
 def cdc_from_sync_point(spark: SparkSession, d: str) -> DataFrame:
-    points = sync_points(spark, d)
-    return change_log(spark, d).join(points, "table_name").where(F.col("seq") >= F.col("scn") * 10).groupBy("table_name").agg(F.count(F.lit(1)).alias("n_changes"), F.min("seq").alias("first_seq"))
+    """The change log as a stream, from each table's sync point on."""
+    points = sync_points(spark, d).select("table_name", (F.col("scn") * 10).alias("start_scn"))
+    log = change_log(spark, d)
+    stream, checkpoint = streamed(log, "log")
+    target = scratch(spark, "accepted")
+    jobs.load(jobs.from_start(stream, points), target, checkpoint, seconds=None)
+    accepted = spark.read.schema(log.schema).parquet(target)
+    return accepted.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_changes"), F.min("seq").alias("first_seq"))
 
 
 @query(f"select k, total from {LAST} where op <> 'd'")
 def cdc_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """A copy of the state at one change number, and the changes from a lower one on, give the final state."""
     log = change_log(spark, d)
-    cut = F.lit(20_001)
+    cut = F.lit(log.agg(F.floor(F.max("seq") / 2)).first()[0])
     copy = merge.apply_changes(merge.empty_target(log, ["k"], ["total"], "seq"), log.where(F.col("seq") <= cut), ["k"], "seq")
     return merge.live(merge.apply_changes(copy, log.where(F.col("seq") >= cut - 5_000), ["k"], "seq"))
 
 
 @query(f"select k, total from {LAST} where op <> 'd'")
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table, merged twice and freed of deleted keys."""
     log = change_log(spark, d)
-    target = log.where("op = 'c'").select("k", "total")
-    changed = merge.merge_upsert(target, log.where("op = 'u'").select("k", "total"), ["k"])
-    return changed.join(log.where("op = 'd'").select("k"), "k", "left_anti")
+    table = merge.KeyedTable(spark, scratch(spark, "table"), ["k"])
+    table.upsert(log.where("op = 'c'").select("k", "total"), "load")
+    table.upsert(log.where("op = 'u'").select("k", "total"))
+    table.remove(log.where("op = 'd'").select("k"))
+    return table.read()
 
 
 @query(f"select k::varchar as key, total as value from {LAST} where op <> 'd'")
@@ -98,16 +114,25 @@ def compact_log(spark: SparkSession, d: str) -> DataFrame:
     return merge.compact_log(log, ["key"], [F.col("seq")], "value").select("key", "value")
 
 
+def order_table(spark: SparkSession, d: str) -> merge.KeyedTable:
+    """Orders as a stored keyed table."""
+    table = merge.KeyedTable(spark, scratch(spark, "table"), ["o_orderkey"])
+    table.upsert(t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "load")
+    return table
+
+
 @query("select o_orderkey, o_totalprice from orders where not coalesce(o_totalprice < 100000 and o_orderstatus = 'F', false)")
 def delete_where(spark: SparkSession, d: str) -> DataFrame:
-    return merge.delete_where(t(spark, d, "orders"), (F.col("o_totalprice") < 100000) & (F.col("o_orderstatus") == "F")).select("o_orderkey", "o_totalprice")
+    table = order_table(spark, d)
+    table.delete_where((F.col("o_totalprice") < 100000) & (F.col("o_orderstatus") == "F"))
+    return table.read().select("o_orderkey", "o_totalprice")
 
 
 @query("select o_orderkey, case when o_orderstatus = 'O' then 'P' else o_orderstatus end as o_orderstatus, case when o_orderstatus = 'O' then o_totalprice + 5 else o_totalprice end as o_totalprice from orders")
 def update_where(spark: SparkSession, d: str) -> DataFrame:
-    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    open_ = F.col("o_orderstatus") == "O"
-    return merge.update_where(o.withColumn("_open", open_), F.col("_open"), {"o_orderstatus": F.lit("P"), "o_totalprice": F.col("o_totalprice") + 5}).drop("_open")
+    table = order_table(spark, d)
+    table.update_where(F.col("o_orderstatus") == "O", {"o_orderstatus": F.lit("P"), "o_totalprice": F.col("o_totalprice") + 5})
+    return table.read()
 
 
 @query("select distinct lower(regexp_extract('DB.SALES.' || upper(event_type), '([A-Z_]+)$', 1)) as route, event_type from events")
@@ -154,10 +179,18 @@ def schema_compat(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey as order_key, o_totalprice::decimal(20,2)::double as o_totalprice, o_orderkey::bigint as wide, null::varchar as note from orders")
 def schema_evolve(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table whose columns follow a stream of schemas between two loads of data, and are then renamed."""
     o = t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), F.col("o_orderkey").cast("int").alias("wide"), "o_orderstatus")
-    changes = [("add", "note", "string"), ("add", "note", "string"), ("drop", "o_orderstatus"), ("widen", "wide", "bigint"), ("widen", "o_totalprice", "decimal(20,2)"), ("rename", "o_orderkey", "order_key")]
-    evolved = schema.evolve(o, changes)
-    return evolved.select("order_key", F.col("o_totalprice").cast("double").alias("o_totalprice"), "wide", "note")
+    table = merge.KeyedTable(spark, scratch(spark, "table"), ["o_orderkey"])
+    table.upsert(o.where("o_orderkey % 2 = 0"), "load")
+    first = o.drop("o_orderstatus").withColumns({"wide": F.col("wide").cast("bigint"), "note": F.lit(None).cast("string")})
+    second = first.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(20,2)"))
+    ddl = spark.createDataFrame([(n, df.dtypes) for n, df in enumerate((o, first, first, second))], "seq long, columns array<struct<name: string, type: string>>")
+    stream, checkpoint = streamed(ddl, "ddl")
+    jobs.evolve_by_ddl(stream, table, checkpoint, seconds=None)
+    table.upsert(second.where("o_orderkey % 2 = 1"), "load")
+    table.evolve([("rename", "o_totalprice", "price")])
+    return table.read().select(F.col("o_orderkey").alias("order_key"), F.col("price").cast("double").alias("o_totalprice"), "wide", "note")
 
 
 @query("select o_orderpriority as table_name, min(o_orderkey) as scn, (count(*) filter (o_orderdate >= timestamp '2001-07-25') > 0) as ready from orders group by 1")

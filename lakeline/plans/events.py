@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeline.functions.types import iso_utc
+from lakeline.operators import filters
 from lakeline.plans.registry import query
 from lakeline.plans.retail import money, t
 from lakeline.session import scratch
@@ -39,6 +40,13 @@ def event_type_counts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events")).orderBy(F.desc("n_events"), "event_type").limit(20)
 
 
+@query("select distinct event_type as topic from events where user_id % 3 <> 0")
+def topic_list(spark: SparkSession, d: str) -> DataFrame:
+    """Names of topics, internal ones left out."""
+    topics = t(spark, d, "events").select(F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("__"), "event_type")).otherwise(F.col("event_type")).alias("topic")).distinct()
+    return filters.visible(topics, "topic")
+
+
 @query("select event_id as id, event_type as type, (props->>'$.k')::bigint as k from events")
 def json_project(spark: SparkSession, d: str) -> DataFrame:
     parsed = messages.project_json(t(spark, d, "events"), "props", {"k": "bigint"})
@@ -111,10 +119,12 @@ def stream_json_load(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select * from ({HOURLY}) where hour + interval 1 hour <= (select max(ts) from events) - interval 2 hour")
 def stream_events_hourly(spark: SparkSession, d: str) -> DataFrame:
-    # files in the order of time, so that no row is behind the watermark
-    path = scratch(spark, "by_time")
-    t(spark, d, "events").select("ts", "event_type", "value").repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(path)
-    stream = jobs.hourly(jobs.table_source(spark, path, "ts timestamp_ntz, event_type string, value double", files_per_batch=100_000))
+    # files in the order of time and two or more micro-batches, so that no row is behind the watermark
+    path, files = scratch(spark, "by_time"), 8
+    events = t(spark, d, "events").select("ts", "event_type", "value").repartitionByRange(files, "ts").sortWithinPartitions("ts")
+    for at in range(0, files, 4):  # written one after the other: a file stream takes the older files first
+        events.where(F.spark_partition_id().between(at, at + 3)).write.mode("append").parquet(path)
+    stream = jobs.hourly(jobs.table_source(spark, path, "ts timestamp_ntz, event_type string, value double", files_per_batch=4))
     target = scratch(spark, "hours")
     jobs.load(stream, target, scratch(spark, "offsets"), seconds=None)
     return spark.read.schema(stream.schema).parquet(target).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n_events", F.col("total").cast("double").alias("total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeline.operators import history
+from lakeline.operators import history, merge
 from lakeline.plans.registry import query
 from lakeline.plans.retail import t
 from lakeline.session import scratch
@@ -22,9 +22,19 @@ def at_version(v: int) -> str:
     return f"select user_id, snap_batch, last_event from {ROWS} where snap_batch <= {v} qualify row_number() over (partition by user_id order by snap_batch desc) = 1"
 
 
+def batch_table(spark: SparkSession, d: str, cuts: list[str]) -> merge.KeyedTable:
+    """A stored table of users, a version for each of some ranges of batches, each given by its condition."""
+    table = merge.KeyedTable(spark, scratch(spark, "users"), ["user_id"])
+    for condition in cuts:
+        table.upsert(merge.latest(rows(spark, d).where(condition), ["user_id"], [F.col("snap_batch")]), "load")
+    return table
+
+
 @query(at_version(1))
 def as_of_version(spark: SparkSession, d: str) -> DataFrame:
-    return history.as_of_version(rows(spark, d), ["user_id"], 1).select("user_id", "snap_batch", "last_event")
+    """Batches 0 and 1 and all later ones are versions 1 to 3 of a stored table, which is read at version 2."""
+    table = batch_table(spark, d, ["snap_batch = 0", "snap_batch = 1", "snap_batch > 1"])
+    return table.read(2).select("user_id", "snap_batch", "last_event")
 
 
 @query(f"select user_id, snap_batch, last_event from {ROWS} where snap_timestamp <= timestamp '2024-01-15' qualify row_number() over (partition by user_id order by snap_timestamp desc) = 1")
@@ -34,7 +44,11 @@ def as_of_time(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select user_id, (select max(snap_batch) + 1 from {ROWS}) as snap_batch, last_event from ({at_version(1)})")
 def rollback_version(spark: SparkSession, d: str) -> DataFrame:
-    return history.rollback(rows(spark, d), ["user_id"], 1).select("user_id", "snap_batch", "last_event")
+    """A stored table, rolled back to the version of batch 1; its rows get the number of a new batch."""
+    table = batch_table(spark, d, ["snap_batch = 0", "snap_batch = 1", "snap_batch > 1"])
+    head = table.read().agg((F.max("snap_batch") + 1).alias("_head"))
+    table.rollback(2)
+    return table.read().crossJoin(F.broadcast(head)).select("user_id", F.col("_head").alias("snap_batch"), "last_event")
 
 
 @query(f"""select snap_batch, added, (sum(added) over (order by snap_batch))::bigint as total, added - coalesce(lag(added) over (order by snap_batch), 0) as delta from (select snap_batch, count(*) as added from {ROWS} group by snap_batch)""")
@@ -44,25 +58,37 @@ def snapshot_history(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select distinct snap_batch from {ROWS} order by snap_batch desc limit 5")
 def snapshot_retention(spark: SparkSession, d: str) -> DataFrame:
-    return history.retained(rows(spark, d), 5)
+    """Versions of a stored table: the last five batches one each, all before in one; five versions are kept."""
+    newest = history.retained(rows(spark, d), 5).orderBy("snap_batch")
+    last = [r[0] for r in newest.collect()]
+    table = batch_table(spark, d, [f"snap_batch < {last[0]}", *[f"snap_batch = {b}" for b in last]])
+    kept = table.expire(keep=5)
+    return spark.createDataFrame([(last[v - 2],) for v in kept if v > 1], "snap_batch long")
 
 
-@query()
+def laid_out(spark: SparkSession, d: str, rows: int) -> DataFrame:
+    """Orders in folders by status and priority, each folder's rows in files of at most so many rows."""
+    o, path = t(spark, d, "orders"), scratch(spark, "parted")
+    keys = ["o_orderstatus", "o_orderpriority"]
+    o.repartition(*keys).write.option("maxRecordsPerFile", rows).partitionBy(*keys).parquet(path)
+    return spark.read.schema(o.schema).parquet(path)
+
+
+@query("select sum(ceil(n / 500.0))::bigint as n_files, sum(n)::bigint as n_rows, true as sizes_fit from (select count(*) as n from orders group by o_orderstatus, o_orderpriority)")
 def file_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of files are beyond SQL; rows per file are tested by themselves."""
-    return history.file_audit(history.file_stats(t(spark, d, "orders")))
+    """Sizes themselves are beyond SQL: they are positive and in order."""
+    audit = history.file_audit(history.file_stats(laid_out(spark, d, 500)))
+    return audit.select("n_files", "n_rows", ((F.col("min_mb") > 0) & (F.col("min_mb") <= F.col("avg_mb")) & (F.col("avg_mb") <= F.col("max_mb"))).alias("sizes_fit"))
 
 
-@query("select o_orderstatus, o_orderpriority, count(*) as n_rows from orders group by all")
+@query("select o_orderstatus, o_orderpriority, count(*) as n_rows, ceil(count(*) / 200.0)::bigint as n_files, true as has_bytes from orders group by all")
 def partition_stats(spark: SparkSession, d: str) -> DataFrame:
-    o, path = t(spark, d, "orders"), scratch(spark, "parted")
-    o.hint("rebalance", F.col("o_orderstatus"), F.col("o_orderpriority")).write.partitionBy("o_orderstatus", "o_orderpriority").parquet(path)
-    back = spark.read.schema(o.schema).parquet(path)
-    return history.partition_stats(back, ["o_orderstatus", "o_orderpriority"]).select("o_orderstatus", "o_orderpriority", "n_rows")
+    found = history.partition_stats(laid_out(spark, d, 200), ["o_orderstatus", "o_orderpriority"])
+    return found.select("o_orderstatus", "o_orderpriority", "n_rows", "n_files", (F.col("n_bytes") > 0).alias("has_bytes"))
 
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders")
 def compact_rewrite(spark: SparkSession, d: str) -> DataFrame:
     o, path = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), scratch(spark, "compacted")
-    history.compacted(o, ["o_custkey", "o_orderkey"], 4).write.parquet(path)
+    history.compacted(o, ["o_custkey", "o_orderkey"]).write.parquet(path)
     return spark.read.schema(o.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeline.operators import series
 from lakeline.plans.registry import query
 from lakeline.plans.retail import money, t
+from lakeline.session import scratch
 
 SAMPLES = "(select event_type as metric, (user_id % 10)::int as u, ts, event_id, value from events)"
 #: A counter that restarts where the id is divisible by 97.
@@ -21,8 +22,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select metric, u, max(ts) as ts, arg_max(value, (ts, event_id)) as value from {SAMPLES} where ts <= timestamp '2024-01-20' group by all")
 def metric_instant(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).where(F.col("ts") <= F.lit("2024-01-20").cast("timestamp_ntz"))
-    return s.groupBy("metric", "u").agg(F.max("ts").alias("ts"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    return series.instant(samples(spark, d), F.lit("2024-01-20").cast("timestamp_ntz"), ["metric", "u"], ["event_id"])
 
 
 @query(f"select metric, u, count(*) as n from {SAMPLES} where metric = 'click' and regexp_full_match(u::varchar, '[2-5]') group by all")
@@ -35,14 +35,17 @@ def metric_filter(spark: SparkSession, d: str) -> DataFrame:
 (select metric, u, case when b is null then 0 when value < b then value else value - b end as d from (select *, lag(value) over (partition by metric, u order by ts, event_id) as b from {COUNTER})) group by all""")
 def metric_rate(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d).withColumn("value", F.when(F.col("event_id") % 97 == 0, 1.0).otherwise(F.col("event_id").cast("double")))
-    return series.increase(s, ["metric", "u"], ["ts", "event_id"], []).withColumn("rate", F.col("increase") / (30 * 86400))
+    return series.increase(s, ["metric", "u"], ["ts", "event_id"], [], F.to_date("ts")).withColumn("rate", F.col("increase") / (30 * 86400))
 
 
-@query()
+@query(f"""with s as (select metric, u, date_diff('second', timestamp '2024-01-01', date_trunc('second', ts))::hugeint as x, (value::decimal(18,2) * 100)::bigint::hugeint as y from {SAMPLES} where value is not null),
+f as (select metric, u, count(*)::hugeint as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, max(x) as last_x from s group by all),
+p as (select metric, u, (sy::double + (n * sxy - sx * sy)::double / nullif((n * sxx - sx * sx)::double, 0) * (n * (last_x + 86400) - sx)::double) / n::double / 100 as predicted from f)
+select metric, u, round(predicted, 6) as predicted, predicted < 0 as alert from p""")
 def metric_predict(spark: SparkSession, d: str) -> DataFrame:
-    """A line through each series, a day ahead; floating-point sums depend on their order, so SQL's last digits differ."""
-    x = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))).cast("double")
-    return series.predict(samples(spark, d), ["metric", "u"], x, 86400.0).select("metric", "u", F.round("predicted", 6).alias("predicted"), (F.col("predicted") < 0).alias("alert"))
+    """A line through each series, read a day ahead."""
+    x = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))
+    return series.predict(samples(spark, d), ["metric", "u"], x, 86400).select("metric", "u", F.round("predicted", 6).alias("predicted"), (F.col("predicted") < 0).alias("alert"))
 
 
 @query(f"""with g as (select metric, u, unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-29', interval 6 hour)) as ts from (select distinct metric, u from {SAMPLES}))
@@ -75,3 +78,9 @@ def metric_labels(spark: SparkSession, d: str) -> DataFrame:
 def alert_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = samples(spark, d).where("value > 20").groupBy(F.col("metric").alias("alertname"), F.col("u").alias("namespace"))
     return rows.agg(F.count(F.lit(1)).alias("n_alerts"), F.when(F.max("value") > 400, "critical").when(F.max("value") > 100, "warning").otherwise("info").alias("severity"))
+
+
+@query(f"select u, ts, 'events:value:sum' as metric, sum(value::decimal(28,4))::double * 1000 as value from {SAMPLES} group by u, ts")
+def metric_record(spark: SparkSession, d: str) -> DataFrame:
+    """Sums by label, stored as a metric of their own."""
+    return series.record(samples(spark, d), ["u"], "events:value:sum", scratch(spark, "recorded"), 1000.0).select("u", "ts", "metric", "value")

@@ -40,6 +40,7 @@ def project_json(df: DataFrame, column: str, fields: dict[str, str]) -> DataFram
 
 def synthetic_events(spark: SparkSession, rows: int = 200_000, hours: int = 48, start: str = "2024-06-01 00:00:00") -> DataFrame:
     """Events derived from the row number on the executors: the same rows each time."""
+    # fixed values: sources and event types
     h = lambda salt: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(1_000_003))
     one_of = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), (h(salt) % len(values) + 1).cast("int"))
     return spark.range(rows).select(
@@ -56,6 +57,7 @@ def synthetic_shop(spark: SparkSession, customers: int = 2_000_000) -> dict[str,
     pick = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), (h(salt, len(values)) + 1).cast("int"))
     day = lambda salt, n: F.date_sub(F.lit("2024-12-31").cast("date"), h(salt, n).cast("int")).cast("timestamp")
     base = {name: spark.range(1, n + 1) for name, n in sizes.items()}
+    # fixed values: tiers, states of orders, kinds of inventory events
     return {
         "customers": base["customers"].select(F.col("id").alias("customer_id"), F.concat(F.lit("user"), F.col("id"), F.lit("@example.com")).alias("email"), pick(1, ["STANDARD", "SILVER", "GOLD", "PLATINUM"]).alias("tier"), F.when(F.col("id") % 50 == 0, "N").otherwise("Y").alias("is_active"), day(2, 1000).alias("created_at")),
         "products": base["products"].select(F.col("id").alias("product_id"), F.concat(F.lit("SKU-"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("sku"), F.concat(F.lit("cat"), h(3, 10)).alias("category"), (h(4, 50_000) / 100 + 1).alias("unit_price"), h(5, 1000).cast("int").alias("stock_qty")),

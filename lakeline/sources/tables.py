@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakeline.session import small, stored
+
 #: Target size of a written file.
 FILE_BYTES = 256 << 20
 
@@ -49,13 +51,15 @@ def table_sizes(tables: DataFrame, inventory: DataFrame) -> DataFrame:
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """df with row_no (from 0, in the key's order) and batch_no = row_no // size.
 
-    Rows are range-partitioned and numbered inside partitions; only one count per partition is summed up.
+    Rows are range-partitioned and numbered inside partitions; only one count per partition is summed up. The numbered
+    partitions are stored first, so that counts and rows are those of one evaluation.
     """
-    ordered = df.repartitionByRange(key).sortWithinPartitions(key).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    numbered = ordered.join(F.broadcast(before), "_part").withColumn("row_no", F.coalesce("_before", F.lit(0)) + F.col("_at"))
-    return numbered.withColumn("batch_no", F.floor(F.col("row_no") / size)).drop("_part", "_at", "_before")
+    places = {"_lakeline_part": F.spark_partition_id(), "_lakeline_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    ordered = stored(df.repartitionByRange(key).sortWithinPartitions(key).withColumns(places), "ordered")
+    counts = ordered.groupBy("_lakeline_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_lakeline_part", (F.sum("_n").over(Window.orderBy("_lakeline_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_lakeline_before"))
+    numbered = ordered.join(small(before), "_lakeline_part").withColumn("row_no", F.coalesce("_lakeline_before", F.lit(0)) + F.col("_lakeline_at"))
+    return numbered.withColumn("batch_no", F.floor(F.col("row_no") / size)).drop(*places, "_lakeline_before")
 
 
 def with_audit(df: DataFrame, batch: F.Column, row: F.Column, as_of: F.Column | None = None) -> DataFrame:
@@ -67,8 +71,17 @@ def with_audit(df: DataFrame, batch: F.Column, row: F.Column, as_of: F.Column |
     return df
 
 
+def bucket(column: str, n: int) -> F.Column:
+    whole = F.typeof(F.col(column)).isin("tinyint", "smallint", "int", "bigint")
+    number = F.when(whole, F.col(column).cast("string").try_cast("bigint")).otherwise(F.xxhash64(column))
+    return F.when(F.col(column).isNull(), 0).otherwise(F.pmod(number, F.lit(n))).cast("int")
+
+
 def partition_columns(spec: list[str]) -> dict[str, F.Column]:
-    """Columns for transforms such as `hours(ts)`, `bucket(4, id)`, `truncate(8, name)`, `identity(x)`; an unknown one is a ValueError."""
+    """Columns for transforms such as `hours(ts)`, `bucket(4, id)`, `truncate(8, name)`, `identity(x)`; an unknown one is a ValueError.
+
+    A bucket is a whole number, or the hash of a value of another type, modulo the number; nulls are bucket 0.
+    """
     found = {}
     for text in spec:
         m = re.fullmatch(r"\s*(\w+)\(\s*(?:(\d+)\s*,\s*)?(\w+)\s*\)\s*", text)
@@ -79,7 +92,7 @@ def partition_columns(spec: list[str]) -> dict[str, F.Column]:
         elif kind == "identity" and column:
             found[f"{column}_identity"] = F.col(column)
         elif kind == "bucket" and n:
-            found[f"{column}_bucket"] = F.pmod(F.col(column), F.lit(int(n))).cast("int")
+            found[f"{column}_bucket"] = bucket(column, int(n))
         elif kind == "truncate" and n:
             found[f"{column}_trunc"] = F.substring(F.col(column).cast("string"), 1, int(n))
         else:
@@ -127,13 +140,15 @@ def register(df: DataFrame, view: str) -> None:
 
 
 def dual_write(row: DataFrame, path: str, also) -> None:
-    """Writes a control row to the lake and hands the same DataFrame to a second sink."""
-    row.write.mode("append").parquet(path)
-    also(row)
+    """Writes a control row to the lake and hands the same row, evaluated once, to a second sink."""
+    once = stored(row, "control")
+    once.write.mode("append").parquet(path)
+    also(once)
 
 
 def ensure_namespace(spark: SparkSession, namespace: str) -> None:
-    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS `{namespace}`")
+    quoted = namespace.replace("`", "``")
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS `{quoted}`")
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
@@ -141,11 +156,11 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", {"name": name})
 
 
 def describe(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(f"DESCRIBE {name}")
+    return spark.sql("DESCRIBE IDENTIFIER(:name)", {"name": name})
 
 
 def list_tables(spark: SparkSession, namespace: str) -> list[str]:

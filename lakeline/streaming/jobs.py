@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from lakeline.operators import merge
+from lakeline.operators import merge, schema
 from lakeline.operators.filters import route
+from lakeline.session import small
 
 #: Load limits of a micro-batch stream.
 LOAD_SECONDS, LOAD_ROWS, LOAD_BYTES = 10, 300_000, 200 << 20
 #: Commit interval of a change stream.
 COMMIT_SECONDS = 30
+#: Versions that a reader of a change table puts together, at most.
+COMPACT_AFTER = 20
 
 
 def trigger(seconds: int | None) -> dict:
@@ -21,25 +25,30 @@ def trigger(seconds: int | None) -> dict:
     return {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
 
 
-def json_source(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """JSON lines as a stream: the lines' text, parsed with the schema; lines that don't parse are dropped."""
+def json_source(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None, line_bytes: int | None = None) -> DataFrame:
+    """JSON lines as a stream: the lines' text, parsed with the schema; lines that don't parse are dropped.
+
+    A micro-batch takes so many files, or else LOAD_BYTES; where a line's usual size is known, not more than LOAD_ROWS lines.
+    """
     reader = spark.readStream.schema("value string").format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     else:
-        reader = reader.option("maxBytesPerTrigger", LOAD_BYTES)
-    return reader.load(path).select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
+        reader = reader.option("maxBytesPerTrigger", min(LOAD_BYTES, LOAD_ROWS * line_bytes) if line_bytes else LOAD_BYTES)
+    parsed = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return reader.load(path).select(parsed.alias("r")).where("r is not null and r._broken is null").select("r.*").drop("_broken")
 
 
 def table_source(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def load(stream: DataFrame, path: str, checkpoint: str, seconds: int | None = LOAD_SECONDS) -> None:
+def load(stream: DataFrame, path: str, checkpoint: str, seconds: int | None = LOAD_SECONDS) -> StreamingQuery:
     """Appends a stream to a Parquet table; with seconds None it ends when all that is there is loaded."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
     if seconds is None:
         query.awaitTermination()
+    return query
 
 
 def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = COMMIT_SECONDS) -> None:
@@ -48,26 +57,45 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
         query.awaitTermination()
 
 
-def apply_changes(stream: DataFrame, table: merge.VersionedTable, keys: list[str], values: list[str], checkpoint: str, seq: str = "seq", start: DataFrame | None = None, seconds: int | None = COMMIT_SECONDS) -> None:
+def from_start(changes: DataFrame, start: DataFrame, seq: str = "seq") -> DataFrame:
+    """Changes (a stream or not) of the tables that have a sync point, from that on. start: (table_name, start_scn)."""
+    return changes.join(small(start.select("table_name", "start_scn")), "table_name").where(F.col(seq) >= F.col("start_scn")).drop("start_scn")
+
+
+def change_table(spark: SparkSession, path: str, keys: list[str]) -> merge.KeyedTable:
+    """A table for apply_changes: the larger sequence number wins, at a tie the later operation."""
+    return merge.KeyedTable(spark, path, keys, ["_seq", "_op"])
+
+
+def apply_changes(stream: DataFrame, table: merge.KeyedTable, keys: list[str], values: list[str], checkpoint: str, seq: str = "seq", start: DataFrame | None = None, seconds: int | None = COMMIT_SECONDS) -> None:
     """Keeps a keyed table from a change stream (keys, values, op, seq): inserts and updates are upserts, deletes tombstones.
 
-    start: (.. keys of the source table, start_scn); changes before it are left out. Replays change nothing.
+    A batch only adds its own latest rows; late and repeated changes do no harm. After COMPACT_AFTER versions the whole
+    state is written. start: (table_name, start_scn); changes before it are left out.
     """
     def handle(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        try:
-            reduced = merge.latest(batch, keys, [F.col(seq), merge.op_order(F.col("op"))])
-            if start is not None:
-                reduced = reduced.join(F.broadcast(start), "table_name").where(F.col(seq) >= F.col("start_scn")).drop("start_scn")
+        rows = batch.select(*keys, *values, F.col(seq).alias("_seq"), merge.op_order(F.col("op")).alias("_op"), (F.col("op") == "d").alias("_removed"))
+        table.commit(merge.latest(rows, keys, [F.col("_seq"), F.col("_op")]), "stream")
+        listed = table.versions()
+        if len(table.chain(listed, max(listed))) > COMPACT_AFTER:
+            table.compact()
+
+    each_batch(stream if start is None else from_start(stream, start, seq), handle, checkpoint, seconds)
 
-            def merged(old: DataFrame | None, changes: DataFrame) -> DataFrame:
-                target = merge.empty_target(changes, keys, values, seq) if old is None else old.select(*keys, *values, "_seq", "_deleted")
-                return merge.apply_changes(target, changes, keys, seq)
 
-            if not reduced.isEmpty():
-                table.write(reduced, merged)
-        finally:
-            batch.unpersist()
+def evolve_by_ddl(stream: DataFrame, table: merge.KeyedTable, checkpoint: str, seconds: int | None = COMMIT_SECONDS) -> None:
+    """Follows a stream of schemas (seq, columns: a list of name and type) of a stored table: each batch's newest schema is
+    compared with the table's, and the differences are applied to the stored rows (add, drop, widen); an equal one changes
+    nothing. A type that would lose values is an error and leaves the table as it was."""
+    def handle(batch: DataFrame, _: int) -> None:
+        found = batch.agg(F.max_by("columns", "seq")).first()[0]
+        if not found:
+            return
+        newest = table.spark.createDataFrame([(c["name"], c["type"]) for c in found], "name string, type string")
+        old = table.spark.createDataFrame(table.read().dtypes, "name string, type string")
+        changes = [{"add": ("add", r["name"], r["new_type"]), "remove": ("drop", r["name"]), "modify": ("widen", r["name"], r["new_type"])}[r["change"]] for r in schema.difference(old, newest).orderBy("name").collect()]
+        if changes:
+            table.evolve(changes)
 
     each_batch(stream, handle, checkpoint, seconds)
 
@@ -81,11 +109,17 @@ def fan_out(stream: DataFrame, source: str, path: str, checkpoint: str, seconds:
 
 
 def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Events per hour and type; an hour is given out once the watermark has passed it."""
+    """Events per hour and type; an hour is given out once the watermark has passed it. Rows of hours already given out are
+    left out; Spark counts them in its progress (see dropped_late)."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n_events", "total")
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows (after partial aggregation) that came behind the watermark, over the progress that the query still keeps."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+
 def deduplicated(stream: DataFrame, keys: list[str], late: str = "60 days") -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,16 +70,144 @@ def test_delete_where_keeps_null_conditions(spark):
     assert sorted(r[0] for r in merge.delete_where(df, F.col("v") > 10).collect()) == [1, 2]
 
 
-def test_versioned_table_by_stream(spark):
-    rows = log(80, 3)
+def by_stream(spark, rows, start=None, parts=4):
     path = scratch(spark, "log")
-    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(path)
-    table = merge.VersionedTable(spark, scratch(spark, "table"), "k", buckets=3)
+    spark.createDataFrame(rows, SCHEMA + ", table_name string").repartition(parts).write.parquet(path)
+    table = jobs.change_table(spark, scratch(spark, "table"), ["k"])
     assert table.read() is None
-    jobs.apply_changes(jobs.table_source(spark, path, SCHEMA, files_per_batch=1), table, ["k"], ["v"], scratch(spark, "offsets"), seconds=None)
-    assert values(table.read().select("k", "v", "_seq", "_deleted")) == final(rows)
-    heads = table.versions().collect()
-    assert len({r["bucket"] for r in heads}) == len(heads) <= 3
+    jobs.apply_changes(jobs.table_source(spark, path, SCHEMA + ", table_name string", files_per_batch=1), table, ["k"], ["v"], scratch(spark, "offsets"), start=start, seconds=None)
+    return table
+
+
+def kept(table):
+    return sorted(tuple(r) for r in table.read().select("k", "v").collect())
+
+
+def test_change_table_by_stream(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT_AFTER", 2)
+    rows = log(80, 3)
+    table = by_stream(spark, [(*r, "t") for r in rows])
+    assert kept(table) == final(rows)
+    assert "compact" in {r["kind"] for r in table.versions().values()}
+    # all of it again, and an old change of a deleted key: nothing comes back
+    again = spark.createDataFrame([(*r, "t") for r in rows], SCHEMA + ", table_name string").select("k", "v", F.col("seq").alias("_seq"), merge.op_order(F.col("op")).alias("_op"), (F.col("op") == "d").alias("_removed"))
+    table.commit(merge.latest(again.where("_seq % 3 = 0"), ["k"], [F.col("_seq"), F.col("_op")]), "stream")
+    assert kept(table) == final(rows)
+
+
+def test_stream_from_sync_point(spark):
+    """Only changes from each table's point on are applied; tables without one don't start."""
+    r = random.Random(9)
+    rows = [(r.randrange(30), i, r.choice("cuud"), s, r.choice("ab_")) for i, s in enumerate(r.sample(range(900), 90))]
+    rows = [(k * 3 + "ab_".index(t), *rest, t) for k, *rest, t in rows]
+    start = spark.createDataFrame([("a", 300), ("b", 500)], "table_name string, start_scn long")
+    later = [x[:4] for x in rows if x[4] != "_" and x[3] >= {"a": 300, "b": 500}[x[4]]]
+    assert kept(by_stream(spark, rows, start)) == final(later)
+
+
+def keyed(spark, rows, schema="k long, v long"):
+    table = merge.KeyedTable(spark, scratch(spark, "keyed"), ["k"])
+    table.upsert(spark.createDataFrame(rows, schema), "load")
+    return table
+
+
+def test_keyed_table_deletes_and_null_keys(spark):
+    table = keyed(spark, [(i, i) for i in range(20)] + [(None, 7)])
+    table.delete_where(F.col("v") < 11)
+    assert kept_list(table) == [(i, i) for i in range(11, 20)]
+    table.upsert(spark.createDataFrame([(None, 8)], "k long, v long"))
+    table.upsert(spark.createDataFrame([(None, 8)], "k long, v long"))
+    assert (None, 8) in kept_list(table) and len(kept_list(table)) == 10
+    table.compact()
+    table.upsert(spark.createDataFrame([(None, 9), (15, 0)], "k long, v long"))
+    assert kept_list(table) == sorted([(None, 9), *[(i, 0 if i == 15 else i) for i in range(11, 20)]], key=str)
+    table.delete_where(F.lit(True))
+    assert kept_list(table) == [] and table.read().columns == ["k", "v"]
+    table.compact()
+    assert kept_list(table) == []
+
+
+def kept_list(table):
+    return sorted((tuple(r) for r in table.read().collect()), key=str)
+
+
+def test_keyed_table_time_travel_rollback_and_expiry(spark):
+    """States of all versions against plain dictionaries, before and after a rollback, a compaction and an expiry."""
+    r = random.Random(2)
+    table = merge.KeyedTable(spark, scratch(spark, "keyed"), ["k"])
+    now, states = {}, {}
+    for step in range(9):
+        if step == 3:
+            table.rollback(1)
+            now = dict(states[1])
+        elif step == 5:
+            table.compact()
+        elif step % 4 == 2:
+            gone = [k for k in now if k % 3 == 0]
+            table.delete_where(F.col("k") % 3 == 0)
+            now = {k: v for k, v in now.items() if k not in gone}
+        elif step % 4 == 0 and step:
+            table.update_where(F.col("v") > 50, {"v": F.col("v") - 50})
+            now = {k: v - 50 if v > 50 else v for k, v in now.items()}
+        else:
+            new = {k: r.randrange(100) for k in r.sample(range(20), 8)}
+            table.upsert(spark.createDataFrame(sorted(new.items()), "k long, v long"))
+            now |= new
+        states[step + 1] = dict(now)
+    listed = table.versions()
+    assert sorted(listed) == list(range(1, 10)) and listed[4]["kind"] == "rollback"
+    for v, state in states.items():
+        assert sorted(tuple(x) for x in table.read(v).collect()) == sorted(state.items())
+    assert table.at_time(listed[5]["at"]) == 5 and table.at_time(listed[1]["at"].replace(year=2000)) is None
+    assert table.expire(keep=3) == [7, 8, 9] and table.expire(keep=3) == [7, 8, 9]
+    assert sorted(table.versions()) == [7, 8, 9]
+    for v in (7, 8, 9):
+        assert sorted(tuple(x) for x in table.read(v).collect()) == sorted(states[v].items())
+    table.upsert(spark.createDataFrame([(99, 1)], "k long, v long"))
+    assert sorted(tuple(x) for x in table.read().collect()) == sorted({**states[9], 99: 1}.items())
+    history = {x["version"]: (x["n_put"], x["n_removed"]) for x in table.history().collect()}
+    assert history[10] == (1, 0)
+
+
+def test_keyed_table_after_a_crash(spark):
+    """Data of a version that never got into the list is overwritten by the next writer and never read."""
+    table = keyed(spark, [(1, 1)])
+    spark.createDataFrame([(1, 5, False), (2, 5, False)], "k long, v long, _removed boolean").write.parquet(f"{table.path}/rows/version=2")
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 1)]
+    table.upsert(spark.createDataFrame([(3, 3)], "k long, v long"))
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 1), (3, 3)]
+
+
+def test_keyed_table_evolves(spark):
+    table = keyed(spark, [(1, 1, "a"), (2, 2, "b")], "k long, v int, old string")
+    table.evolve([("add", "note", "string"), ("widen", "v", "bigint"), ("drop", "old"), ("rename", "v", "w")])
+    table.upsert(spark.createDataFrame([(3, 1 << 40, "x")], "k long, w long, note string"))
+    assert sorted(tuple(r) for r in table.read().select("k", "w", "note").collect()) == [(1, 1, None), (2, 2, None), (3, 1 << 40, "x")]
+    assert table.read(1).columns == ["k", "v", "old"] and table.read(1).count() == 2
+
+
+def test_ddl_stream(spark):
+    """Schemas in two batches; one that would lose values stops the stream and leaves the table as it was."""
+    table = keyed(spark, [(1, 1)], "k long, v int")
+    kind = "seq long, columns array<struct<name: string, type: string>>"
+    path, offsets = scratch(spark, "ddl"), scratch(spark, "offsets")
+
+    def send(seq, columns):
+        spark.createDataFrame([(seq, columns)], kind).write.mode("append").parquet(path)
+        jobs.evolve_by_ddl(jobs.table_source(spark, path, kind), table, offsets, seconds=None)
+
+    send(1, [("k", "bigint"), ("v", "bigint"), ("note", "string")])
+    assert table.read().dtypes == [("k", "bigint"), ("v", "bigint"), ("note", "string")] and len(table.versions()) == 2
+    send(2, [("k", "bigint"), ("v", "bigint"), ("note", "string")])
+    assert len(table.versions()) == 2
+    with pytest.raises(Exception, match="without loss"):
+        send(3, [("k", "bigint"), ("v", "int"), ("note", "string")])
+    assert table.read().dtypes[1] == ("v", "bigint")
+
+
+def test_merge_with_null_keys_can_be_repeated(spark):
+    df = spark.createDataFrame([(None, 1), (2, 2)], "k long, v long")
+    assert sorted(map(str, (tuple(r) for r in merge.merge_upsert(df, df, ["k"]).collect()))) == ["(2, 2)", "(None, 1)"]
 
 
 def test_upsert_reset(spark):

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakeline.functions.types import cast_to, map_record_type, map_type
-from lakeline.operators import access, audits, filters, history, schema, series
-from lakeline.session import scratch
+from lakeline.operators import access, audits, filters, history, models, schema, series
+from lakeline.session import scratch, small
 from lakeline.sources import messages, tables
+from lakeline.streaming import jobs
 
 
 def test_batches_are_exact_with_ties(spark):
@@ -65,7 +66,7 @@ def test_governed_select(spark):
             schema.governed_select(df, ["a"], columns)
 
 
-@pytest.mark.parametrize(("name", "family", "found"), [("NUMBER(10,2)", "warehouse", "decimal(10,2)"), ("NUMBER", "database", "decimal(38,10)"), ("NUMBER(5)", "warehouse", "decimal(5,0)"), ("VARIANT", "warehouse", "string"), ("DATE", "database", "timestamp"), ("GEOGRAPHY", "warehouse", "string"), ("TIMESTAMP_TZ(9)", "warehouse", "timestamp")])
+@pytest.mark.parametrize(("name", "family", "found"), [("NUMBER(10,2)", "warehouse", "decimal(10,2)"), ("NUMBER", "database", "decimal(38,10)"), ("NUMBER(5)", "warehouse", "decimal(5,0)"), ("VARIANT", "warehouse", "string"), ("DATE", "database", "timestamp"), ("GEOGRAPHY", "warehouse", "string"), ("TIMESTAMP_TZ(9)", "warehouse", "timestamp"), ("SMALLINT", "database", "smallint"), ("BOOLEAN", "database", "boolean"), ("DECIMAL(10,2)", "database", "decimal(10,2)"), ("numeric(5, 1)", "database", "decimal(5,1)"), ("NCHAR(3)", "database", "string")])
 def test_map_type(name, family, found):
     assert map_type(name, family) == found
 
@@ -151,3 +152,184 @@ def test_messages(spark):
     assert messages.synthetic_events(spark, 100).agg(F.count_distinct("event_id")).first()[0] == 100
     shop = messages.synthetic_shop(spark, 40)
     assert {k: v.count() for k, v in shop.items()} == {"customers": 40, "products": 10, "orders": 60, "order_items": 140, "product_reviews": 40, "inventory_events": 60}
+
+
+def test_batches_keep_columns_of_any_name(spark):
+    df = spark.range(100).withColumns({"_part": F.lit("p"), "_at": F.lit("a"), "_before": F.lit("b")})
+    rows = tables.batches(df, "id", 30)
+    assert rows.columns == [*df.columns, "row_no", "batch_no"] and all(r["row_no"] == r["id"] and r["_at"] == "a" for r in rows.collect())
+
+
+def test_bucket_of_any_type(spark):
+    df = spark.createDataFrame([(1, "a", 1.5), (-3, "b", None), (None, None, 2.5), (9, "12", 0.5)], "i long, s string, d double")
+    own = tables.partition_columns(["bucket(4, i)", "bucket(4, s)", "bucket(3, d)"])
+    rows = df.select(*[c.alias(k) for k, c in own.items()]).collect()
+    assert [r["i_bucket"] for r in rows] == [1, 1, 0, 1]
+    assert rows[2]["s_bucket"] == 0 and rows[1]["d_bucket"] == 0 and all(0 <= r["s_bucket"] < 4 and 0 <= r["d_bucket"] < 3 for r in rows)
+
+
+def test_instant_takes_the_last_of_ties(spark):
+    s = spark.createDataFrame([("a", 5, 1, 1.0), ("a", 5, 2, 0.5), ("a", 6, 3, 9.0)], "m string, ts int, n int, value double")
+    for df in (s, s.orderBy(F.desc("n"))):
+        assert series.instant(df, F.lit(5), ["m"], ["n"]).first()["value"] == 0.5
+        assert series.instant(df, F.lit(5), ["m"]).first()["value"] == 1.0
+    rows = spark.createDataFrame([(1, 0, 10, "t"), (1, 1, 11, "t")], "k int, snap_batch int, v int, snap_timestamp string")
+    assert history.as_of_time(rows, ["k"], F.lit("t")).first()["v"] == 11
+
+
+def test_asof_against_brute_force(spark, monkeypatch):
+    """Ties, times past the end and repeated points, by lists and by sorting."""
+    import random
+
+    r = random.Random(1)
+    log = [(r.choice("tuv"), r.randrange(50), r.randrange(1000)) for _ in range(300)]
+    points = [(r.choice("tuvw"), r.randrange(60), i % 7) for i in range(60)] + [("t", None, 1)]
+    expected = sorted((n, p, x, min((s for m, t, s in log if m == n and p is not None and t >= p), default=None)) for n, p, x in points if p is not None)
+    df = spark.createDataFrame(points, "name string, at int, x int")
+    rows = lambda: sorted(tuple(q) for q in series.asof_forward(df, spark.createDataFrame(log, "name string, ts int, scn long"), ["name"], "at", "ts", "scn").where("at is not null").distinct().select("name", "at", "x", "scn").collect())
+    key = lambda q: tuple(-1 if v is None else v for v in q)
+    assert sorted(rows(), key=key) == sorted(set(expected), key=key)
+    monkeypatch.setattr(series, "FEW_POINTS", 5)
+    assert sorted(rows(), key=key) == sorted(set(expected), key=key)
+
+
+def test_blocks_carry_values_over(spark):
+    """A series cut by days gives what it gives in one piece, with days without samples and null values."""
+    import datetime
+    import random
+
+    r = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("ab"[i % 2], start + datetime.timedelta(hours=r.randrange(24 * 9) if i % 3 else 5), i, None if i % 11 == 0 else float(r.randrange(100))) for i in range(120)]
+    df = spark.createDataFrame(rows, "m string, ts timestamp, n int, value double")
+    total = lambda block: {x["m"]: x["increase"] for x in series.increase(df, ["m"], ["ts", "n"], [], block).collect()}
+    brute = {}
+    for m in "ab":
+        values = [v for _, _, _, v in sorted((x for x in rows if x[0] == m and x[3] is not None), key=lambda x: x[1:3])]
+        brute[m] = sum(b if b < a else b - a for a, b in zip(values, values[1:]))
+    assert total(None) == total(F.to_date("ts")) == brute
+    once = df.where("n % 3 <> 0").dropDuplicates(["m", "ts"])
+    kept = [tuple(x) for x in once.where("value is not null").collect()]
+    found = {(x["m"], x["ts"]): x["value"] for x in series.on_grid(once, F.lit(start), F.lit(start + datetime.timedelta(days=10)), 7 * 3600, ["m"]).collect()}
+    for step in range(35):
+        at = start + datetime.timedelta(hours=7 * step)
+        for m in "ab":
+            before = [(x[1], x[3]) for x in kept if x[0] == m and x[1] <= at]
+            if at <= start + datetime.timedelta(days=10):
+                assert found.get((m, at)) == (max(before)[1] if before else None)
+
+
+def test_prediction_is_the_least_squares_line(spark):
+    import numpy as np
+
+    x, y = [0, 60, 120, 400], [10.25, 8.5, 9.0, 1.75]
+    s = spark.createDataFrame([("a", i, v) for i, v in zip(x, y)] + [("b", 5, 1.0)], "m string, ts int, value double")
+    found = {r["m"]: r["predicted"] for r in series.predict(s, ["m"], F.col("ts"), 100).collect()}
+    slope, base = np.polyfit(x, y, 1)
+    assert abs(found["a"] - (base + slope * 500)) < 1e-9 and found["b"] is None
+
+
+def test_recording_again_replaces_days(spark):
+    path = scratch(spark, "recorded")
+    s = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("a", "2024-01-01 00:00:00", 2.0), ("b", "2024-01-02 00:00:00", 4.0)], "u string, t string, value double").withColumn("ts", F.col("t").cast("timestamp"))
+    for _ in range(2):
+        rows = series.record(s, ["u"], "sum", path, 10)
+    assert sorted((r["u"], r["value"], r["metric"]) for r in rows.collect()) == [("a", 30.0, "sum"), ("b", 40.0, "sum")]
+
+
+def test_malformed_json_lines_are_dropped(spark):
+    path = scratch(spark, "lines")
+    spark.createDataFrame([('{"a": 1}',), ("oops",), ("",), ('{"a": "x"}',), ('{"a": 2, "b": 3}',), ("{}",)], "value string").write.text(path)
+    target = scratch(spark, "loaded")
+    jobs.load(jobs.json_source(spark, path, "a int", line_bytes=10), target, scratch(spark, "offsets"), seconds=None)
+    assert sorted(str(r["a"]) for r in spark.read.parquet(target).collect()) == ["1", "2", "None"]
+
+
+def test_late_rows_of_the_hourly_stream(spark):
+    """Four micro-batches: a row behind the watermark is left out and counted, one within it is taken."""
+    path, target, offsets = scratch(spark, "events"), scratch(spark, "hours"), scratch(spark, "offsets")
+    for rows in ([("2024-01-01 00:10:00", 1.0), ("2024-01-01 06:00:00", 1.0)], [("2024-01-01 06:10:00", 1.0)], [("2024-01-01 00:20:00", 5.0), ("2024-01-01 05:30:00", 2.0)], [("2024-01-01 12:00:00", 1.0)]):
+        df = spark.createDataFrame(rows, "t string, value double").select(F.col("t").cast("timestamp_ntz").alias("ts"), F.lit("x").alias("event_type"), "value")
+        df.coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.hourly(jobs.table_source(spark, path, "ts timestamp_ntz, event_type string, value double", files_per_batch=1))
+    query = jobs.load(stream, target, offsets, seconds=None)
+    found = {r["hour"].hour: (r["n_events"], float(r["total"])) for r in spark.read.parquet(target).collect()}
+    assert found == {0: (1, 1.0), 5: (1, 2.0), 6: (2, 2.0)} and jobs.dropped_late(query) == 1
+
+
+def test_duplicates_beyond_the_horizon_come_again(spark):
+    path, target, offsets = scratch(spark, "events"), scratch(spark, "once"), scratch(spark, "offsets")
+    for n, t in ((1, "00:00"), (1, "00:30"), (2, "09:00"), (3, "09:10"), (1, "10:00"), (1, "10:10")):
+        spark.createDataFrame([(n, f"2024-01-01 {t}:00")], "event_id long, t string").select("event_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.deduplicated(jobs.table_source(spark, path, "event_id long, ts timestamp"), ["event_id"], "1 hour")
+    jobs.load(stream, target, offsets, seconds=None)
+    assert sorted((r["event_id"], r["ts"].hour) for r in spark.read.parquet(target).collect()) == [(1, 0), (1, 10), (2, 9), (3, 9)]
+
+
+def test_topics_roles_and_sinks(spark):
+    df = spark.createDataFrame([("__offsets",), ("orders",), (None,)], "name string")
+    assert [r[0] for r in filters.visible(df, "name").collect()] == ["orders"]
+    path, seen = scratch(spark, "control"), []
+    tables.dual_write(spark.range(1).withColumn("at", F.expr("uuid()")), path, lambda row: seen.extend(row.collect()))
+    assert [r["at"] for r in spark.read.parquet(path).collect()] == [r["at"] for r in seen]
+
+
+def test_sized_and_seeded_tables(spark, tmp_path):
+    path = scratch(spark, "sized")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    tables.write_sized(spark.range(200_000).repartition(20), path, 128 << 20)
+    assert spark.read.parquet(path).count() == 200_000 and history.file_stats(spark.read.parquet(path)).count() == 1
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    assert history.files_for(spark.read.parquet(path), 1000) > 1
+    (tmp_path / "seed.csv").write_text("a,b\n1,x\n2,\n")
+    seed = tables.seed(spark, str(tmp_path / "seed.csv"), "a int, b string")
+    assert sorted(tuple(r) for r in seed.collect()) == [(1, "x"), (2, None)]
+    tables.register(seed, "seed_view")
+    assert spark.table("seed_view").count() == 2 and tables.probe_schema(seed) == seed.schema
+    assert tables.capped(spark.range(5000)).count() == 1000
+    models.run_full(seed, f"{path}-full")
+    models.run_full(seed, f"{path}-full")
+    assert spark.read.parquet(f"{path}-full").count() == 2
+
+
+def test_catalog_helpers(spark):
+    tables.ensure_namespace(spark, "shop")
+    tables.drop_table(spark, "shop.items")
+    spark.range(3).write.saveAsTable("shop.items")
+    assert tables.table_exists(spark, "shop.items") and tables.list_tables(spark, "shop") == ["items"]
+    assert tables.describe(spark, "shop.items").first()["col_name"] == "id"
+    tables.drop_table(spark, "shop.items")
+    assert not tables.table_exists(spark, "shop.items")
+
+
+def test_database_and_topic_calls():
+    """What the connectors, whose jars are not here, are asked for."""
+    from unittest.mock import MagicMock
+
+    spark = MagicMock()
+    tables.read_query(spark, "jdbc:x", "select 1", user="u")
+    spark.read.format.assert_called_with("jdbc")
+    spark.read.format().options.assert_called_with(url="jdbc:x", query="select 1", user="u")
+    tables.read_jdbc(spark, "jdbc:x", "t", "id", 0, 100, 8, user="u")
+    spark.read.jdbc.assert_called_with("jdbc:x", "t", column="id", lowerBound=0, upperBound=100, numPartitions=8, properties={"user": "u"})
+    messages.read_topic(spark, "host:1", "changes")
+    spark.readStream.format().options.assert_called_with(**{"kafka.bootstrap.servers": "host:1", "subscribe": "changes", "startingOffsets": "earliest"})
+    rows = MagicMock()
+    messages.produce(rows, "host:1")
+    rows.write.format.assert_called_with("kafka")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from unittest.mock import MagicMock
+
+    spark = MagicMock()
+    spark.conf.get.return_value = None
+    spark.sparkContext.getCheckpointDir.return_value = None
+    spark.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        scratch(spark, "x")
+
+
+def test_small_is_counted(spark):
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(small(spark.range(10), 10)).lower() and "broadcast" not in plan(small(spark.range(11), 10)).lower()
