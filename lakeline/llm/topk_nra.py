@@ -2,10 +2,12 @@
 
 Candidates and queries are dealt into blocks; every pair of blocks is worked on by itself, and each query's best of all
 blocks are merged. A block of candidates holds a sorted list per dimension. For a query the lists are read from the end
-where they add most, all to one depth, step by step. A candidate's score has a lower bound (what was seen, and the
-lists' worst values for the rest) and an upper bound (what was seen, and the values at the depth reached for the rest).
-Candidates whose upper bound is below the k-th best lower bound can't qualify and are left out; those that remain are
-read to the end, which gives their final scores. Ties at a bound stay in, so that equal scores go to the smaller id.
+where they add most, all to one depth, which grows step by step. A candidate's score has a lower bound (what was seen of
+it, and the lists' worst values for the rest) and an upper bound (what was seen, and the values at the depth reached for
+the rest). A candidate whose upper bound is below the k-th best lower bound is an outsider for good. A query stops reading
+when no more than `FEW` times k candidates are not outsiders (or the lists end); only their final scores are resolved, each
+query's for itself. Ties at a bound stay in, so that equal scores go to the smaller id. The queries of a block read side by
+side, those that have stopped no longer.
 
 Vectors that are null or hold null or non-finite components, and null ids, take no part; vectors of different lengths
 have no score with each other; repeated rows are candidates each; an empty table gives no rows; other columns don't matter.
@@ -21,11 +23,22 @@ from pyspark.sql import functions as F
 from lakeline.llm.common import written
 
 #: Rows in a block of candidates and of queries.
-CANDIDATES, QUERIES = 8192, 4096
-#: Depths, as shares of a list, at which bounds are compared.
-DEPTHS = (0.5, 0.875, 0.96875)
+CANDIDATES, QUERIES = 8192, 32768
+#: Steps of the depth: after each, a list's unread part is so much of the one before.
+LEFT = 0.5
+#: Times k candidates, not outsiders, at which a query stops reading.
+FEW = 4
 #: Queries whose bounds are held at one time.
-AT_ONCE = 256
+AT_ONCE = 64
+
+
+def depths(n: int) -> list[int]:
+    """The depths that lists of n entries are read to, one after the other."""
+    out, unread = [], float(n)
+    while unread >= 1:
+        unread *= LEFT
+        out.append(n - int(unread))
+    return out
 
 
 def bounds(v: np.ndarray, lists: np.ndarray, depth: int, gain: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +52,29 @@ def bounds(v: np.ndarray, lists: np.ndarray, depth: int, gain: np.ndarray, loss:
     return lower, upper
 
 
+def read(v: np.ndarray, lists: np.ndarray, q: np.ndarray, open_: np.ndarray, k: int) -> np.ndarray:
+    """Reads the lists of candidates v for some queries, and returns the depth that each stopped at.
+
+    open_ (query by candidate) says which candidates are allowed, and afterwards which are not outsiders.
+    """
+    n, none = len(v), -np.inf if v.dtype.kind == "f" else np.iinfo(np.int64).min
+    stopped = np.zeros(len(q), dtype=np.int64)
+    busy = np.flatnonzero(open_.sum(axis=1) > FEW * k)
+    for depth in depths(n):
+        if not len(busy):
+            break
+        left = np.flatnonzero(open_[busy].any(axis=0))
+        lower, upper = bounds(v[left], lists, depth, np.maximum(q[busy], 0), np.minimum(q[busy], 0))
+        own = open_[np.ix_(busy, left)]
+        lower[~own] = none
+        least = np.partition(lower, len(left) - k, axis=1)[:, len(left) - k]
+        own &= upper >= least[:, None]
+        open_[np.ix_(busy, left)] = own
+        stopped[busy] = depth
+        busy = busy[own.sum(axis=1) > FEW * k]
+    return stopped
+
+
 def block_top(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
     """(query id, candidate id, score) of each query's k best candidates in a block."""
     order = np.argsort(ids, kind="stable")
@@ -47,31 +83,17 @@ def block_top(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarr
     v, q = (v.astype(np.float64), q.astype(np.float64)) if exact else (v, q)
     lists = np.sort(v, axis=0)
     out: tuple[list, list, list] = ([], [], [])
-    n = len(v)
-    none = -np.inf if exact else np.iinfo(np.int64).min
     for at in range(0, len(q), AT_ONCE):
         part, own = q[at : at + AT_ONCE], query_ids[at : at + AT_ONCE]
-        gain, loss = np.maximum(part, 0), np.minimum(part, 0)
-        left = np.arange(n)  # candidates that qualify for one of these queries yet
         open_ = ids[None, :] != own[:, None]
-        for share in DEPTHS if n > 4 * k else ():
-            lower, upper = bounds(v[left], lists, max(1, int(share * n)), gain, loss)
-            lower[~open_] = none
-            if len(left) > k:
-                least = np.partition(lower, len(left) - k, axis=1)[:, len(left) - k]
-                open_ &= upper >= least[:, None]
-                some = open_.any(axis=0)
-                left, open_ = left[some], open_[:, some]
-        score = part @ v[left].T
-        score[~open_] = none
-        for i, row in enumerate(score):
+        read(v, lists, part, open_, k)
+        for i, weights in enumerate(part):
             fit = np.flatnonzero(open_[i])
-            if len(fit) > k:
-                fit = fit[row[fit] >= np.partition(row[fit], len(fit) - k)[len(fit) - k]]
-            fit = fit[np.argsort(-row[fit], kind="stable")][:k]
-            out[0].append(np.full(len(fit), own[i]))
-            out[1].append(ids[left[fit]])
-            out[2].append(row[fit].astype(np.int64))
+            score = v[fit] @ weights
+            best = np.argsort(-score, kind="stable")[:k]  # candidates are in order of their ids
+            out[0].append(np.full(len(best), own[i]))
+            out[1].append(ids[fit[best]])
+            out[2].append(score[best].astype(np.int64))
     return out
 
 

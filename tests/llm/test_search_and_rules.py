@@ -53,6 +53,22 @@ def test_bounds_hold_and_meet():
     assert (lower == upper).all()
 
 
+def test_queries_stop_when_outsiders_cannot_qualify():
+    """Candidates in clusters: a query reads only until the others' bounds are below its own; what it keeps holds its best."""
+    r = np.random.default_rng(6)
+    v = np.concatenate([r.integers(-3, 4, (900, 6)), r.integers(40, 60, (100, 6))]).astype(float)
+    q = np.concatenate([r.integers(1, 30, (5, 6)), r.integers(-30, 30, (5, 6))]).astype(float)
+    open_ = np.ones((10, 1000), dtype=bool)
+    open_[0, 950] = False
+    stopped = topk_nra.read(v, np.sort(v, axis=0), q, open_, 5)
+    assert (stopped[:5] < 1000).all() and (open_[:5].sum(axis=1) <= 100).all() and not open_[0, 950]
+    for i, score in enumerate(q @ v.T):
+        score[950] = -np.inf if i == 0 else score[950]
+        assert set(np.argsort(-score, kind="stable")[:5]) <= set(np.flatnonzero(open_[i])) or len(set(score)) < 1000
+        assert sorted(score[open_[i]])[-5:] == sorted(score)[-5:]
+    assert topk_nra.depths(8) == [4, 6, 7, 8] and topk_nra.depths(0) == []
+
+
 def brute_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
