@@ -6,10 +6,12 @@ more than blocks) and the words. A document's blocks follow each other; it has c
 document or block is found without decoding what is before it.
 
 Documents are encoded where they are read, only their words are shuffled, by ranges of the id, and every range becomes
-files of bounded size. A file has its final name only when it is complete, and equal content each time a task runs.
+files of bounded size. Rows without an id, and rows of an id that takes more than a range, are dealt to several ranges by
+their tokens' checksum. A file has its final name only when it is complete, and equal content each time a task runs.
 
-Null and empty texts give the end id alone; null ids come first; rows with equal ids are ordered by their ids' number and
-checksum; an empty table gives no file and no rows; columns other than id and text are ignored.
+Null and empty texts give the end id alone; null ids come first; rows with equal ids are ordered by their tokens' checksum
+and number; very long texts are blocks like others, and their document is in one file; an empty table gives no file and no
+rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +32,25 @@ from lakeline.llm.common import binary_array, shared_dir, slices
 MAGIC = b"LKS8B1\0\0"
 #: Bytes of words after which a file ends.
 FILE_BYTES = 8 << 20
-#: Bytes of text for one range of ids.
-RANGE_BYTES = 24 << 20
+#: Bytes of text for one range of ids, as long as there are no more than so many ranges; beyond, ranges grow and their sorts spill.
+RANGE_BYTES, MOST_SPANS = 24 << 20, 10_000
 #: Files whose offsets may be broadcast; beyond, the join is left to Spark.
 BROADCAST_FILES = 1_000_000
 
 
-def packed(docs: DataFrame, bounds: list[int], vocabulary: str, end: int, id_col: str, text_col: str) -> DataFrame:
+def span_count(text_bytes: int, rows: int) -> int:
+    return max(1, min(MOST_SPANS, -(-(text_bytes + rows) // RANGE_BYTES)))
+
+
+def spans_of(ids: pa.Array, crcs: np.ndarray, cuts: np.ndarray, null_spans: int) -> np.ndarray:
+    """The range of each row: those of null ids first. An id that is a cut several times has as many ranges of its own."""
+    known, value = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+    lower, upper = np.searchsorted(cuts, value, side="left"), np.searchsorted(cuts, value, side="right")
+    share = lambda parts: (crcs * parts) >> 32
+    return np.where(known, null_spans + np.where(lower < upper, lower + 1 + share(upper - lower), upper), share(null_spans))
+
+
+def packed(docs: DataFrame, bounds: list[int], null_spans: int, vocabulary: str, end: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: the range of its id, number and checksum of its ids, its blocks' numbers of words and the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +67,7 @@ def packed(docs: DataFrame, bounds: list[int], vocabulary: str, end: int, id_col
                 wide = ids.astype("<u4")
                 crcs = [zlib.crc32(wide[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
                 doc_ids = piece.column(0)
-                found = np.searchsorted(cuts, doc_ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
+                found = spans_of(doc_ids, np.array(crcs, dtype=np.int64), cuts, null_spans)
                 counts = np.diff(ends).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids, pa.array(found, pa.int32()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), binary_array(counts.view(np.uint8), first * 2), binary_array(words.astype("<u8").view(np.uint8), ends[first] * 8)],
@@ -97,10 +111,12 @@ def store(target: str):
 def write(docs: DataFrame, target: str, vocabulary: str | None = None, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs as token files below target and returns their list: (span, seq, docs, tokens, bytes, name), itself written to target/manifest."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
-    spans = max(1, -(-((size[0] or 0) + size[1]) // RANGE_BYTES))
-    bounds = sorted({int(b) for b in docs.select(F.col(id_col).cast("long").alias("doc_id")).approxQuantile("doc_id", [i / spans for i in range(1, spans)], 0.1 / spans)} if spans > 1 else set())
-    rows = packed(docs, bounds, vocabulary or tokens.default_vocabulary(), end, id_col, text_col)
+    ids = F.col(id_col).cast("long")
+    size, n, no_id = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(ids.isNull(), F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)), F.lit(0))).first()
+    spans, null_spans = span_count(size, n), span_count(no_id, 0) if no_id else 0
+    # a cut per range, with repeats: an id that is several cuts is spread over as many ranges
+    bounds = [int(b) for b in docs.select(ids.alias("doc_id")).approxQuantile("doc_id", [i / spans for i in range(1, spans)], 0.1 / spans)] if spans > 1 else []
+    rows = packed(docs, sorted(bounds), null_spans, vocabulary or tokens.default_vocabulary(), end, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = store(f"{target}/files")
@@ -131,7 +147,7 @@ def write(docs: DataFrame, target: str, vocabulary: str | None = None, end: int
 
     files, folder = store(f"{target}/files")
     files.create_dir(folder, recursive=True)
-    sorted_rows = rows.repartitionById(len(bounds) + 1, F.col("span")).sortWithinPartitions("span", F.asc_nulls_first("doc_id"), "n", "crc")
+    sorted_rows = rows.repartitionById(null_spans + len(bounds) + 1, F.col("span")).sortWithinPartitions("span", F.asc_nulls_first("doc_id"), "crc", "n")
     listed = sorted_rows.select("span", "doc_id", "n", "counts", "words").mapInArrow(run, "span int, seq int, docs long, tokens long, bytes long, name string")
     listed.write.parquet(f"{target}/manifest")
     return spark.read.schema(listed.schema).parquet(f"{target}/manifest")

@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lakeline.llm import packing, pair_index_bpe, queries, simple8b, token_files, tokens
+from lakeline.llm import common, packing, pair_index_bpe, queries, simple8b, token_files, tokens
 from tests.llm.conftest import ODD
 
 PARTS = ["a", "aa", "b", " ", "  ", "\n", "\n\n", "\t", " 's", "'s", "é", "ß", "1", "23", ".", "!!", "<|endoftext|>", " ", " ", "　", "日", "\U0001f600", "\x1c", "\r\n", "don't", "\x85", "\x0b", "the", "ing"]
@@ -55,9 +56,17 @@ def test_simple8b_round_trip(seed):
         assert (simple8b.decode(words[ends[i] : ends[i + 1]]) == ids[blocks[i] : blocks[i + 1]]).all()
 
 
-def test_simple8b_refuses_wide_ids():
-    with pytest.raises(ValueError):
-        simple8b.encode(np.array([1 << 60]), np.array([0, 1]))
+@pytest.mark.parametrize("seed", range(5))
+def test_simple8b_escapes(seed):
+    """Ids of more than 60 bits, the mark itself and what is next to it, in runs and between narrow ones."""
+    r = np.random.default_rng(seed)
+    edge = np.array([(1 << 60) - 2, (1 << 60) - 1, 1 << 60, (1 << 64) - 1, (1 << 64) - 2, 0, 1, 50_000], dtype=np.uint64)
+    ids = edge[r.integers(0, len(edge), 700)] if seed else np.full(7, (1 << 64) - 1, dtype=np.uint64)
+    blocks = np.unique(np.concatenate([[0, len(ids)], r.integers(0, len(ids) + 1, 6)]))
+    words, ends = simple8b.encode(ids, blocks)
+    assert (simple8b.decode(words) == ids).all()
+    for i in range(len(blocks) - 1):
+        assert (simple8b.decode(words[ends[i] : ends[i + 1]]) == ids[blocks[i] : blocks[i + 1]]).all()
 
 
 def check_pieces(rows, texts, library, length):
@@ -110,6 +119,30 @@ def test_token_files(spark, odd, none, library, monkeypatch):
     assert token_files.round_trip(none).count() == 0
 
 
+def test_token_files_split_null_and_repeated_ids(spark, library, monkeypatch):
+    """A third of the rows without an id and a third with one id: their files are many, their rows whole and in order."""
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 600)
+    texts = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"text {i} " * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    target = f"{common.shared_dir(spark)}/tokens"
+    spans = token_files.write(df, target).groupBy("span").agg(F.sum("docs").alias("n")).collect()
+    rows = sorted((tuple(r) for r in token_files.read(spark, target).collect()), key=lambda r: r[1])
+    assert len(spans) > 10 and max(r["n"] for r in spans) < 60
+    at = 0
+    for _, start, n, _ in rows:
+        assert start == at
+        at += n
+    order = [r[0] for r in rows]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    ids = [(i, [*ids_of(library, t), 2]) for i, t in texts]
+    assert sorted(((r[0], r[2], r[3]) for r in rows), key=key) == sorted(((i, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in ids), key=key)
+
+
+def test_spans_are_bounded():
+    assert token_files.span_count(0, 0) == 1 and token_files.span_count(100 << 40, 1 << 40) == token_files.MOST_SPANS
+
+
 def test_token_file_query(spark, sf, library):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check_files(queries.op6_token_files(spark, sf).collect(), texts, library)
