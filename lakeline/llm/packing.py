@@ -6,7 +6,8 @@ one number a partition, are summed up to global offsets; the second cuts every d
 Only the last sequence is padded.
 
 Null and empty texts give the end id alone; repeated rows and ids are packed once each; a text longer than a sequence
-runs through several; an empty table gives no rows; columns other than id and text are ignored.
+runs through several; a very long text is encoded by itself, and only its ids (4 bytes each) are held at one time; null
+ids are kept; an empty table gives no rows; columns other than id and text are ignored.
 """
 
 from __future__ import annotations

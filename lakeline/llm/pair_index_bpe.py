@@ -6,7 +6,9 @@ merge makes are added to the lists of their ranks. A pair made by a merge has a
 rank is taken up once. Decoding looks up the ids' bytes and replaces what is no UTF-8.
 
 Null and empty texts have no ids; special tokens' strings become their ids, as the tokenizers library has it; a very
-long text forms a batch of its own; an empty table gives no rows; columns other than id and text are ignored.
+long text forms a batch of its own; repeated rows get equal ids each; where two pairs could be merged, the lower rank goes
+first and, of one rank, the place further left; an empty table gives no rows; with_ids replaces a column that has the
+result's name, digests ignores columns other than id and text.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ to positive mass above a threshold of a plain positive-against-unlabelled score.
 non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)). Labels of bad rows are
 never used. Both samples are bounded; the score is given to every whole text.
 
-Null and empty texts have zero measures and get a score too; repeated rows score alike; duplicate labels of an id count
-as good if one does; without positives every score is 0; an empty table gives no rows; other columns don't matter.
+Null and empty texts have zero measures and get a score too; very long texts are measured whole; repeated rows score
+alike; duplicate labels of an id count as good if one does; without positives every score is 0; an empty table gives no
+rows; a column that has the result's name is replaced, other columns don't matter.
 """
 
 from __future__ import annotations

@@ -172,6 +172,16 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert [r["kept"] for r in near_dup.classes(twice).collect()] == [True, True]
 
 
+def test_near_duplicates_beyond_a_slice(spark):
+    """Texts of over 4 MB, whose cells are full: two that share most of their shingles, and one that doesn't."""
+    r = random.Random(1)
+    base = [f"word{r.randrange(10**9)}" for _ in range(330_000)]
+    docs = [(1, " ".join(base)), (2, " ".join(base[:320_000])), (3, " ".join(base[200_000:])), (4, "a short text of six words")]
+    rows = near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in rows} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {x["doc_id"]: x["n_shingles"] for x in rows} == {1: 329_996, 2: 319_996, 3: 129_996, 4: 2}
+
+
 def test_signatures_within_radius_share_a_key():
     """Pigeonhole: any two signatures that differ in RADIUS values meet in a bucket."""
     r = np.random.default_rng(5)

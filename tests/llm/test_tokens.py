@@ -167,3 +167,12 @@ def test_bpe_digests(spark, odd, none, library):
 def test_bpe_query(spark, sf, library):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check_digests(queries.op8_pair_index_bpe(spark, sf).collect(), texts, library)
+
+
+def test_texts_beyond_a_slice(spark, library):
+    """A text of over 4 MB between short ones: packed, written to files and encoded like any other."""
+    texts = [(1, "short one"), (2, "Some words, 12 of them; and what's more \n" * 110_000), (3, None), (4, "short one")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    check_pieces(packing.pack(df).collect(), texts, library, 2048)
+    check_files(token_files.round_trip(df).collect(), texts, library)
+    check_digests(pair_index_bpe.digests(df).collect(), texts, library)
