@@ -164,7 +164,8 @@ def describe(spark: SparkSession, name: str) -> DataFrame:
 
 
 def list_tables(spark: SparkSession, namespace: str) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables(namespace))
+    """The namespace's tables; a session's temporary views are in no namespace."""
+    return sorted(t.name for t in spark.catalog.listTables(namespace) if not t.isTemporary)
 
 
 def capped(df: DataFrame, rows: int = 1000) -> DataFrame:
