@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,17 +86,20 @@ def ratio(top: DataFrame, bottom: DataFrame, on: list[str]) -> DataFrame:
 FEW_POINTS = 10_000
 
 
-def asof_forward(points: DataFrame, log: DataFrame, by: list[str], at: str, ts: str, number: str) -> DataFrame:
+def asof_forward(points: DataFrame, log: DataFrame, by: list[str], at: str, ts: str, number: str, block: Callable[[Column], Column] | None = None) -> DataFrame:
     """For each point the lowest number of the log whose time is at or after the point's.
 
     The lowest number at or after a time may have a later time than another: it is the least over all that follows. Few
     points (they are counted) stand as one sorted list per key beside each log row, which counts to the last point that it is not
     before; least numbers are then taken by point, before any shuffle, and over the points that follow. With more points
-    all are sorted together by key and time.
+    all are sorted together by key and time, in blocks of a key's times (days, of numbers 86,400, or what `block` makes of a time: it
+    must rise with it), so that a key with most of the log is no single task. Points without a key or time find nothing.
     """
     extra = [c for c in points.columns if c not in by]
+    dated = points.schema[at].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
+    block = block or (F.to_date if dated else lambda c: F.floor(c / 86_400))
     if points.limit(FEW_POINTS + 1).count() > FEW_POINTS:
-        return asof_sorted(points, log, by, at, ts, number, extra)
+        return asof_sorted(points, log, by, at, ts, number, extra, block)
     lists = points.groupBy(*by).agg(F.array_sort(F.collect_set(at)).alias("_at"))
     reached = log.select(*by, F.col(ts).alias("_t"), F.col(number).cast("long").alias("_n")).join(F.broadcast(lists), by)
     place = F.size(F.filter("_at", lambda x: x <= F.col("_t")))
@@ -109,13 +113,18 @@ def asof_forward(points: DataFrame, log: DataFrame, by: list[str], at: str, ts:
     return found.select(*by, *[F.col("_p")[c].alias(c) for c in extra], F.col("_n").alias(number))
 
 
-def asof_sorted(points: DataFrame, log: DataFrame, by: list[str], at: str, ts: str, number: str, extra: list[str]) -> DataFrame:
-    """asof_forward for many points: one running minimum from the last time of a key to its first."""
+def asof_sorted(points: DataFrame, log: DataFrame, by: list[str], at: str, ts: str, number: str, extra: list[str], block: Callable[[Column], Column]) -> DataFrame:
+    """asof_forward for many points: a running minimum from a block's last time to its first, and the least of the blocks after it."""
     p = points.select(*by, F.col(at).alias("_t"), F.lit(None).cast("long").alias("_n"), F.struct(*extra).alias("_p"))
-    rows = p.unionByName(log.select(*by, F.col(ts).alias("_t"), F.col(number).cast("long").alias("_n")), allowMissingColumns=True)
+    timed = log.select(*by, F.col(ts).alias("_t"), F.col(number).cast("long").alias("_n")).dropna(subset=[*by, "_t"])
+    rows = p.unionByName(timed, allowMissingColumns=True).withColumn("_block", block(F.col("_t")))
     # a point comes after the log rows of its time
-    falling = Window.partitionBy(*by).orderBy(F.desc("_t"), F.col("_p").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("_m", F.min("_n").over(falling)).where("_p is not null").select(*by, *[F.col("_p")[c].alias(c) for c in extra], F.col("_m").alias(number))
+    falling = Window.partitionBy(*by, "_block").orderBy(F.desc("_t"), F.col("_p").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(*by).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and block, whatever the number of log rows
+    after = rows.groupBy(*by, "_block").agg(F.min("_n").alias("_least")).select(*by, "_block", F.min("_least").over(later).alias("_after"))
+    found = rows.withColumn("_m", F.min("_n").over(falling)).where("_p is not null").join(after, [*by, "_block"], "left")
+    return found.select(*by, *[F.col("_p")[c].alias(c) for c in extra], F.least("_m", "_after").alias(number))
 
 
 def record(samples: DataFrame, labels: list[str], name: str, path: str, scale: float = 1.0) -> DataFrame:

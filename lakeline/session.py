@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeline.sources import files
+
 
 def session(name: str = "lakeline", **conf) -> SparkSession:
     """A session with UTC times and adaptive execution; a running one is kept."""
@@ -19,16 +21,26 @@ def session(name: str = "lakeline", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset, a local master (tests) gets a temporary folder; a cluster,
-    whose executors would each write to a disk of their own, gets an error."""
+def application_dir(spark: SparkSession) -> str:
+    """The application's folder below spark.checkpoint.dir. Where that is unset, a local master (tests) gets a temporary
+    folder; a cluster, whose executors would each write to a disk of their own, gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lakeline-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lakeline-{uuid.uuid4().hex}/{name}"
+    return f"{base.rstrip('/')}/lakeline-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's folder."""
+    return f"{application_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application stored on its way. Results that read them must have been written before."""
+    files.remove(spark, application_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql.types import StructType
 
 from lakeline.functions.types import cast_to, map_record_type, map_type
 from lakeline.operators import access, audits, filters, history, models, schema, series
-from lakeline.session import scratch, small
+from lakeline.session import application_dir, clear, scratch, small, stored
 from lakeline.sources import messages, tables
 from lakeline.streaming import jobs
 
@@ -178,19 +178,21 @@ def test_instant_takes_the_last_of_ties(spark):
 
 
 def test_asof_against_brute_force(spark, monkeypatch):
-    """Ties, times past the end and repeated points, by lists and by sorting."""
+    """Ties, times past the end, repeated points, null keys and times, by lists and by sorting in one block and in several."""
     import random
 
     r = random.Random(1)
-    log = [(r.choice("tuv"), r.randrange(50), r.randrange(1000)) for _ in range(300)]
-    points = [(r.choice("tuvw"), r.randrange(60), i % 7) for i in range(60)] + [("t", None, 1)]
-    expected = sorted((n, p, x, min((s for m, t, s in log if m == n and p is not None and t >= p), default=None)) for n, p, x in points if p is not None)
-    df = spark.createDataFrame(points, "name string, at int, x int")
-    rows = lambda: sorted(tuple(q) for q in series.asof_forward(df, spark.createDataFrame(log, "name string, ts int, scn long"), ["name"], "at", "ts", "scn").where("at is not null").distinct().select("name", "at", "x", "scn").collect())
-    key = lambda q: tuple(-1 if v is None else v for v in q)
-    assert sorted(rows(), key=key) == sorted(set(expected), key=key)
+    log = [(r.choice("tuv"), r.randrange(50), r.randrange(1000)) for _ in range(300)] + [("t", None, -5), (None, 30, -7)]
+    points = [(r.choice("tuvw"), r.randrange(60), i % 7) for i in range(60)] + [("t", None, 1), (None, 3, 2)]
+    expected = {(n, p, x, min((s for m, t, s in log if m == n is not None and p is not None and t is not None and t >= p), default=None)) for n, p, x in points}
+    df, rows = spark.createDataFrame(points, "name string, at int, x int"), spark.createDataFrame(log, "name string, ts int, scn long")
+    found = lambda block=None: {tuple(q) for q in series.asof_forward(df, rows, ["name"], "at", "ts", "scn", block).select("name", "at", "x", "scn").collect()}
+    assert found() == expected
     monkeypatch.setattr(series, "FEW_POINTS", 5)
-    assert sorted(rows(), key=key) == sorted(set(expected), key=key)
+    assert found() == expected and found(lambda c: F.floor(c / 7)) == expected
+    day = lambda c: F.timestamp_seconds(F.col(c) * 7200)
+    dated = series.asof_forward(df.withColumn("at", day("at")), rows.withColumn("ts", day("ts")), ["name"], "at", "ts", "scn")
+    assert {(q["name"], q["x"], q["scn"]) for q in dated.collect()} == {(n, x, s) for n, _, x, s in expected}
 
 
 def test_blocks_carry_values_over(spark):
@@ -330,6 +332,19 @@ def test_a_cluster_needs_a_shared_folder():
         scratch(spark, "x")
 
 
+def test_clear_removes_only_this_application(spark, tmp_path):
+    from unittest.mock import patch
+
+    with patch("lakeline.session.application_dir", lambda spark: f"file://{tmp_path}/own"):
+        kept = stored(spark.range(3), "rows")
+        assert kept.count() == 3 and len(list(tmp_path.rglob("*.parquet"))) > 0
+        (tmp_path / "other").mkdir()
+        clear(spark)
+        clear(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
+    assert scratch(spark, "x").startswith(application_dir(spark) + "/") and spark.sparkContext.applicationId in application_dir(spark)
+
+
 def test_small_is_counted(spark):
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(small(spark.range(10), 10)).lower() and "broadcast" not in plan(small(spark.range(11), 10)).lower()
