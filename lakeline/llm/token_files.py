@@ -108,6 +108,18 @@ def store(target: str):
     return fs.FileSystem.from_uri(target)
 
 
+def publish(files, temporary: str, name: str) -> None:
+    """Gives a complete file its final name; one that another run of the task has named already has the same content and stays."""
+    from pyarrow import fs
+
+    try:
+        files.move(temporary, name)
+    except OSError:
+        if files.get_file_info(name).type != fs.FileType.File:
+            raise
+        files.delete_file(temporary)
+
+
 def write(docs: DataFrame, target: str, vocabulary: str | None = None, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs as token files below target and returns their list: (span, seq, docs, tokens, bytes, name), itself written to target/manifest."""
     spark = docs.sparkSession
@@ -129,7 +141,7 @@ def write(docs: DataFrame, target: str, vocabulary: str | None = None, end: int
             temporary = f"{folder}/{name}.{uuid.uuid4().hex}.part"
             with files.open_output_stream(temporary) as out:
                 out.write(content)
-            files.move(temporary, f"{folder}/{name}")
+            publish(files, temporary, f"{folder}/{name}")
             result = pa.RecordBatch.from_pydict({"span": pa.array([now], pa.int32()), "seq": pa.array([seq], pa.int32()), "docs": pa.array([len(held)], pa.int64()), "tokens": pa.array([sum(r[1] for r in held)], pa.int64()), "bytes": pa.array([len(content)], pa.int64()), "name": pa.array([name])})
             held, weight, seq = [], 0, seq + 1
             return result

@@ -139,6 +139,30 @@ def test_token_files_split_null_and_repeated_ids(spark, library, monkeypatch):
     assert sorted(((r[0], r[2], r[3]) for r in rows), key=key) == sorted(((i, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for i, x in ids), key=key)
 
 
+def test_a_repeated_task_leaves_the_file_of_the_first(tmp_path):
+    """On stores where a move onto a file is an error; any other error stays one."""
+    from pyarrow import fs
+
+    class Strict:
+        def __init__(self):
+            self.under = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.under, name)
+
+        def move(self, a, b):
+            if self.under.get_file_info(b).type != fs.FileType.NotFound:
+                raise OSError("there is such a file")
+            self.under.move(a, b)
+
+    for n in "ab":
+        (tmp_path / f"x.{n}.part").write_bytes(b"same")
+        token_files.publish(Strict(), f"{tmp_path}/x.{n}.part", f"{tmp_path}/x")
+    assert [p.name for p in tmp_path.iterdir()] == ["x"]
+    with pytest.raises(OSError):
+        token_files.publish(Strict(), f"{tmp_path}/none.part", f"{tmp_path}/y")
+
+
 def test_spans_are_bounded():
     assert token_files.span_count(0, 0) == 1 and token_files.span_count(100 << 40, 1 << 40) == token_files.MOST_SPANS
 
