@@ -7,7 +7,7 @@ non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prio
 never used. Both samples are bounded; the score is given to every whole text.
 
 Null and empty texts have zero measures and get a score too; very long texts are measured whole; repeated rows score
-alike; duplicate labels of an id count as good if one does; without positives every score is 0; an empty table gives no
+alike; of an id's texts it learns from one; duplicate labels of an id count as good if one does; without positives every score is 0; an empty table gives no
 rows; a column that has the result's name is replaced, other columns don't matter.
 """
 
@@ -159,12 +159,13 @@ def fit(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col:
     """good_ids: ids of trusted positives. Unlabelled texts are drawn from all of docs."""
     good = bounded_sample(good_ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct(), FIT_ROWS, "_id").withColumn("_good", F.lit(True))
     other = bounded_sample(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct(), FIT_ROWS, "_id").withColumn("_good", F.lit(False))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(good.unionByName(other)), "_id").select("_good", "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(good.unionByName(other)), "_id").select("_good", "_id", "_text")
 
     def start():
         return lambda values: [pa.FixedSizeListArray.from_arrays(pa.array(measures(values).ravel()), len(MEASURES)).cast(pa.list_(pa.float64()))]
 
-    rows = append_columns(texts, "_text", {"_measures": "array<double>"}, start).select("_good", "_measures").toArrow()
+    # an id gives one row, however many texts have it, and rows come in order of their ids
+    rows = append_columns(texts, "_text", {"_measures": "array<double>"}, start).groupBy("_good", "_id").agg(F.min("_measures").alias("_measures")).toArrow().sort_by([("_good", "ascending"), ("_id", "ascending")])
     x = np.array(rows["_measures"].to_pylist(), dtype=float).reshape(-1, len(MEASURES))
     which = np.array(rows["_good"].to_pylist(), dtype=bool)
     return learn(x[which], x[~which])

@@ -7,7 +7,7 @@ by themselves or together with one other term, so that two terms which are toxic
 fitted on a bounded sample of labelled rows, and applied to every whole text.
 
 Null and empty texts have no terms and score sigmoid(w0); very long texts are scored whole, a term counting once; repeated
-rows score alike; duplicate labels of an id count as toxic if one does; without labelled rows, or with labels of one kind,
+rows score alike; of an id's texts it learns from one; duplicate labels of an id count as toxic if one does; without labelled rows, or with labels of one kind,
 the machine is a constant (sigmoid(-2), or sigmoid(2) if all are toxic); an empty table gives no rows; a column that has
 the name of the result is replaced, other columns don't matter.
 """
@@ -176,7 +176,7 @@ def learn(labels: np.ndarray, row: np.ndarray, bucket: np.ndarray, seed: int = 7
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """labels: the rows to learn from, at most FIT_ROWS of them."""
     chosen = bounded_sample(labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")), FIT_ROWS, "_id")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_label", "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
 
     def start():
         def of(values: pa.Array) -> list[pa.Array]:
@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return of
 
-    rows = append_columns(texts, "_text", {"_terms": "binary"}, start).select("_label", "_terms").toArrow()
+    # an id gives one row, however many texts have it, and rows come in order of their ids
+    rows = append_columns(texts, "_text", {"_terms": "binary"}, start).groupBy("_id").agg(F.max("_label").alias("_label"), F.min("_terms").alias("_terms")).toArrow().sort_by("_id")
     terms = [np.frombuffer(t.as_buffer(), dtype="<i4") for t in rows["_terms"]]
     row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
     return learn(np.array(rows["_label"].to_pylist(), dtype=np.int64), row, np.concatenate(terms) if terms else np.zeros(0, dtype=np.int32))

@@ -304,3 +304,17 @@ def test_language_odd_rows(spark, odd, none):
     assert language_bloom.predict(none, m, lang_out="lp", score_out="ls").count() == 0
     kept = language_bloom.reject(odd, m)
     assert kept.columns == odd.columns and kept.count() <= len(ODD) - 4
+
+
+def test_fitting_takes_one_row_of_an_id(spark, monkeypatch):
+    """A sampled id that most rows share brings one text to the driver, and the partitions' order doesn't matter."""
+    rows = [(i, f"word{i} and more {'bad ' * (i % 2)}") for i in range(40)] + [(7, f"text {i}") for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity_fm, "learn", lambda y, row, bucket: seen.append((y.tolist(), row.tolist(), bucket.tolist())))
+    monkeypatch.setattr(quality_pu, "learn", lambda good, other: seen.append((good.tolist(), other.tolist())))
+    for order in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(7)):
+        toxicity_fm.fit(order, labels)
+        quality_pu.fit(order, labels.where("toxic = 0"))
+    assert seen[:2] == seen[2:] and seen[0][0] == [i % 2 for i in range(40)]
+    assert (len(seen[1][0]), len(seen[1][1])) == (20, 40)
