@@ -104,13 +104,13 @@ def binary_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None
     return pa.Array.from_buffers(kind or pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def words(texts: pa.Array, lower_ascii: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def words(texts: pa.Array, lower_ascii: bool = False, outside: Callable[[np.ndarray], np.ndarray] = is_space) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The words `[^\\x20\\x09-\\x0D]+` of texts: the distinct ones (strings), each occurrence's index among them,
-    and len + 1 offsets of the texts' occurrences."""
+    and len + 1 offsets of the texts' occurrences. outside: which bytes are in no word, if not these."""
     data, offsets = text_bytes(texts)
     if lower_ascii and len(data):
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    inside = ~is_space(data)
+    inside = ~outside(data)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < len(data)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeline.llm import conversation_repair, language_bloom, line_rules, masked_lm, near_dup, packing, pair_index_bpe, quality_pu, token_files, topk_nra, toxicity_fm
+from lakeline.llm import conversation_repair, language_bloom, lexical_blocks, line_rules, masked_lm, near_dup, packing, pair_index_bpe, quality_pu, token_files, topk_nra, toxicity_fm
 from lakeline.llm.common import remainder, table
 
 
@@ -73,12 +73,16 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
 
+def op12_lexical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_blocks.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_quality, op4_line_rules, op5_packing, op6_token_files, op7_masked_lm, op8_pair_index_bpe, op9_language, op10_near_dup, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_quality, op4_line_rules, op5_packing, op6_token_files, op7_masked_lm, op8_pair_index_bpe, op9_language, op10_near_dup, op12_lexical_blocks, op13_conversation_repair)}
 
 
 TOPK_SQL = """
@@ -106,4 +110,4 @@ from d left join n using (doc_id) left join comp on comp.node = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": TOPK_SQL, "op4_line_rules": line_rules.ORACLE, "op10_near_dup": NEAR_SQL, "op13_conversation_repair": conversation_repair.ORACLE}
+    return {"op2_topk": TOPK_SQL, "op4_line_rules": line_rules.ORACLE, "op10_near_dup": NEAR_SQL, "op12_lexical_blocks": lexical_blocks.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
