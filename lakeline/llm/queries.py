@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeline.llm import conversation_repair, language_bloom, lexical_blocks, line_rules, masked_lm, near_dup, packing, pair_index_bpe, quality_pu, token_files, topk_nra, toxicity_fm
+from lakeline.llm import conversation_repair, language_bloom, lexical_blocks, line_rules, masked_lm, near_dup, packing, pair_index_bpe, quality_pu, set_relation_join, token_files, topk_nra, toxicity_fm
 from lakeline.llm.common import remainder, table
 
 
@@ -73,6 +73,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
 
+def op11_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_relation_join.classes(documents(spark, sf_dir))
+
+
 def op12_lexical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_blocks.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -82,7 +86,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_quality, op4_line_rules, op5_packing, op6_token_files, op7_masked_lm, op8_pair_index_bpe, op9_language, op10_near_dup, op12_lexical_blocks, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_toxicity, op2_topk, op3_quality, op4_line_rules, op5_packing, op6_token_files, op7_masked_lm, op8_pair_index_bpe, op9_language, op10_near_dup, op11_set_relation_join, op12_lexical_blocks, op13_conversation_repair)}
 
 
 TOPK_SQL = """
@@ -94,20 +98,28 @@ select query_id, (row_number() over (partition by query_id order by score desc,
 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20
 """
 
-NEAR_SQL = r"""
+#: Classes of similar texts: by n-grams of one word and so many more, similarity in percent.
+CLASSES_SQL = r"""
 with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-p as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2)::bigint)) as i from d where len(w) > 0),
-s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from p),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - {more} + 1, 2)::bigint)) as i from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i : i + {more}], ' ') as g from p),
 n as (select doc_id, count(*) as n from s group by doc_id),
 c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
-e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= {percent} * (x.n + y.n - k)),
 both_ways as (select a, b from e union all select b, a from e),
 reach as (select doc_id as node, doc_id as root from n union select b, root from reach join both_ways on a = node),
 comp as (select node, min(root) as component_id from reach group by node)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, coalesce(component_id, d.doc_id) = d.doc_id as kept
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id{rest}
 from d left join n using (doc_id) left join comp on comp.node = d.doc_id
 """
 
 
+def classes_sql(size: int, percent: int, rest: str = "") -> str:
+    return CLASSES_SQL.replace("{more}", str(size - 1)).replace("{percent}", str(percent)).replace("{rest}", rest)
+
+
+NEAR_SQL = classes_sql(5, 85, ", coalesce(component_id, d.doc_id) = d.doc_id as kept")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": TOPK_SQL, "op4_line_rules": line_rules.ORACLE, "op10_near_dup": NEAR_SQL, "op12_lexical_blocks": lexical_blocks.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
+    return {"op2_topk": TOPK_SQL, "op4_line_rules": line_rules.ORACLE, "op10_near_dup": NEAR_SQL, "op11_set_relation_join": classes_sql(3, 90), "op12_lexical_blocks": lexical_blocks.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
