@@ -3,7 +3,8 @@
 Equal sets are folded first. Then two relations save work:
 
 *Relations within lists.* Every set indexes its prefix, the first tokens in one global order of which any similar set must have
-one (tokens that are frequent in some slice of the corpus come last, the rest by hash). An index list is in order of set size and token
+one. Rare tokens come first: what repeats inside a slice of the corpus is counted in a table of fixed size by the tokens' hash, tokens are
+ordered by the binary logarithm of their count there, and by hash. An index list is in order of set size and token
 position and cut into blocks of equal size and position. What two entries' sizes and positions let their sets share at most is
 the same for two whole blocks, so blocks are skipped as wholes; of what stays, entries are compared by 64-bit parities of their
 sets, which bound the difference of two sets from below.
@@ -16,8 +17,7 @@ same lists, prefixes (in order of their exact counts) and blocks, with the deriv
 
 Candidates of both joins are confirmed exactly, on differences or on whole token sets. Tokens are 64-bit hashes; two texts'
 sets are taken for another by a collision with a chance of about 1e-13 a pair. Leaders, parities and the order of tokens only
-save work: results don't depend on them. No list, group or class is capped; a list holds at most the sets of which a token that is
-not frequent is in the prefix.
+save work: results don't depend on them. No list, group or class is capped.
 
 Null and empty texts have an empty set and link with nothing; texts with fewer words than an n-gram have one token, all their
 words; very long texts have their whole set; rows that share an id are one document (equal texts), those without an id are a class of their
@@ -39,8 +39,8 @@ from lakeline.llm.near_dup import components, labelled, mixed, picked
 
 #: MinHash values that leaders are found by, and rounds of finding them.
 KEYS, ROUNDS = 8, 2
-#: A token counts as frequent from this share of the documents on, as the slices that it repeats in tell: there are at most so many times a set's average size.
-FREQUENT = 500
+#: Counters of repeated tokens (a byte each, which every task holds); tokens that share one are taken for equally frequent.
+COUNTERS = 1 << 21
 #: Entries of a list that are compared one by one; longer lists go block by block.
 SHORT_LIST = 48
 #: Multipliers of the token hash, odd 64-bit numbers.
@@ -70,9 +70,10 @@ def token_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, mins, often): a set's size, digest and MinHash values; a slice's first row has its frequent tokens."""
+    """Rows (doc_id, n_shingles, digest, mins, often): a set's size, digest and MinHash values; a slice's first row has counters of the tokens that repeat in it."""
     rng = np.random.default_rng(20170801)
     a, b = rng.integers(0, 1 << 63, KEYS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, KEYS, dtype=np.uint64)
+    counters = COUNTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,23 +83,26 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
                 mins = [[int(v) for v in (mixed(np.array([(s * p + q).min() for p, q in zip(a, b)])) >> np.uint64(1)).astype(np.int64)] if len(s) else [] for s in sets]
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                much = counts >= max(2, len(sets) / FREQUENT)
-                often = [[{"token": t, "n": c} for t, c in zip(tokens[much].view(np.int64).tolist(), counts[much].tolist())]] + [None] * (len(sets) - 1)
-                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))]
+                sums = np.bincount(counter(tokens[counts > 1], counters), counts[counts > 1])
+                at = np.flatnonzero(sums)
+                often = [[{"counter": int(c), "n": int(k)} for c, k in zip(at, sums[at])]] + [None] * (len(sets) - 1)
+                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("counter", pa.int64()), ("n", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(x, k) for x, k in zip((n, digests, mins, often), kinds)]], names=["doc_id", "n_shingles", "digest", "mins", "often"])
 
-    spec = "doc_id long, n_shingles long, digest binary, mins array<long>, often array<struct<token: long, n: long>>"
+    spec = "doc_id long, n_shingles long, digest binary, mins array<long>, often array<struct<counter: long, n: long>>"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, spec)
 
 
-def frequent_tokens(sketched: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens counted in at least a FREQUENT-th of the documents, sorted, and their ranks from 1: at most FREQUENT times a set's average size."""
-    total = sketched.count()
-    counted = sketched.select(F.explode("often").alias("o")).groupBy("o.token").agg(F.sum("o.n").alias("n")).where(F.col("n") * FREQUENT >= total)
-    rows = counted.orderBy("n", "token").collect()
-    tokens = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], order + 1
+def counter(tokens: np.ndarray, counters: int) -> np.ndarray:
+    return (tokens % np.uint64(counters)).astype(np.int64)
+
+
+def frequencies(sketched: DataFrame) -> np.ndarray:
+    """For each counter the binary logarithm of the repeated tokens counted there (0: none), a byte each."""
+    rows = sketched.select(F.explode("often").alias("o")).groupBy("o.counter").agg(F.sum("o.n").alias("n")).select(F.col("counter").cast("int"), F.ceil(F.log2(F.col("n") + 1)).cast("byte").alias("level")).toArrow()
+    table = np.zeros(COUNTERS, dtype=np.uint8)
+    table[rows["counter"].to_numpy()] = rows["level"].to_numpy()
+    return table
 
 
 def leaders(nodes: DataFrame) -> DataFrame:
@@ -259,19 +263,17 @@ def derived_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(2 * (100 + percent) * common >= F.col("need_a") + F.col("need_b")).select("a", "b")
 
 
-def prefix_entries(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+def prefix_entries(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """Entries of whole sets' prefixes. nodes: (node, group, linked)."""
-    tokens, ranks = frequent
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 1):
                 n, prefixes, parities = [], [], []
                 for s in token_sets(piece.column(1), size):
-                    at = np.minimum(np.searchsorted(tokens, s), max(0, len(tokens) - 1))
-                    rank = np.where(tokens[at] == s, ranks[at], 0) if len(tokens) else np.zeros(len(s), dtype=np.int64)
                     first = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                    prefixes.append(s[np.argsort(rank, kind="stable")[:first]].view(np.int64))
+                    prefixes.append(s[np.argsort(shared.value[counter(s, len(shared.value))], kind="stable")[:first]].view(np.int64))
                     parities.append(np.packbits(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.uint8) & 1).view(np.int64)[0])
                     n.append(len(s))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
@@ -335,7 +337,7 @@ def classes(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "do
     derived = derived_links(written(candidates(entries, 2 * (100 + percent)), "pairs"), sets, percent)
     second = written(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(derived)), "derived")
     groups = labelled(labelled(nodes.select("node"), second).withColumnRenamed("component", "linked"), followers.select("node", F.col("leader").alias("component"))).withColumnRenamed("component", "group")
-    found = candidates(prefix_entries(docs, groups, frequent_tokens(sketched), percent, size, id_col, text_col), 2 * (100 + percent))
+    found = candidates(prefix_entries(docs, groups, frequencies(sketched), percent, size, id_col, text_col), 2 * (100 + percent))
     links = confirmed(written(found, "candidates"), docs, percent, size, id_col, text_col)
     last = written(components(second.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
     member = folded.select("digest", "node").join(last, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
