@@ -1,14 +1,17 @@
 """Exact top-k search by inner product with the no-random-access algorithm.
 
 Candidates and queries are dealt into blocks; every pair of blocks is worked on by itself, and each query's best of all
-blocks are merged. A block of candidates holds a sorted list per dimension. For a query the lists are read from the end
-where they add most, all to one depth, which grows step by step. A candidate's score has a lower bound (what was seen of
+blocks are merged. A block of candidates holds a sorted list of (value, candidate) per dimension. For a query the lists are read in order, from the end
+where they add most, all to one depth, which grows step by step; no value is looked at before its list is read that far. A candidate's score has a lower bound (what was seen of
 it, and the lists' worst values for the rest) and an upper bound (what was seen, and the values at the depth reached for
 the rest). A candidate whose upper bound is below the k-th best lower bound is an outsider for good. A query stops reading
-when no more than `FEW` times k candidates are not outsiders (or the lists end); only their final scores are resolved, each
-query's for itself. Ties at a bound stay in, so that equal scores go to the smaller id. The queries of a block read side by
+when no more than `FEW` times k candidates are not outsiders (or the lists end); only then are these candidates' whole vectors fetched, and
+their final scores resolved, each query's for itself. Ties at a bound stay in, so that equal scores go to the smaller id. The queries of a block read side by
 side, those that have stopped no longer.
 
+All candidates meet all queries, so the work grows with the product of both numbers, and in dimensions without structure lists are read nearly
+to their ends: this is meant for query sets of up to some 10^5 and for candidates of up to some 10^8.
+
 Vectors that are null or hold null or non-finite components, and null ids, take no part; vectors of different lengths
 have no score with each other; repeated rows are candidates each; an empty table gives no rows; other columns don't matter.
 """
@@ -29,7 +32,7 @@ LEFT = 0.5
 #: Times k candidates, not outsiders, at which a query stops reading.
 FEW = 4
 #: Queries whose bounds are held at one time.
-AT_ONCE = 64
+AT_ONCE = 256
 
 
 def depths(n: int) -> list[int]:
@@ -41,30 +44,47 @@ def depths(n: int) -> list[int]:
     return out
 
 
-def bounds(v: np.ndarray, lists: np.ndarray, depth: int, gain: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of queries (their positive and negative parts) for candidates v, all lists read to depth.
+class Lists:
+    """For each dimension the candidates' values in ascending order, and whose they are."""
 
-    lists: each dimension's values in ascending order. Positive weights read from the top, negative ones from the bottom.
-    """
-    top, bottom = lists[-depth], lists[depth - 1]
-    upper = gain @ np.maximum(v, top).T + loss @ np.minimum(v, bottom).T
-    lower = gain @ np.where(v >= top, v, lists[0]).T + loss @ np.where(v <= bottom, v, lists[-1]).T
-    return lower, upper
+    def __init__(self, v: np.ndarray):
+        order = np.argsort(v, axis=0, kind="stable")
+        self.candidates, self.values = order.T, np.take_along_axis(v, order, axis=0).T
+        self.n, self.dims = v.shape
+
+    def known(self, depth: int, top: bool, rest: np.ndarray) -> np.ndarray:
+        """What the lists say of all candidates when they are read to that depth from the top or from the bottom: values that were read, and rest for others."""
+        part = slice(self.n - depth, self.n) if top else slice(0, depth)
+        out = np.empty((self.n, self.dims), dtype=self.values.dtype)
+        out[:] = rest
+        out[self.candidates[:, part], np.arange(self.dims)[:, None]] = self.values[:, part]
+        return out
+
+    def bounds(self, depth: int, left: np.ndarray, gain: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of queries (their positive and negative parts) for the candidates left, all lists read to depth.
+
+        Positive weights read from the top, negative ones from the bottom; what is unread is between the value at the depth and the list's end.
+        """
+        least, most = self.values[:, 0], self.values[:, -1]
+        top, bottom = self.values[:, self.n - depth], self.values[:, depth - 1]
+        upper = gain @ self.known(depth, True, top)[left].T + loss @ self.known(depth, False, bottom)[left].T
+        lower = gain @ self.known(depth, True, least)[left].T + loss @ self.known(depth, False, most)[left].T
+        return lower, upper
 
 
-def read(v: np.ndarray, lists: np.ndarray, q: np.ndarray, open_: np.ndarray, k: int) -> np.ndarray:
-    """Reads the lists of candidates v for some queries, and returns the depth that each stopped at.
+def read(lists: Lists, q: np.ndarray, open_: np.ndarray, k: int) -> np.ndarray:
+    """Reads the lists for some queries, and returns the depth that each stopped at.
 
     open_ (query by candidate) says which candidates are allowed, and afterwards which are not outsiders.
     """
-    n, none = len(v), -np.inf if v.dtype.kind == "f" else np.iinfo(np.int64).min
+    none = -np.inf if q.dtype.kind == "f" else np.iinfo(np.int64).min
     stopped = np.zeros(len(q), dtype=np.int64)
     busy = np.flatnonzero(open_.sum(axis=1) > FEW * k)
-    for depth in depths(n):
+    for depth in depths(lists.n):
         if not len(busy):
             break
         left = np.flatnonzero(open_[busy].any(axis=0))
-        lower, upper = bounds(v[left], lists, depth, np.maximum(q[busy], 0), np.minimum(q[busy], 0))
+        lower, upper = lists.bounds(depth, left, np.maximum(q[busy], 0), np.minimum(q[busy], 0))
         own = open_[np.ix_(busy, left)]
         lower[~own] = none
         least = np.partition(lower, len(left) - k, axis=1)[:, len(left) - k]
@@ -81,12 +101,12 @@ def block_top(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarr
     ids, v = ids[order], v[order]
     exact = v.shape[1] * float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**53
     v, q = (v.astype(np.float64), q.astype(np.float64)) if exact else (v, q)
-    lists = np.sort(v, axis=0)
+    lists = Lists(v)
     out: tuple[list, list, list] = ([], [], [])
     for at in range(0, len(q), AT_ONCE):
         part, own = q[at : at + AT_ONCE], query_ids[at : at + AT_ONCE]
         open_ = ids[None, :] != own[:, None]
-        read(v, lists, part, open_, k)
+        read(lists, part, open_, k)
         for i, weights in enumerate(part):
             fit = np.flatnonzero(open_[i])
             score = v[fit] @ weights

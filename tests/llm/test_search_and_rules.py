@@ -46,11 +46,14 @@ def test_topk_with_odd_rows(spark, seed, monkeypatch):
 def test_bounds_hold_and_meet():
     r = np.random.default_rng(4)
     v, q = r.integers(-30, 30, (50, 8)).astype(float), r.integers(-30, 30, (5, 8)).astype(float)
-    lists, score = np.sort(v, axis=0), q @ v.T
+    lists, score = topk_nra.Lists(v), q @ v.T
     for depth in (1, 10, 40, 50):
-        lower, upper = topk_nra.bounds(v, lists, depth, np.maximum(q, 0), np.minimum(q, 0))
+        lower, upper = lists.bounds(depth, np.arange(50), np.maximum(q, 0), np.minimum(q, 0))
         assert (lower <= score).all() and (score <= upper).all()
     assert (lower == upper).all()
+    # what is not read is not known
+    known = lists.known(7, True, np.full(8, -99.0))
+    assert ((known == -99).sum(axis=0) == 43).all() and (np.sort(known, axis=0)[-7:] == np.sort(v, axis=0)[-7:]).all()
 
 
 def test_queries_stop_when_outsiders_cannot_qualify():
@@ -60,7 +63,7 @@ def test_queries_stop_when_outsiders_cannot_qualify():
     q = np.concatenate([r.integers(1, 30, (5, 6)), r.integers(-30, 30, (5, 6))]).astype(float)
     open_ = np.ones((10, 1000), dtype=bool)
     open_[0, 950] = False
-    stopped = topk_nra.read(v, np.sort(v, axis=0), q, open_, 5)
+    stopped = topk_nra.read(topk_nra.Lists(v), q, open_, 5)
     assert (stopped[:5] < 1000).all() and (open_[:5].sum(axis=1) <= 100).all() and not open_[0, 950]
     for i, score in enumerate(q @ v.T):
         score[950] = -np.inf if i == 0 else score[950]
