@@ -178,13 +178,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
     return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for all ends of edges (a, b): component is the smallest node reachable.
 
-    Large-star and small-star in turn, until the edges are stars; each round's edges are written out.
+    Large-star and small-star in turn, until the edges are stars; each round's edges are written out. Rounds grow with the logarithm of the nodes.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -195,8 +195,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         rows, distinct = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
         if rows == distinct and not edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").take(1):
             break
-    else:
-        raise RuntimeError(f"the components did not settle in {rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
