@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeline.llm import simple8b, tokens
-from lakeline.llm.common import binary_array, shared_dir, slices
+from lakeline.llm.common import binary_array, shared_dir, slices, store
 
 MAGIC = b"LKS8B1\0\0"
 #: Bytes of words after which a file ends.
@@ -101,13 +101,6 @@ def read_file(content) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, null, sizes, simple8b.decode(words.astype(np.uint64))
 
 
-def store(target: str):
-    """The file system of a folder, and the folder's path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(target)
-
-
 def publish(files, temporary: str, name: str) -> None:
     """Gives a complete file its final name; one that another run of the task has named already has the same content and stays."""
     from pyarrow import fs

@@ -221,15 +221,30 @@ def test_language_filter_holds_its_ngrams(spark):
     """Every n-gram is found for its languages; others at about the predicted rate."""
     rng = np.random.default_rng(2)
     grams = {f"l{i:02}": rng.integers(1 << 60, size=300) for i in range(70)}
-    m = language_bloom.build(spark.createDataFrame([(k, int(g)) for k, v in grams.items() for g in v], "lang string, gram long"))
-    assert m.languages == sorted(grams)
-
-    def hits(keys, i):
-        found = np.bitwise_and.reduce([m.masks[at] for at in language_bloom.places(keys, len(m.masks))])
-        return (found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)
-
-    assert all(hits(grams[name], i).all() for i, name in enumerate(m.languages))
-    assert m.false.max() < 1e-4 and np.mean([hits(rng.integers(1 << 60, size=2000), i).mean() for i in range(70)]) < 1e-3
+    m = language_bloom.build(spark.createDataFrame([(k, int(g), bool(g % 3)) for k, v in grams.items() for g in v], "lang string, gram long, strong boolean"))
+    filters = language_bloom.Filters(m)
+    assert m.languages == sorted(grams) and m.width() == 3
+    for i, name in enumerate(m.languages):
+        hits = filters.hits(grams[name])
+        assert hits[0, :, i].all() and (hits[1, :, i] >= (grams[name] % 3 > 0)).all()
+    assert m.false.max() < 1e-3 and filters.hits(rng.integers(1 << 60, size=20_000)).mean() < 1e-3
+
+
+@pytest.mark.parametrize("n", [2_000, 40_000])
+def test_false_positives_don_t_grow_with_the_corpus(spark, monkeypatch, n):
+    """Two languages without a common n-gram, segments of a small forced size and few of them held: as many false positives at any number."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(language_bloom, "SEGMENT", 1 << 12)
+    rows = spark.range(2 * n).select(F.when(F.col("id") < n, "a").otherwise("b").alias("lang"), F.xxhash64("id").alias("gram"), F.lit(True).alias("strong"))
+    m = language_bloom.build(rows)
+    grams = {r["lang"]: r["g"] for r in rows.groupBy("lang").agg(F.collect_list("gram").alias("g")).collect()}
+    filters = language_bloom.Filters(m, 5 * (8 << 12))
+    assert m.segments == -(-2 * n * language_bloom.ROOM // (1 << 12))
+    for i, name in enumerate("ab"):
+        hits = filters.hits(np.array(grams[name]))
+        assert hits[:, :, i].all() and hits[0, :, 1 - i].mean() < 0.01 and abs(hits[0, :, 1 - i].mean() - m.false[0, 1 - i]) < 0.002
+    assert len(filters.held) <= 5
 
 
 def test_language_model_and_query_against_brute_force(spark):
@@ -244,17 +259,17 @@ def test_language_model_and_query_against_brute_force(spark):
     for c in rate.values():
         for g, x in c.items():
             best[g] = max(best[g], x)
-    member = {k: {g for g, x in c.items() if x >= language_bloom.RIVAL * best[g]} for k, c in rate.items()}
-    assert set().union(*member.values()) == set(best), "no n-gram is left out"
+    strong = {k: {g for g, x in c.items() if x >= language_bloom.RIVAL * best[g]} for k, c in rate.items()}
     train = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").where(common.remainder(4) != 2)
     found = {}
     for r in language_bloom.members(language_bloom.gram_counts(train, "text", "lang")).collect():
-        found.setdefault(r["lang"], set()).add(r["gram"])
-    assert found == member
+        found.setdefault(r["lang"], {})[r["gram"]] = r["strong"]
+    assert found == {k: {g: g in strong[k] for g in c} for k, c in rate.items()}, "every counted n-gram is in all its languages"
     texts = {r["doc_id"]: r["text"] for r in docs}
     for r in queries.op9_language(spark, SF).collect():
         grams = brute_grams(texts[r["doc_id"]])
-        share = {k: sum(g in member[k] for g in grams) / max(1, len(grams)) for k in sorted(member)}
+        weight = lambda g, k: 1 if g in strong[k] else language_bloom.WEAK * (g in rate[k])
+        share = {k: sum(weight(g, k) for g in grams) / max(1, len(grams)) for k in sorted(rate)}
         if not grams:
             assert (r["lang_pred"], r["score"]) == ("und", 0)
         else:
