@@ -31,8 +31,16 @@ def before_blocks(rows: DataFrame, series: list[str], order: list[str], value: s
     return ends.select(*series, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
 
 
+def null_safe(one: DataFrame, two: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of which null equals null; the left side's columns stay."""
+    named = two.withColumnsRenamed({c: f"_on{i}" for i, c in enumerate(on)})
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)])
+    return one.join(named, same, how).drop(*[f"_on{i}" for i in range(len(on))])
+
+
 def with_carried(rows: DataFrame, series: list[str], carried: DataFrame) -> DataFrame:
-    return rows.join(carried, [*series, "_block"])
+    """rows with `_carried`; a missing label is a label like others."""
+    return null_safe(rows, carried, [*series, "_block"])
 
 
 def on_grid(samples: DataFrame, start: Column, stop: Column, step_seconds: int, series: list[str]) -> DataFrame:
@@ -78,20 +86,20 @@ def predict(samples: DataFrame, series: list[str], seconds: Column, ahead: int,
 
 
 def ratio(top: DataFrame, bottom: DataFrame, on: list[str]) -> DataFrame:
-    """Quotient of two vectors, joined on all labels; null where the lower one is zero."""
-    return top.select(*on, F.col("value").alias("_t")).join(bottom.select(*on, F.col("value").alias("_b")), on).select(*on, (F.col("_t") / F.nullif(F.col("_b"), F.lit(0.0))).alias("ratio"))
+    """Quotient of two vectors, joined on all labels (null equals null); null where the lower one is zero."""
+    return null_safe(top.select(*on, F.col("value").alias("_t")), bottom.select(*on, F.col("value").alias("_b")), on).select(*on, (F.col("_t") / F.nullif(F.col("_b"), F.lit(0.0))).alias("ratio"))
 
 
-#: Points that are held as one list per key; more of them are found by sorting.
-FEW_POINTS = 10_000
+#: Points that are held as lists beside every log row; more of them are found by sorting, with the same result.
+FEW_POINTS = 64
 
 
 def asof_forward(points: DataFrame, log: DataFrame, by: list[str], at: str, ts: str, number: str, block: Callable[[Column], Column] | None = None) -> DataFrame:
-    """For each point the lowest number of the log whose time is at or after the point's.
+    """For each point the lowest number of the log whose time is at or after the point's; points that are there twice are found twice.
 
     The lowest number at or after a time may have a later time than another: it is the least over all that follows. Few
     points (they are counted) stand as one sorted list per key beside each log row, which counts to the last point that it is not
-    before; least numbers are then taken by point, before any shuffle, and over the points that follow. With more points
+    before; so least numbers are taken by point before any shuffle, and then over the points that follow. With more points
     all are sorted together by key and time, in blocks of a key's times (days, of numbers 86,400, or what `block` makes of a time: it
     must rise with it), so that a key with most of the log is no single task. Points without a key or time find nothing.
     """
@@ -104,13 +112,11 @@ def asof_forward(points: DataFrame, log: DataFrame, by: list[str], at: str, ts:
     reached = log.select(*by, F.col(ts).alias("_t"), F.col(number).cast("long").alias("_n")).join(F.broadcast(lists), by)
     place = F.size(F.filter("_at", lambda x: x <= F.col("_t")))
     least = reached.withColumn("_place", place).where("_place > 0").groupBy(*by, "_place").agg(F.min("_n").alias("_n"))
-    placed = points.join(F.broadcast(lists), by, "left").withColumn("_place", F.array_position("_at", F.col(at)).cast("int"))
-    # no more rows than points and places of them
-    after = least.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_place").alias("_later"), "_n")
-    follows = functools.reduce(operator.and_, [F.col(c) == F.col(f"_b{i}") for i, c in enumerate(by)], F.col("_later") >= F.col("_place"))
-    row = F.struct(*extra)
-    found = placed.join(F.broadcast(after), follows, "left").groupBy(*by, row.alias("_p")).agg(F.min("_n").alias("_n"))
-    return found.select(*by, *[F.col("_p")[c].alias(c) for c in extra], F.col("_n").alias(number))
+    # no more rows than distinct points
+    following = least.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_place", "_n"))).alias("_least"))
+    held = points.join(F.broadcast(lists), by, "left").join(F.broadcast(following), by, "left").withColumn("_place", F.array_position("_at", F.col(at)))
+    after = F.array_min(F.transform(F.filter("_least", lambda x: x["_place"] >= F.col("_place")), lambda x: x["_n"]))
+    return held.select(*by, *extra, after.alias(number))
 
 
 def asof_sorted(points: DataFrame, log: DataFrame, by: list[str], at: str, ts: str, number: str, extra: list[str], block: Callable[[Column], Column]) -> DataFrame:
