@@ -1,17 +1,13 @@
-"""Keyed tables from changes: upsert, delete, replay-safe merge, stored tables with versions."""
+"""Keyed tables from changes: upsert, delete, replay-safe merge."""
 
 from __future__ import annotations
 
-import datetime
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.operators import schema
-from lakeline.sources import files
-
 #: Of changes with one sequence number, the later operation wins.
 OP_ORDER = {"r": 0, "c": 1, "u": 2, "d": 3}
 
@@ -67,6 +63,11 @@ def compact_log(log: DataFrame, keys: list[str], order: list[Column], value: str
     return latest(log, keys, order).where(F.col(value).isNotNull())
 
 
+def delete_keys(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The target without the rows of these keys (null equals null)."""
+    return null_safe(target, keys, on, "left_anti")
+
+
 def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which the condition is not true (a null condition deletes nothing)."""
     return df.where(~F.coalesce(condition, F.lit(False)))
@@ -80,154 +81,3 @@ def null_safe(rows: DataFrame, other: DataFrame, keys: list[str], how: str) -> D
     """A semi or anti join on keys of which null equals null."""
     named = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     return rows.join(named, functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]), how)
-
-
-def ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def read_schema(columns: str) -> str:
-    return f"{columns}, _removed boolean, version long"
-
-
-class KeyedTable:
-    """A keyed table below a folder: every version adds the rows that it put or removed, and reads put them together.
-
-    `rows/version=N` holds a version's changes, `bases/version=N` a whole state from which reads start, and `versions` a row
-    per version: (version, parent, at, kind, whole, columns, n_put, n_removed). A version counts once it is in that list; what
-    a writer left behind before is overwritten by the next one. A rollback is a version whose parent is an older one. Of a
-    key's rows the one of the largest `order` counts, then of the latest version; with an order, late and repeated changes
-    do no harm, and removed keys keep a tombstone. Null keys are equal to each other. One writer at a time.
-    """
-
-    LIST = "version long, parent long, at timestamp, kind string, whole boolean, columns string, n_put long, n_removed long"
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str] | None = None):
-        self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), keys, order or []
-
-    def history(self) -> DataFrame:
-        """The list of versions; a table without any gives none."""
-        empty = self.spark.createDataFrame([], self.LIST)
-        if not files.exists(self.spark, f"{self.path}/versions"):
-            return empty
-        rows = self.spark.read.schema(f"{self.LIST}, generation long").parquet(f"{self.path}/versions")
-        newest = rows.agg(F.max("generation").alias("newest"))
-        return rows.join(F.broadcast(newest), F.col("generation") == F.col("newest")).select(*empty.columns)
-
-    def versions(self) -> dict[int, Row]:
-        """The list by version: a row per commit since versions were last expired."""
-        return {r["version"]: r for r in self.history().orderBy("version").collect()}
-
-    def at_time(self, at: datetime.datetime) -> int | None:
-        """The newest version at that time."""
-        return max((v for v, r in self.versions().items() if r["at"] <= at), default=None)
-
-    def chain(self, listed: dict[int, Row], version: int) -> list[int]:
-        """A version and those before it that it builds on, from the newest to a whole state (or the first)."""
-        found = [version]
-        while not listed[found[-1]]["whole"] and listed[found[-1]]["parent"] is not None:
-            found.append(listed[found[-1]]["parent"])
-        return found
-
-    def state(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version (the newest if None) with `_removed`, tombstones included."""
-        listed = self.versions()
-        if not listed:
-            return None
-        chain = self.chain(listed, max(listed) if version is None else version)
-        columns = listed[chain[0]]["columns"]
-        read = self.spark.read.schema(read_schema(columns))
-        base = read.parquet(f"{self.path}/bases").where(F.col("version") == chain[-1]) if listed[chain[-1]]["whole"] else None
-        later = [v for v in chain if not listed[v]["whole"] and listed[v]["n_put"] + listed[v]["n_removed"]]
-        if not later:
-            return (base if base is not None else self.spark.createDataFrame([], read_schema(columns))).drop("version")
-        places = self.spark.createDataFrame([(v, len(chain) - i) for i, v in enumerate(chain)], "version long, _place int")
-        placed = lambda df: df.join(F.broadcast(places), "version").drop("version")
-        changes = latest(placed(read.parquet(f"{self.path}/rows").where(F.col("version").isin(later))), self.keys, [F.col(c) for c in [*self.order, "_place"]])
-        if base is not None:
-            # only rows of changed keys are put together with the changes; all others of the base pass by
-            base, touched = placed(base), changes.select(*self.keys)
-            rest = null_safe(base, touched, self.keys, "left_anti")
-            changes = latest(null_safe(base, touched, self.keys, "left_semi").unionByName(changes), self.keys, [F.col(c) for c in [*self.order, "_place"]])
-            changes = rest.unionByName(changes)
-        return changes.drop("_place")
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """The table at a version, the newest if None."""
-        state = self.state(version)
-        return state if state is None else state.where(~F.col("_removed")).drop("_removed")
-
-    def commit(self, rows: DataFrame | None, kind: str, whole: bool = False, parent: int | None = None, columns: str | None = None) -> int:
-        """Writes rows (with `_removed`) as the next version and lists it; None: no rows."""
-        listed = self.versions()
-        version = max(listed, default=0) + 1
-        n_put = n_removed = 0
-        if rows is not None:
-            target = f"{self.path}/{'bases' if whole else 'rows'}/version={version}"
-            rows.write.mode("overwrite").option("compression", "zstd").parquet(target)
-            counts = self.spark.read.schema(rows.schema).parquet(target).agg(F.count_if(~F.col("_removed")), F.count_if("_removed")).first()
-            n_put, n_removed = counts
-            columns = columns or ddl(rows.drop("_removed"))
-        parent = max(listed, default=None) if parent is None else parent
-        row = [(version, parent, datetime.datetime.now(datetime.timezone.utc), kind, whole, columns or listed[parent]["columns"], n_put, n_removed)]
-        self.spark.createDataFrame(row, self.LIST).withColumn("generation", F.lit(self.generation(listed))).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
-        return version
-
-    def generation(self, listed: dict[int, Row]) -> int:
-        if not listed:
-            return 0
-        return self.spark.read.schema("generation long").parquet(f"{self.path}/versions").agg(F.max("generation")).first()[0]
-
-    def upsert(self, rows: DataFrame, kind: str = "merge") -> int:
-        """MERGE that updates all and inserts all: rows (one per key) replace those of equal keys or are added."""
-        return self.commit(rows.withColumn("_removed", F.lit(False)), kind)
-
-    def delete_where(self, condition: Column) -> int:
-        """Removes the rows for which the condition is true."""
-        return self.commit(self.read().where(F.coalesce(condition, F.lit(False))).withColumn("_removed", F.lit(True)), "delete")
-
-    def remove(self, keys: DataFrame, kind: str = "delete") -> int:
-        """Removes the rows of these keys."""
-        listed = self.versions()
-        return self.commit(keys.select(*self.keys).withColumn("_removed", F.lit(True)), kind, columns=listed[max(listed)]["columns"])
-
-    def update_where(self, condition: Column, values: dict[str, Column]) -> int:
-        """Sets columns (no keys) of the rows for which the condition is true; all values see the row as it was."""
-        rows = self.read().where(F.coalesce(condition, F.lit(False)))
-        return self.commit(rows.withColumns(values).withColumn("_removed", F.lit(False)), "update")
-
-    def rollback(self, version: int) -> int:
-        """A new version with the state of an older one; nothing is rewritten."""
-        columns = self.versions()[version]["columns"]
-        return self.commit(None, "rollback", parent=version, columns=columns)
-
-    def compact(self) -> int:
-        """A new version that holds the whole state, so that reads no longer put changes together."""
-        return self.commit(self.state(), "compact", whole=True)
-
-    def evolve(self, changes: list[tuple]) -> int:
-        """Changes columns (add, drop, widen, rename) of the stored rows: the new version holds the whole state."""
-        return self.commit(schema.evolve(self.state(), changes), "evolve", whole=True)
-
-    def expire(self, keep: int = 5, older_than: datetime.datetime | None = None) -> list[int]:
-        """Keeps the last `keep` versions, and those not older than a time; returns them. The files of all others go.
-
-        A kept version whose parent goes becomes a whole state first. The new list replaces the old one at once.
-        """
-        listed = self.versions()
-        kept = [v for v in sorted(listed) if v in sorted(listed)[-keep:] or (older_than is not None and listed[v]["at"] >= older_than)]
-        rows = []
-        for v in kept:
-            row = listed[v].asDict()
-            if not row["whole"] and row["parent"] is not None and row["parent"] not in kept:
-                self.state(v).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/bases/version={v}")
-                row["whole"] = True
-            rows.append(tuple(row.values()))
-        generation = self.generation(listed) + 1
-        self.spark.createDataFrame(rows, self.LIST).withColumn("generation", F.lit(generation)).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
-        whole = {r[0] for r in rows if r[4]}
-        for v in listed:
-            for kind, stays in (("rows", v in kept and v not in whole), ("bases", v in whole)):
-                if not stays:
-                    files.remove(self.spark, f"{self.path}/{kind}/version={v}")
-        return kept

@@ -53,6 +53,26 @@ def evolve(df: DataFrame, changes: list[tuple]) -> DataFrame:
     return df
 
 
+def changes_of(rows: DataFrame) -> list[tuple[int, list[tuple]]]:
+    """Change rows of one subject (seq, name, change, old_type, new_type), a few per schema version, as (seq, changes for evolve) in order of seq."""
+    kinds = {"add": "add", "remove": "drop", "modify": "widen"}
+    found: dict[int, list[tuple]] = {}
+    for r in rows.orderBy("seq", "name").collect():
+        found.setdefault(r["seq"], []).append((kinds[r["change"]], r["name"], *([] if r["change"] == "remove" else [r["new_type"]])))
+    return sorted(found.items())
+
+
+def evolved(parts: list[tuple[int, DataFrame]], changes: list[tuple[int, list[tuple]]]) -> DataFrame:
+    """One table of parts that were written under schema versions (seq, rows): each part goes through the changes after its own
+    version when it is read, so no stored row is rewritten."""
+    whole = None
+    for seq, part in parts:
+        for at, own in changes:
+            part = evolve(part, own) if at > seq else part
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
 def governed_select(df: DataFrame, granted: list[str], columns: list[str]) -> DataFrame:
     """Selects columns if all are granted; `*` only if every column is."""
     wanted = df.columns if columns == ["*"] else columns

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lakeline.operators import filters, merge, schema, series
 from lakeline.plans.registry import query
 from lakeline.plans.retail import t
-from lakeline.session import scratch
-from lakeline.streaming import jobs
+from lakeline.session import scratch, stored
+from lakeline.streaming import buckets, jobs
 
 #: Up to three changes per order: created, updated where the key is divisible by 3, deleted where by 10.
 LOG = """(select o_orderkey as k, o_orderpriority as table_name, 'c' as op, o_orderkey * 10 + 1 as seq, o_totalprice as total from orders
@@ -34,22 +34,23 @@ def cdc_latest(spark: SparkSession, d: str) -> DataFrame:
     return merge.latest(change_log(spark, d), ["k"], [F.col("seq")]).select("k", "op", "seq", "total")
 
 
-def streamed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a stream of its files in two micro-batches or more, and a checkpoint for its query."""
+def streamed(df: DataFrame, name: str, parts: int | None = None) -> tuple[DataFrame, str]:
+    """df as a stream of its files in two micro-batches or more (of one file: one), and a checkpoint for its query."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    parts = max(4, spark.sparkContext.defaultParallelism)
+    parts = parts or max(4, spark.sparkContext.defaultParallelism)
     df.repartition(parts).write.parquet(path)
     return jobs.table_source(spark, path, df.schema, files_per_batch=-(-parts // 2)), scratch(spark, "offsets")
 
 
 @query(f"select k, total from {LAST} where op <> 'd'")
 def cdc_apply(spark: SparkSession, d: str) -> DataFrame:
-    log = change_log(spark, d)
-    table = jobs.change_table(spark, scratch(spark, "table"), ["k"])
+    """The change log as a stream into a table in folders by key bucket; its last batch comes once more, and changes nothing."""
+    log, path = change_log(spark, d), scratch(spark, "table")
     stream, checkpoint = streamed(log, "log")
-    jobs.apply_changes(stream, table, ["k"], ["total"], checkpoint, seconds=None)
-    found = table.read()
-    return found.select("k", "total") if found is not None else merged(log)
+    query = buckets.apply_changes(stream, path, ["k"], ["total"], checkpoint, buckets=16, seconds=None)
+    for number in [p["batchId"] for p in query.recentProgress[-1:]]:
+        buckets.apply_batch(log.limit(0), number, path, ["k"], ["total"], buckets=16)
+    return buckets.read(spark, path, buckets.state_schema(log.schema, ["k"], ["total"], "seq"))
 
 
 @query("select lower(regexp_extract('SHOP.' || case when o_orderkey % 2 = 0 then 'ORDERS' else 'ORDER_ITEMS' end, '([A-Z_]+)$', 1)) as route, count(*) as n_rows from orders group by 1")
@@ -99,13 +100,10 @@ def cdc_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select k, total from {LAST} where op <> 'd'")
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """A stored table, merged twice and freed of deleted keys."""
+    """A table, merged with later changes and freed of deleted keys."""
     log = change_log(spark, d)
-    table = merge.KeyedTable(spark, scratch(spark, "table"), ["k"])
-    table.upsert(log.where("op = 'c'").select("k", "total"), "load")
-    table.upsert(log.where("op = 'u'").select("k", "total"))
-    table.remove(log.where("op = 'd'").select("k"))
-    return table.read()
+    rows = lambda op: log.where(F.col("op") == op).select("k", "total")
+    return merge.delete_keys(merge.merge_upsert(rows("c"), rows("u"), ["k"]), rows("d"), ["k"])
 
 
 @query(f"select k::varchar as key, total as value from {LAST} where op <> 'd'")
@@ -114,25 +112,16 @@ def compact_log(spark: SparkSession, d: str) -> DataFrame:
     return merge.compact_log(log, ["key"], [F.col("seq")], "value").select("key", "value")
 
 
-def order_table(spark: SparkSession, d: str) -> merge.KeyedTable:
-    """Orders as a stored keyed table."""
-    table = merge.KeyedTable(spark, scratch(spark, "table"), ["o_orderkey"])
-    table.upsert(t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "load")
-    return table
-
-
 @query("select o_orderkey, o_totalprice from orders where not coalesce(o_totalprice < 100000 and o_orderstatus = 'F', false)")
 def delete_where(spark: SparkSession, d: str) -> DataFrame:
-    table = order_table(spark, d)
-    table.delete_where((F.col("o_totalprice") < 100000) & (F.col("o_orderstatus") == "F"))
-    return table.read().select("o_orderkey", "o_totalprice")
+    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return merge.delete_where(o, (F.col("o_totalprice") < 100000) & (F.col("o_orderstatus") == "F")).drop("o_orderstatus")
 
 
 @query("select o_orderkey, case when o_orderstatus = 'O' then 'P' else o_orderstatus end as o_orderstatus, case when o_orderstatus = 'O' then o_totalprice + 5 else o_totalprice end as o_totalprice from orders")
 def update_where(spark: SparkSession, d: str) -> DataFrame:
-    table = order_table(spark, d)
-    table.update_where(F.col("o_orderstatus") == "O", {"o_orderstatus": F.lit("P"), "o_totalprice": F.col("o_totalprice") + 5})
-    return table.read()
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return merge.update_where(o, F.col("o_orderstatus") == "O", {"o_orderstatus": F.lit("P"), "o_totalprice": F.col("o_totalprice") + 5})
 
 
 @query("select distinct lower(regexp_extract('DB.SALES.' || upper(event_type), '([A-Z_]+)$', 1)) as route, event_type from events")
@@ -177,20 +166,51 @@ def schema_compat(spark: SparkSession, d: str) -> DataFrame:
     return schema.compatible(schema.difference(old, new, ["subject"]), defaults, ["subject"])
 
 
+#: Schemas of three tables by quarter: a priority is a column where the largest order number isn't divisible by 3.
+SCHEMAS = """(select o_orderstatus as subject, year(o_orderdate) * 4 + quarter(o_orderdate) as seq, o_orderpriority as name, case when max(o_orderkey) % 2 = 0 then 'int' else 'bigint' end as type
+from orders group by all having max(o_orderkey) % 3 <> 0)"""
+SCHEMA_CHANGES = f"""with s as {SCHEMAS}, v as (select subject, seq, lag(seq) over (partition by subject order by seq) as before from (select distinct subject, seq from s)),
+n as (select v.subject, v.seq, name, type from v join s using (subject, seq) where before is not null),
+o as (select v.subject, v.seq, name, type from v join s on s.subject = v.subject and s.seq = v.before)
+select subject, seq::bigint as seq, name, case when o.type is null then 'add' when n.type is null then 'remove' else 'modify' end as change, o.type as old_type, n.type as new_type
+from o full join n using (subject, seq, name) where o.type is distinct from n.type"""
+
+
+@query(SCHEMA_CHANGES)
+def schema_changes(spark: SparkSession, d: str) -> DataFrame:
+    """One stream of three tables' schemas, which arrives in three parts: the last schema of each table is kept between them."""
+    o = t(spark, d, "orders")
+    seq = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).cast("long")
+    columns = o.groupBy(F.col("o_orderstatus").alias("subject"), seq.alias("seq"), F.col("o_orderpriority").alias("name")).agg(F.max("o_orderkey").alias("m")).where("m % 3 <> 0")
+    typed = F.struct("name", F.when(F.col("m") % 2 == 0, "int").otherwise("bigint").alias("type"))
+    versions = stored(columns.groupBy("subject", "seq").agg(F.sort_array(F.collect_list(typed)).alias("columns")), "versions")
+    first, last = versions.agg(F.min("seq"), F.max("seq")).first()
+    path, target, offsets = scratch(spark, "schemas"), scratch(spark, "changes"), scratch(spark, "offsets")
+    changes = None
+    for part in range(3):
+        third = F.floor((F.col("seq") - F.lit(first)) * 3 / F.lit((last or 0) - (first or 0) + 1)) == part
+        versions.where(third).write.mode("append").parquet(path)
+        changes = jobs.schema_changes(jobs.table_source(spark, path, versions.schema, files_per_batch=100_000))
+        jobs.load(changes, target, offsets, seconds=None)
+    return spark.read.schema(changes.schema).parquet(target)
+
+
 @query("select o_orderkey as order_key, o_totalprice::decimal(20,2)::double as o_totalprice, o_orderkey::bigint as wide, null::varchar as note from orders")
 def schema_evolve(spark: SparkSession, d: str) -> DataFrame:
-    """A stored table whose columns follow a stream of schemas between two loads of data, and are then renamed."""
+    """A table that was loaded under two versions of its schema: the changes between come from a stream of several tables' schemas,
+    older rows go through them when they are read, and a column is renamed."""
     o = t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), F.col("o_orderkey").cast("int").alias("wide"), "o_orderstatus")
-    table = merge.KeyedTable(spark, scratch(spark, "table"), ["o_orderkey"])
-    table.upsert(o.where("o_orderkey % 2 = 0"), "load")
     first = o.drop("o_orderstatus").withColumns({"wide": F.col("wide").cast("bigint"), "note": F.lit(None).cast("string")})
     second = first.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(20,2)"))
-    ddl = spark.createDataFrame([(n, df.dtypes) for n, df in enumerate((o, first, first, second))], "seq long, columns array<struct<name: string, type: string>>")
-    stream, checkpoint = streamed(ddl, "ddl")
-    jobs.evolve_by_ddl(stream, table, checkpoint, seconds=None)
-    table.upsert(second.where("o_orderkey % 2 = 1"), "load")
-    table.evolve([("rename", "o_totalprice", "price")])
-    return table.read().select(F.col("o_orderkey").alias("order_key"), F.col("price").cast("double").alias("o_totalprice"), "wide", "note")
+    ddl = spark.createDataFrame([(name, n, df.dtypes) for name in ("orders", "other") for n, df in enumerate((o, first, first, second))], "subject string, seq long, columns array<struct<name: string, type: string>>")
+    stream, checkpoint = streamed(ddl.coalesce(1), "ddl", 1)
+    target = scratch(spark, "changes")
+    changes = jobs.schema_changes(stream)
+    jobs.load(changes, target, checkpoint, seconds=None)
+    own = schema.changes_of(spark.read.schema(changes.schema).parquet(target).where("subject = 'orders'"))
+    parts = [(0, stored(o.where("o_orderkey % 2 = 0"), "v0")), (3, stored(second.where("o_orderkey % 2 = 1"), "v3"))]
+    found = schema.evolve(schema.evolved(parts, own), [("rename", "o_totalprice", "price")])
+    return found.select(F.col("o_orderkey").alias("order_key"), F.col("price").cast("double").alias("o_totalprice"), "wide", "note")
 
 
 @query("select o_orderpriority as table_name, min(o_orderkey) as scn, (count(*) filter (o_orderdate >= timestamp '2001-07-25') > 0) as ready from orders group by 1")

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lakeline.operators import merge, schema
 from lakeline.operators.filters import route
-from lakeline.session import small
+from lakeline.session import small, stored
+from lakeline.sources import files
 
 #: Load limits of a micro-batch stream.
 LOAD_SECONDS, LOAD_ROWS, LOAD_BYTES = 10, 300_000, 200 << 20
 #: Commit interval of a change stream.
 COMMIT_SECONDS = 30
-#: Versions that a reader of a change table puts together, at most.
-COMPACT_AFTER = 20
+#: Records that a record-limited trigger admits at most.
+TRIGGER_RECORDS = 100
 
 
 def trigger(seconds: int | None) -> dict:
@@ -51,10 +51,12 @@ def load(stream: DataFrame, path: str, checkpoint: str, seconds: int | None = LO
     return query
 
 
-def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = COMMIT_SECONDS) -> None:
+def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = COMMIT_SECONDS) -> StreamingQuery:
+    """Hands each micro-batch and its number to a function; the query that is returned can be awaited and stopped."""
     query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
     if seconds is None:
         query.awaitTermination()
+    return query
 
 
 def from_start(changes: DataFrame, start: DataFrame, seq: str = "seq") -> DataFrame:
@@ -62,50 +64,76 @@ def from_start(changes: DataFrame, start: DataFrame, seq: str = "seq") -> DataFr
     return changes.join(small(start.select("table_name", "start_scn")), "table_name").where(F.col(seq) >= F.col("start_scn")).drop("start_scn")
 
 
-def change_table(spark: SparkSession, path: str, keys: list[str]) -> merge.KeyedTable:
-    """A table for apply_changes: the larger sequence number wins, at a tie the later operation."""
-    return merge.KeyedTable(spark, path, keys, ["_seq", "_op"])
+def schema_changes(stream: DataFrame) -> DataFrame:
+    """A stream of schemas (subject, seq, columns: a list of name and type) as a stream of their changes: rows (subject, seq, name, change,
+    old_type, new_type) where a version differs from the last one of its subject.
+
+    The last version of each subject is the stream's keyed state. A subject's first version is only remembered; a version that
+    is not above the last one (it comes late, or again) gives nothing; a column of a null type counts as absent.
+    """
+    def follow(key: tuple, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        seq, held = (state.get[0], dict(zip(state.get[1], state.get[2]))) if state.exists else (None, None)
+        versions = {int(s): c for frame in frames for s, c in zip(frame["seq"], frame["columns"])}
+        rows = []
+        for number, columns in sorted(versions.items()):
+            if seq is not None and number <= seq:
+                continue
+            new = {c["name"]: c["type"] for c in columns if c["type"] is not None}
+            for name in sorted({*new, *held} if held is not None else ()):
+                old_type, new_type = held.get(name), new.get(name)
+                if old_type != new_type:
+                    rows.append((key[0], number, name, "add" if old_type is None else "remove" if new_type is None else "modify", old_type, new_type))
+            seq, held = number, new
+        if seq is not None:
+            state.update((seq, list(held), list(held.values())))
+        yield pd.DataFrame(rows, columns=["subject", "seq", "name", "change", "old_type", "new_type"])
+
+    known = stream.where("seq is not null and columns is not null").select("subject", F.col("seq").cast("long").alias("seq"), "columns")
+    out = "subject string, seq long, name string, change string, old_type string, new_type string"
+    return known.groupBy("subject").applyInPandasWithState(follow, out, "seq long, names array<string>, types array<string>", "append", "NoTimeout")
+
+
+def record_limited(stream: DataFrame, spool: str, checkpoint: str, records: int = TRIGGER_RECORDS) -> DataFrame:
+    """What a stream has so far, as a stream whose micro-batches hold at most so many records.
+
+    The records go to a spool in files of at most so many, each once; a micro-batch takes one file. Both sides go on from their
+    checkpoints, so a restart neither loses nor repeats records; call it again for what has come since.
+    """
+    spark = stream.sparkSession
+    writer = stream.writeStream.format("parquet").option("path", spool).option("maxRecordsPerFile", records).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return table_source(spark, spool, stream.schema, files_per_batch=1)
 
 
-def apply_changes(stream: DataFrame, table: merge.KeyedTable, keys: list[str], values: list[str], checkpoint: str, seq: str = "seq", start: DataFrame | None = None, seconds: int | None = COMMIT_SECONDS) -> None:
-    """Keeps a keyed table from a change stream (keys, values, op, seq): inserts and updates are upserts, deletes tombstones.
+def dual_write(batch: DataFrame, number: int, ledger: str, sinks: dict[str, Callable[[DataFrame, int], None]]) -> list[str]:
+    """Hands a batch, evaluated once, to every sink that doesn't have it yet, and enters it in the ledger of each; returns those names.
 
-    A batch only adds its own latest rows; late and repeated changes do no harm. After COMPACT_AFTER versions the whole
-    state is written. start: (table_name, start_scn); changes before it are left out.
+    Where a sink fails, those before it have the batch and are passed over when it runs again. A sink that is cut off between
+    its write and the entry gets the batch once more, under the same number: it must replace what it has of it (see batch_folder).
     """
-    def handle(batch: DataFrame, _: int) -> None:
-        rows = batch.select(*keys, *values, F.col(seq).alias("_seq"), merge.op_order(F.col("op")).alias("_op"), (F.col("op") == "d").alias("_removed"))
-        table.commit(merge.latest(rows, keys, [F.col("_seq"), F.col("_op")]), "stream")
-        listed = table.versions()
-        if len(table.chain(listed, max(listed))) > COMPACT_AFTER:
-            table.compact()
-
-    each_batch(stream if start is None else from_start(stream, start, seq), handle, checkpoint, seconds)
-
-
-def evolve_by_ddl(stream: DataFrame, table: merge.KeyedTable, checkpoint: str, seconds: int | None = COMMIT_SECONDS) -> None:
-    """Follows a stream of schemas (seq, columns: a list of name and type) of a stored table: each batch's newest schema is
-    compared with the table's, and the differences are applied to the stored rows (add, drop, widen); an equal one changes
-    nothing. A type that would lose values is an error and leaves the table as it was."""
-    def handle(batch: DataFrame, _: int) -> None:
-        found = batch.agg(F.max_by("columns", "seq")).first()[0]
-        if not found:
-            return
-        newest = table.spark.createDataFrame([(c["name"], c["type"]) for c in found], "name string, type string")
-        old = table.spark.createDataFrame(table.read().dtypes, "name string, type string")
-        changes = [{"add": ("add", r["name"], r["new_type"]), "remove": ("drop", r["name"]), "modify": ("widen", r["name"], r["new_type"])}[r["change"]] for r in schema.difference(old, newest).orderBy("name").collect()]
-        if changes:
-            table.evolve(changes)
-
-    each_batch(stream, handle, checkpoint, seconds)
-
-
-def fan_out(stream: DataFrame, source: str, path: str, checkpoint: str, seconds: int | None = COMMIT_SECONDS) -> None:
+    spark, written = batch.sparkSession, []
+    left = [name for name in sinks if not files.exists(spark, f"{ledger}/sink={name}/batch={number}/_SUCCESS")]
+    once = stored(batch, "batch") if left else batch
+    for name in left:
+        sinks[name](once, number)
+        spark.range(1).select(F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{ledger}/sink={name}/batch={number}")
+        written.append(name)
+    return written
+
+
+def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps each batch in a folder of its own, which the batch's next write replaces."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def fan_out(stream: DataFrame, source: str, path: str, checkpoint: str, seconds: int | None = COMMIT_SECONDS) -> StreamingQuery:
     """One stream to many tables: each batch is written once, in a folder per route."""
     def handle(batch: DataFrame, number: int) -> None:
         batch.withColumn("route", route(F.col(source))).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("route", "batch").parquet(path)
 
-    each_batch(stream, handle, checkpoint, seconds)
+    return each_batch(stream, handle, checkpoint, seconds)
 
 
 def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:

@@ -6,10 +6,12 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lakeline.operators import merge
+from lakeline.operators import merge, schema
 from lakeline.session import scratch
-from lakeline.streaming import jobs
+from lakeline.sources import files
+from lakeline.streaming import buckets, jobs
 
 SCHEMA = "k long, v long, op string, seq long"
 
@@ -70,29 +72,84 @@ def test_delete_where_keeps_null_conditions(spark):
     assert sorted(r[0] for r in merge.delete_where(df, F.col("v") > 10).collect()) == [1, 2]
 
 
-def by_stream(spark, rows, start=None, parts=4):
-    path = scratch(spark, "log")
-    spark.createDataFrame(rows, SCHEMA + ", table_name string").repartition(parts).write.parquet(path)
-    table = jobs.change_table(spark, scratch(spark, "table"), ["k"])
-    assert table.read() is None
-    jobs.apply_changes(jobs.table_source(spark, path, SCHEMA + ", table_name string", files_per_batch=1), table, ["k"], ["v"], scratch(spark, "offsets"), start=start, seconds=None)
-    return table
+LOG = SCHEMA + ", table_name string"
 
 
-def kept(table):
-    return sorted(tuple(r) for r in table.read().select("k", "v").collect())
+def by_stream(spark, rows, path, start=None, parts=4, name="changes"):
+    log = scratch(spark, "log")
+    spark.createDataFrame(rows, LOG).repartition(parts).write.parquet(log)
+    return buckets.apply_changes(jobs.table_source(spark, log, LOG, files_per_batch=1), path, ["k"], ["v"], scratch(spark, "offsets"), start=start, name=name, buckets=8, seconds=None)
 
 
-def test_change_table_by_stream(spark, monkeypatch):
-    monkeypatch.setattr(jobs, "COMPACT_AFTER", 2)
-    rows = log(80, 3)
-    table = by_stream(spark, [(*r, "t") for r in rows])
-    assert kept(table) == final(rows)
-    assert "compact" in {r["kind"] for r in table.versions().values()}
-    # all of it again, and an old change of a deleted key: nothing comes back
-    again = spark.createDataFrame([(*r, "t") for r in rows], SCHEMA + ", table_name string").select("k", "v", F.col("seq").alias("_seq"), merge.op_order(F.col("op")).alias("_op"), (F.col("op") == "d").alias("_removed"))
-    table.commit(merge.latest(again.where("_seq % 3 = 0"), ["k"], [F.col("_seq"), F.col("_op")]), "stream")
-    assert kept(table) == final(rows)
+def kept(spark, path):
+    schema = buckets.state_schema(StructType.fromDDL(LOG), ["k"], ["v"], "seq")
+    return sorted(tuple(r) for r in buckets.read(spark, path, schema).select("k", "v").collect())
+
+
+def test_bucket_table_by_stream(spark):
+    rows, path = log(80, 3), scratch(spark, "table")
+    assert kept(spark, path) == []
+    query = by_stream(spark, [(*r, "t") for r in rows], path)
+    assert kept(spark, path) == final(rows) and not query.isActive
+    assert {(r["stream"], r["batch"]) for r in buckets.ledger(spark, path).collect()} == {("changes", n) for n in range(4)}
+    # all of it again from another checkpoint, in other batches: late and repeated changes do no harm
+    by_stream(spark, [(*r, "t") for r in rows], path, parts=3, name="again")
+    assert kept(spark, path) == final(rows)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "t") for r in rows], LOG)
+
+
+def test_a_batch_runs_twice_or_is_cut_off(spark, monkeypatch):
+    """Cut off while it is staged, between staging and swap, in the swap and before the ledger: afterwards the batch stands once."""
+    rows, path = log(60, 4), scratch(spark, "table")
+    one, two = rows[:30], rows[30:]
+    assert buckets.apply_batch(frame(spark, one), 0, path, ["k"], ["v"], buckets=4)
+    assert not buckets.apply_batch(frame(spark, two), 0, path, ["k"], ["v"], buckets=4)
+    assert kept(spark, path) == final(one)
+
+    def cut(*_):
+        raise RuntimeError("cut off")
+
+    def half(spark, staged, path, schema):
+        put(spark, staged, path, schema)
+        cut()
+
+    put = buckets.put_in_place
+    for place, broken, after in (("put_in_place", cut, one), ("put_in_place", half, rows), ("enter", cut, rows)):
+        with monkeypatch.context() as m:
+            m.setattr(buckets, place, broken)
+            with pytest.raises(RuntimeError, match="cut off"):
+                buckets.apply_batch(frame(spark, two), 1, path, ["k"], ["v"], buckets=4)
+        assert kept(spark, path) == final(after) and not buckets.is_applied(spark, path, "changes", 1)
+    # a batch that is staged whole is put in place as it was staged, whatever the stream gives now
+    assert buckets.apply_batch(frame(spark, []), 1, path, ["k"], ["v"], buckets=4)
+    assert kept(spark, path) == final(rows) and buckets.is_applied(spark, path, "changes", 1)
+    # files of a staging that was cut off have no _SUCCESS, and are replaced
+    frame(spark, [(77, 1, "c", 1)]).write.parquet(f"{path}/staged/stream=changes/batch=2/_bucket=0")
+    files.remove(spark, f"{path}/staged/stream=changes/batch=2/_bucket=0/_SUCCESS")
+    assert buckets.apply_batch(frame(spark, rows[:3]), 2, path, ["k"], ["v"], buckets=4)
+    assert kept(spark, path) == final(rows)
+
+
+def test_bucket_table_with_null_keys_and_ties(spark):
+    path = scratch(spark, "table")
+    rows = [(None, 1, "c", 1), (None, 2, "u", 2), (5, 1, "c", 7), (5, 2, "d", 7), (6, 3, "r", 1), (6, 4, "u", 1)]
+    for number, row in enumerate(reversed(rows)):
+        buckets.apply_batch(frame(spark, [row]), number, path, ["k"], ["v"], buckets=2)
+    schema = buckets.state_schema(StructType.fromDDL(LOG), ["k"], ["v"], "seq")
+    assert sorted(map(str, (tuple(r) for r in buckets.read(spark, path, schema).collect()))) == ["(6, 4)", "(None, 2)"]
+
+
+def test_only_touched_buckets_are_rewritten(spark):
+    path = scratch(spark, "table")
+    buckets.apply_batch(frame(spark, [(k, k, "c", 1) for k in range(64)]), 0, path, ["k"], ["v"], buckets=16)
+    held = lambda: {r["p"]: r["b"] for r in spark.read.parquet(f"{path}/rows").select(F.col("_metadata.file_path").alias("p"), F.col("_bucket").alias("b")).distinct().collect()}
+    before = held()
+    buckets.apply_batch(frame(spark, [(3, 9, "u", 2)]), 1, path, ["k"], ["v"], buckets=16)
+    after = held()
+    assert len({before[f] for f in before if f not in after}) == 1 and kept(spark, path) == sorted((k, 9 if k == 3 else k) for k in range(64))
 
 
 def test_stream_from_sync_point(spark):
@@ -102,107 +159,61 @@ def test_stream_from_sync_point(spark):
     rows = [(k * 3 + "ab_".index(t), *rest, t) for k, *rest, t in rows]
     start = spark.createDataFrame([("a", 300), ("b", 500)], "table_name string, start_scn long")
     later = [x[:4] for x in rows if x[4] != "_" and x[3] >= {"a": 300, "b": 500}[x[4]]]
-    assert kept(by_stream(spark, rows, start)) == final(later)
-
-
-def keyed(spark, rows, schema="k long, v long"):
-    table = merge.KeyedTable(spark, scratch(spark, "keyed"), ["k"])
-    table.upsert(spark.createDataFrame(rows, schema), "load")
-    return table
-
-
-def test_keyed_table_deletes_and_null_keys(spark):
-    table = keyed(spark, [(i, i) for i in range(20)] + [(None, 7)])
-    table.delete_where(F.col("v") < 11)
-    assert kept_list(table) == [(i, i) for i in range(11, 20)]
-    table.upsert(spark.createDataFrame([(None, 8)], "k long, v long"))
-    table.upsert(spark.createDataFrame([(None, 8)], "k long, v long"))
-    assert (None, 8) in kept_list(table) and len(kept_list(table)) == 10
-    table.compact()
-    table.upsert(spark.createDataFrame([(None, 9), (15, 0)], "k long, v long"))
-    assert kept_list(table) == sorted([(None, 9), *[(i, 0 if i == 15 else i) for i in range(11, 20)]], key=str)
-    table.delete_where(F.lit(True))
-    assert kept_list(table) == [] and table.read().columns == ["k", "v"]
-    table.compact()
-    assert kept_list(table) == []
-
-
-def kept_list(table):
-    return sorted((tuple(r) for r in table.read().collect()), key=str)
-
-
-def test_keyed_table_time_travel_rollback_and_expiry(spark):
-    """States of all versions against plain dictionaries, before and after a rollback, a compaction and an expiry."""
-    r = random.Random(2)
-    table = merge.KeyedTable(spark, scratch(spark, "keyed"), ["k"])
-    now, states = {}, {}
-    for step in range(9):
-        if step == 3:
-            table.rollback(1)
-            now = dict(states[1])
-        elif step == 5:
-            table.compact()
-        elif step % 4 == 2:
-            gone = [k for k in now if k % 3 == 0]
-            table.delete_where(F.col("k") % 3 == 0)
-            now = {k: v for k, v in now.items() if k not in gone}
-        elif step % 4 == 0 and step:
-            table.update_where(F.col("v") > 50, {"v": F.col("v") - 50})
-            now = {k: v - 50 if v > 50 else v for k, v in now.items()}
-        else:
-            new = {k: r.randrange(100) for k in r.sample(range(20), 8)}
-            table.upsert(spark.createDataFrame(sorted(new.items()), "k long, v long"))
-            now |= new
-        states[step + 1] = dict(now)
-    listed = table.versions()
-    assert sorted(listed) == list(range(1, 10)) and listed[4]["kind"] == "rollback"
-    for v, state in states.items():
-        assert sorted(tuple(x) for x in table.read(v).collect()) == sorted(state.items())
-    assert table.at_time(listed[5]["at"]) == 5 and table.at_time(listed[1]["at"].replace(year=2000)) is None
-    assert table.expire(keep=3) == [7, 8, 9] and table.expire(keep=3) == [7, 8, 9]
-    assert sorted(table.versions()) == [7, 8, 9]
-    for v in (7, 8, 9):
-        assert sorted(tuple(x) for x in table.read(v).collect()) == sorted(states[v].items())
-    table.upsert(spark.createDataFrame([(99, 1)], "k long, v long"))
-    assert sorted(tuple(x) for x in table.read().collect()) == sorted({**states[9], 99: 1}.items())
-    history = {x["version"]: (x["n_put"], x["n_removed"]) for x in table.history().collect()}
-    assert history[10] == (1, 0)
-
-
-def test_keyed_table_after_a_crash(spark):
-    """Data of a version that never got into the list is overwritten by the next writer and never read."""
-    table = keyed(spark, [(1, 1)])
-    spark.createDataFrame([(1, 5, False), (2, 5, False)], "k long, v long, _removed boolean").write.parquet(f"{table.path}/rows/version=2")
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 1)]
-    table.upsert(spark.createDataFrame([(3, 3)], "k long, v long"))
-    assert sorted(tuple(r) for r in table.read().collect()) == [(1, 1), (3, 3)]
-
-
-def test_keyed_table_evolves(spark):
-    table = keyed(spark, [(1, 1, "a"), (2, 2, "b")], "k long, v int, old string")
-    table.evolve([("add", "note", "string"), ("widen", "v", "bigint"), ("drop", "old"), ("rename", "v", "w")])
-    table.upsert(spark.createDataFrame([(3, 1 << 40, "x")], "k long, w long, note string"))
-    assert sorted(tuple(r) for r in table.read().select("k", "w", "note").collect()) == [(1, 1, None), (2, 2, None), (3, 1 << 40, "x")]
-    assert table.read(1).columns == ["k", "v", "old"] and table.read(1).count() == 2
-
-
-def test_ddl_stream(spark):
-    """Schemas in two batches; one that would lose values stops the stream and leaves the table as it was."""
-    table = keyed(spark, [(1, 1)], "k long, v int")
-    kind = "seq long, columns array<struct<name: string, type: string>>"
-    path, offsets = scratch(spark, "ddl"), scratch(spark, "offsets")
-
-    def send(seq, columns):
-        spark.createDataFrame([(seq, columns)], kind).write.mode("append").parquet(path)
-        jobs.evolve_by_ddl(jobs.table_source(spark, path, kind), table, offsets, seconds=None)
-
-    send(1, [("k", "bigint"), ("v", "bigint"), ("note", "string")])
-    assert table.read().dtypes == [("k", "bigint"), ("v", "bigint"), ("note", "string")] and len(table.versions()) == 2
-    send(2, [("k", "bigint"), ("v", "bigint"), ("note", "string")])
-    assert len(table.versions()) == 2
-    with pytest.raises(Exception, match="without loss"):
-        send(3, [("k", "bigint"), ("v", "int"), ("note", "string")])
-    assert table.read().dtypes[1] == ("v", "bigint")
+    path = scratch(spark, "table")
+    by_stream(spark, rows, path, start)
+    assert kept(spark, path) == final(later)
+
+
+VERSIONS = "subject string, seq long, columns array<struct<name: string, type: string>>"
+
+
+def test_schema_stream_of_several_tables(spark):
+    """Random schemas of three tables in several batches, with repeats and late ones, against neighbouring versions by hand."""
+    r, path, target, offsets = random.Random(6), scratch(spark, "schemas"), scratch(spark, "changes"), scratch(spark, "offsets")
+    columns = lambda: [(c, r.choice(["int", "bigint", None])) for c in "abcdef" if r.random() < 0.7]
+    batches = [[(s, at * 10 + i, columns()) for s in ("one", "two", "three") for i in range(r.randrange(4))] for at in range(4)]
+    batches[2] += [batches[1][0], ("two", 0, [("late", "int")]), (None, 5, [("x", "int")]), (None, 6, []), ("one", None, []), ("one", 99, None)]
+    for rows in batches:
+        spark.createDataFrame(rows, VERSIONS).write.mode("append").parquet(path)
+        changes = jobs.schema_changes(jobs.table_source(spark, path, VERSIONS, files_per_batch=1000))
+        jobs.load(changes, target, offsets, seconds=None)
+    want, last = [], {}
+    for rows in batches:
+        for s, seq, cols in sorted((x for x in rows if x[1] is not None and x[2] is not None), key=lambda x: x[1]):
+            old, new = last.get(s, (-1, None))[1], {c: k for c, k in cols if k}
+            if seq <= last.get(s, (-1, None))[0]:
+                continue
+            if old is not None:
+                want += [(s, seq, c, "add" if c not in old else "remove" if c not in new else "modify", old.get(c), new.get(c)) for c in {*old, *new} if old.get(c) != new.get(c)]
+            last[s] = (seq, new)
+    assert sorted(map(str, (tuple(x) for x in spark.read.parquet(target).collect()))) == sorted(map(str, want)) and len(want) > 20
+
+
+def test_parts_of_several_schema_versions(spark):
+    """Older parts go through later changes when they are read; a change that would lose values is an error."""
+    rows = spark.createDataFrame([("t", 1, "note", "add", None, "string"), ("t", 1, "v", "modify", "int", "bigint"), ("t", 2, "old", "remove", "string", None)], "subject string, seq long, name string, change string, old_type string, new_type string")
+    changes = schema.changes_of(rows)
+    parts = [(0, spark.createDataFrame([(1, 1, "a")], "k long, v int, old string")), (1, spark.createDataFrame([(2, 1 << 40, "b", "n")], "k long, v long, old string, note string")), (2, spark.createDataFrame([(3, 3, "m")], "k long, v long, note string"))]
+    found = schema.evolved(parts, changes)
+    assert sorted(tuple(r) for r in found.select("k", "v", "note").collect()) == [(1, 1, None), (2, 1 << 40, "n"), (3, 3, "m")] and set(found.columns) == {"k", "v", "note"}
+    with pytest.raises(ValueError, match="without loss"):
+        schema.evolved(parts[1:2], [(3, [("widen", "v", "int")])])
+
+
+def test_a_stream_can_be_awaited_and_stopped(spark):
+    """With an interval the caller gets the running query; a batch is applied at once and then every so many seconds."""
+    rows, path, log_path = log(20, 8), scratch(spark, "table"), scratch(spark, "log")
+    frame(spark, rows[:10]).write.parquet(log_path)
+    query = buckets.apply_changes(jobs.table_source(spark, log_path, LOG, 100), path, ["k"], ["v"], scratch(spark, "offsets"), buckets=4, seconds=1)
+    try:
+        query.processAllAvailable()
+        assert query.isActive and kept(spark, path) == final(rows[:10])
+        frame(spark, rows[10:]).write.mode("append").parquet(log_path)
+        query.processAllAvailable()
+        assert kept(spark, path) == final(rows)
+    finally:
+        query.stop()
+    assert not query.isActive
 
 
 def test_merge_with_null_keys_can_be_repeated(spark):
