@@ -30,7 +30,7 @@ def application_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lakeline-')}"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lakeline-{spark.sparkContext.applicationId}"
+    return files.qualified(spark, f"{base.rstrip('/')}/lakeline-{spark.sparkContext.applicationId}")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -56,10 +56,11 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, unless they find it by the working folder or PYTHONPATH."""
+    """Sends this package to the executors' Python workers. They find it without that under a local master, by the working
+    folder or PYTHONPATH; executors of a cluster only by a PYTHONPATH that they share with the driver."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    seen = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
     context = spark.sparkContext
+    seen = [*filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))] + ([os.getcwd()] if context.master.startswith("local") else [])
     if root in map(os.path.abspath, seen) or getattr(context, "_lakeline_shipped", False):
         return
     archive = os.path.join(tempfile.mkdtemp(prefix="lakeline-"), "lakeline.zip")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -11,6 +13,13 @@ def located(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, so that other libraries than Spark take it to the same store."""
+    where, store = located(spark, path)
+    found = store.makeQualified(where).toString()
+    return found.replace("file:/", "file:///", 1) if re.match("file:/[^/]", found) else found
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where, store = located(spark, path)
     return store.exists(where)
