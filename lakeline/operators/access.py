@@ -37,6 +37,11 @@ def bulk_bind(requests: DataFrame, users: DataFrame, bindings: DataFrame) -> Dat
     return joined.select("user_id", "role_id", F.when(F.col("_u").isNull(), "user_not_found").when(F.col("_b").isNotNull(), "already_exists").otherwise("bound").alias("result"))
 
 
+def bind_totals(results: DataFrame) -> DataFrame:
+    """Rows (role_id, result, n) of bulk_bind's results, with totals by role (result null) and over all (both null)."""
+    return results.groupBy("role_id", "result").agg(F.count(F.lit(1)).alias("_n")).rollup("role_id", "result").agg(F.sum("_n").alias("n"))
+
+
 def allow_list(perms: DataFrame, names: list[str]) -> DataFrame:
     """One boolean per permission and user; users with none of them are left out."""
     wide = perms.groupBy("user_id").agg(*[F.max(F.col("permission") == n).alias(f"can_{n.lower()}") for n in names])

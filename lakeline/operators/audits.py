@@ -47,6 +47,35 @@ def reconcile(source: DataFrame, target: DataFrame, logged: DataFrame, by: str)
     return filled.withColumn("matches", (F.col("source_rows") == F.col("target_rows")) & (F.col("target_rows") == F.col("logged_rows")))
 
 
+def fingerprint(df: DataFrame, by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A fingerprint of the rows (of each group) that doesn't depend on their order: (.. by, n_rows, sum_1, sum_2).
+
+    The sums of two 64-bit hashes of all columns, as whole numbers: a changed, lost or doubled row changes them but for a chance of about 2^-128.
+    """
+    columns = sorted(columns or df.columns)
+    # a null moves no hash on by itself, so which ones are null is hashed too
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns])
+    hashes = [F.sum(F.xxhash64(F.lit(salt), nulls, *columns).cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"sum_{salt}") for salt in (1, 2)]
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), *hashes)
+
+
+def same_rows(one: DataFrame, two: DataFrame) -> bool:
+    """Whether two tables hold the same rows, each as often, by their fingerprints."""
+    columns = one.columns
+    return fingerprint(one, columns=columns).first() == fingerprint(two, columns=columns).first()
+
+
+def reconcile_rows(source: DataFrame, target: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (.. by, source_rows, target_rows, same_rows): of each group whether both sides hold the same rows. by may be null."""
+    columns = source.columns
+    one = fingerprint(source, by, columns).select(*by, F.struct("n_rows", "sum_1", "sum_2").alias("_f"), F.lit(1).alias("_side"))
+    two = fingerprint(target, by, columns).select(*by, F.struct("n_rows", "sum_1", "sum_2").alias("_f"), F.lit(2).alias("_side"))
+    side = lambda n: F.max(F.when(F.col("_side") == n, F.col("_f")))
+    both = one.unionByName(two).groupBy(*by).agg(side(1).alias("_s"), side(2).alias("_t"))
+    rows = lambda c: F.coalesce(F.col(c)["n_rows"], F.lit(0)).cast("long")
+    return both.select(*by, rows("_s").alias("source_rows"), rows("_t").alias("target_rows"), F.col("_s").eqNullSafe(F.col("_t")).alias("same_rows"))
+
+
 def table_diff(old: DataFrame, new: DataFrame, grain: list[str]) -> DataFrame:
     """Rows (.. grain, change) for keys added, removed or changed; rows are compared value by value, nulls as equal."""
     rest = [c for c in old.columns if c not in grain]

@@ -58,8 +58,11 @@ def sync_plan(spark: SparkSession, d: str) -> DataFrame:
     return access.sync_plan(wanted, state, adapters, ["user_id", "service_id"])
 
 
-@query("""select user_id, role_id, case when user_id not in (select c_custkey from customer) then 'user_not_found' when exists (select 1 from customer where c_custkey = r.user_id and (c_nationkey = r.role_id)) then 'already_exists' else 'bound' end as result
-from (select distinct o_custkey * (case when o_orderkey % 50 = 0 then 1000000 else 1 end) as user_id, (o_orderkey % 25)::int as role_id from orders) r""")
+BOUND = """select user_id, role_id, case when user_id not in (select c_custkey from customer) then 'user_not_found' when exists (select 1 from customer where c_custkey = r.user_id and (c_nationkey = r.role_id)) then 'already_exists' else 'bound' end as result
+from (select distinct o_custkey * (case when o_orderkey % 50 = 0 then 1000000 else 1 end) as user_id, (o_orderkey % 25)::int as role_id from orders) r"""
+
+
+@query(BOUND)
 def bulk_bind(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     requests = t(spark, d, "orders").select((F.col("o_custkey") * F.when(key % 50 == 0, 1_000_000).otherwise(1)).alias("user_id"), (key % 25).cast("int").alias("role_id")).distinct()
@@ -67,6 +70,11 @@ def bulk_bind(spark: SparkSession, d: str) -> DataFrame:
     return access.bulk_bind(requests, c.select(F.col("c_custkey").alias("user_id")), c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("role_id")))
 
 
+@query(f"select role_id, result, count(*) as n from ({BOUND}) group by rollup (role_id, result)")
+def bulk_bind_totals(spark: SparkSession, d: str) -> DataFrame:
+    return access.bind_totals(bulk_bind(spark, d))
+
+
 WIDE = ", ".join(f"bool_or(permission = '{p}') as can_{p.lower()}" for p in PERMS)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeline.functions.types import iso_utc
-from lakeline.operators import filters
+from lakeline.operators import filters, sketches
 from lakeline.plans.registry import query
 from lakeline.plans.retail import money, t
 from lakeline.session import scratch
@@ -139,3 +140,55 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     target = scratch(spark, "once")
     jobs.load(stream, target, scratch(spark, "offsets"), seconds=None)
     return spark.read.schema(stream.schema).parquet(target).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+
+
+@query("select event_id as id, event_type as type, (props->>'$.k')::bigint as k, true as fits from events")
+def stream_record_trigger(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines as a stream whose micro-batches hold at most 100 records; each batch is projected and kept under its number."""
+    rows = t(spark, d, "events").select("event_id", "event_type", "props")
+    source = jobs.json_source(spark, as_files(rows, "json", "json", 2), "event_id bigint, event_type string, props string", files_per_batch=1)
+    stream = jobs.record_limited(source, scratch(spark, "spool"), scratch(spark, "offsets"))
+    target = scratch(spark, "projected")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        found = messages.project_json(batch, "props", {"k": "bigint"}).select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), "k")
+        found.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    jobs.each_batch(stream, handle, scratch(spark, "offsets"), seconds=None)
+    kept = spark.read.schema("id long, type string, k long, batch long").parquet(target)
+    sizes = kept.groupBy("batch").agg((F.count(F.lit(1)) <= jobs.TRIGGER_RECORDS).alias("fits"))
+    return kept.join(sizes, "batch").drop("batch")
+
+
+@query("select sink, event_type, count(*) as n_rows, sum(event_id)::bigint as ids from events, (select unnest(['lake', 'control']) as sink) group by all")
+def stream_dual_write(spark: SparkSession, d: str) -> DataFrame:
+    """A stream into two sinks under one batch number. The second one fails at first; when the stream goes on, only it gets the batch again."""
+    rows = t(spark, d, "events").select("event_id", "event_type")
+    path, offsets, ledger, base = as_files(rows, "rows", "parquet", 4), scratch(spark, "offsets"), scratch(spark, "ledger"), scratch(spark, "sinks")
+    failures = [RuntimeError("the sink can't be reached")]
+
+    def control(batch: DataFrame, number: int) -> None:
+        if failures:
+            raise failures.pop()
+        jobs.batch_folder(f"{base}/sink=control")(batch, number)
+
+    sinks = {"lake": jobs.batch_folder(f"{base}/sink=lake"), "control": control}
+    for _ in range(2):
+        try:
+            jobs.each_batch(jobs.table_source(spark, path, rows.schema, files_per_batch=2), lambda batch, number: jobs.dual_write(batch, number, ledger, sinks), offsets, seconds=None)
+        except StreamingQueryException:
+            continue
+    kept = spark.read.schema("event_id long, event_type string, sink string, batch long").parquet(base)
+    return kept.groupBy("sink", "event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("ids"))
+
+
+@query("select ts::date as day, count(distinct user_id) as n_users, true as near from events group by 1")
+def users_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Users by day, exact, and whether the number that the hours' stored sketches give is within its error."""
+    e, path = t(spark, d, "events").select("ts", "user_id"), scratch(spark, "sketches")
+    sketches.write(e, [hour().alias("hour")], "user_id", path)
+    hourly = spark.read.schema("hour timestamp_ntz, sketch binary").parquet(path)
+    daily = sketches.merged(hourly, [F.to_date("hour").alias("day")])
+    exact = e.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("user_id").alias("n_users"))
+    near = F.abs(F.col("estimate") - F.col("n_users")) <= F.greatest(F.lit(1.0), sketches.ERROR * 4 * F.col("n_users"))
+    return exact.join(daily, "day").select("day", "n_users", near.alias("near"))

@@ -62,6 +62,18 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sized(spark, d)
 
 
+@query(f"""select coalesce(table_name, 'total') as table_name, sum(n_rows)::bigint as n_rows, true as has_bytes, true as adds_up from ({COUNTS}) group by rollup (table_name)""")
+def stored_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the stored tables by their files, each and in total; the sizes themselves are beyond SQL: they are positive and add up."""
+    sizes = tables.stored_sizes(spark, {n: f"{d}/{n}.parquet" for n in NAMES})
+    whole = sizes.where("table_name is null").select(F.col("n_bytes").alias("all_bytes"))
+    parts = sizes.where("table_name is not null").agg(F.sum("n_bytes").alias("sum_bytes"))
+    rows = counts(spark, d).rollup("table_name").agg(F.sum("n_rows").alias("n_rows"))
+    name = F.coalesce("table_name", F.lit("total")).alias("table_name")
+    joined = rows.select(name, "n_rows").join(sizes.select(name, "n_bytes"), "table_name").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(parts))
+    return joined.select("table_name", "n_rows", (F.col("n_bytes") > 0).alias("has_bytes"), (F.col("all_bytes") == F.col("sum_bytes")).alias("adds_up"))
+
+
 @query(f"select * from {SIZED} where table_name not like 's%' and table_name not in ('events') and size_gb <= {CAP_GB}")
 def table_filter(spark: SparkSession, d: str) -> DataFrame:
     return filters.filter_tables(sized(spark, d), named(spark, d, ~F.col("table_name").startswith("s")), named(spark, d, F.col("table_name") == "events"), CAP_GB)

@@ -31,6 +31,11 @@ def bulk_lines(df: DataFrame, index: str, id_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.concat_ws("\n", action, F.to_json(F.struct(*df.columns))).alias("value"))
 
 
+def write_bulk(df: DataFrame, index: str, id_col: str, path: str) -> None:
+    """Bulk document files: text, two lines a row, an action and its document one after the other."""
+    bulk_lines(df, index, id_col).select("value").write.text(path)
+
+
 def project_json(df: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
     """df with fields of a JSON text column: {name: type}."""
     schema = ", ".join(f"`{k}` {v}" for k, v in fields.items())

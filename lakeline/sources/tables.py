@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeline.session import small, stored
+from lakeline.session import scratch, small, stored
 
 #: Target size of a written file.
 FILE_BYTES = 256 << 20
@@ -48,6 +48,20 @@ def table_sizes(tables: DataFrame, inventory: DataFrame) -> DataFrame:
     return tables.join(gb, "table_name", "left").select("table_name", F.coalesce("gb", F.lit(0.0)).alias("size_gb"))
 
 
+def stored_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Rows (table_name, n_files, n_bytes, size_gb) of stored tables (name: path) and, with a null name, of all together.
+
+    Sizes come from the listing of the files; none is opened.
+    """
+    found = None
+    for name, path in paths.items():
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        one = listed.select(F.lit(name).alias("table_name"), F.col("length"))
+        found = one if found is None else found.unionByName(one)
+    sums = found.rollup("table_name").agg(F.count("length").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+    return sums.withColumn("size_gb", F.col("n_bytes") / F.lit(1 << 30))
+
+
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """df with row_no (from 0, in the key's order) and batch_no = row_no // size.
 
@@ -107,14 +121,12 @@ def write_partitioned(df: DataFrame, spec: list[str], path: str, mode: str = "ap
 
 
 def write_sized(df: DataFrame, path: str, file_bytes: int = FILE_BYTES, mode: str = "append") -> None:
-    """Writes Parquet in files of about file_bytes: Spark rebalances to its advisory size."""
-    spark, key = df.sparkSession, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(file_bytes))
-    try:
-        df.hint("rebalance").write.mode(mode).parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    """Writes Parquet in files of about file_bytes: Spark rebalances to its advisory size, which is set in a session of its own."""
+    spark = df.sparkSession.newSession()
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(file_bytes))
+    once = scratch(df.sparkSession, "sized")
+    df.write.parquet(once)
+    spark.read.schema(df.schema).parquet(once).hint("rebalance").write.mode(mode).parquet(path)
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
