@@ -11,7 +11,8 @@ every word is scored given all its neighbours, itself left out.
 
 Training is synchronous: a round goes over every word of all texts, in `LEGS` parts of the texts. In each part every
 partition of the corpus takes gradient steps from the same weights on every word of its texts of that part, and the
-partitions' weights are averaged, weighted by their words, by a shuffle in pieces. What is gathered, counts and weights, grows with the corpus.
+partitions' weights are averaged, weighted by their words, by a shuffle in pieces. What is gathered, counts of words and a row of weights for each partition,
+grows with the corpus; the weights themselves have one size.
 
 Words are told apart by a 64-bit hash. Texts are cut into words once, in slices of about 4 MB; a longer text is a slice of
 its own. Null and empty texts have no words and score 0; a single word is predicted from edge marks; repeated rows
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeline.llm.common import binary_array, slices, strings, sums, words, written
@@ -119,10 +120,10 @@ def coded(pieces: DataFrame, v: Vocabulary) -> DataFrame:
     return pieces.select("first", "ids", "sizes", "codes", "hashes").mapInArrow(run, "key long, doc_id long, entries binary")
 
 
-def shares(pieces: DataFrame, v: Vocabulary) -> DataFrame:
+def shares(pieces: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFrame:
     """Rows (key, share): the sum of the log-shares that a text's words have of their shared entries, by the other texts' counts.
 
-    Words with an entry of their own are left out before the shuffle, so no word that meets there is a common one.
+    Words with an entry of their own are left out before the shuffle; a word that many texts have is spread over tasks by the join with the counts.
     """
     shared = pieces.sparkSession.sparkContext.broadcast(v.own)
 
@@ -137,8 +138,8 @@ def shares(pieces: DataFrame, v: Vocabulary) -> DataFrame:
 
     rows = pieces.select("first", "sizes", "codes", "hashes").mapInArrow(run, "key long, h long, n long")
     room = F.element_at(F.lit((v.mass + PRIOR * v.kinds)[1 + OWN :].tolist()), (F.pmod("h", F.lit(SHARED)) + 1).cast("int"))
-    elsewhere = F.sum("n").over(Window.partitionBy("h")) - F.col("n")
-    return rows.withColumn("share", F.col("n") * F.log((elsewhere + PRIOR) / room)).groupBy("key").agg(F.sum("share").alias("share"))
+    elsewhere = F.col("total") - F.col("n")
+    return rows.join(counts.withColumnRenamed("n", "total"), "h").withColumn("share", F.col("n") * F.log((elsewhere + PRIOR) / room)).groupBy("key").agg(F.sum("share").alias("share"))
 
 
 def start_weights(v: Vocabulary) -> np.ndarray:
@@ -309,8 +310,9 @@ def scored(texts: DataFrame, weights: np.ndarray, share: DataFrame) -> DataFrame
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Vocabulary, DataFrame]:
     """The coded texts (key, doc_id, entries), the vocabulary, and the texts' shares (key, share)."""
     pieces = written(cut(docs, id_col, text_col), "pieces")
-    v = vocabulary(written(word_rows(pieces).groupBy("h").agg(F.sum("n").alias("n")), "counts"))
-    return written(coded(pieces, v), "coded"), v, shares(pieces, v)
+    counts = written(word_rows(pieces).groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    v = vocabulary(counts)
+    return written(coded(pieces, v), "coded"), v, shares(pieces, counts, v)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:

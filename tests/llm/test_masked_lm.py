@@ -122,6 +122,59 @@ def test_query_setting_learns_order(spark):
     assert all(rows[i] > rows[1000 + i] + 0.3 for i in range(10))
 
 
+def slow_training(texts, v):
+    """The weights after one round by plain loops over words: texts in order, as (leg, entries), one partition."""
+    weights = masked_lm.start_weights(v).astype(np.float64)
+    for leg in range(masked_lm.LEGS):
+        squares, seen = np.full(len(weights), 1e-8), 0
+        own = [e for at, e in texts if at == leg]
+        words = [(e, i) for e in own for i in range(len(e))]
+        while seen < len(words):
+            batch = words[seen : seen + min(masked_lm.STEP_WORDS, max(masked_lm.FIRST_WORDS, seen // 8))]
+            seen += len(batch)
+            vectors, bias, classes, class_bias, inner, inner_bias = masked_lm.parts(weights)
+            slopes = np.zeros(len(weights))
+            g_vectors, g_bias, g_classes, g_class_bias, g_inner, g_inner_bias = masked_lm.parts(slopes)
+            for e, i in batch:
+                beside = [e[i + d] if 0 <= i + d < len(e) else 0 for d in masked_lm.SIDE]
+                h = np.tanh(bias + sum(vectors[s][:, x] for s, x in enumerate(beside)))
+                c, k = divmod(e[i] - 1, masked_lm.IN_CLASS)
+                outer, within = (np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in (classes @ h + class_bias, inner[c] @ h + inner_bias[c]))
+                outer[c] -= 1
+                within[k] -= 1
+                back = (classes.T @ outer + inner[c].T @ within) * (1 - h * h)
+                for s, x in enumerate(beside):
+                    g_vectors[s][:, x] += back
+                g_bias += back
+                g_classes += np.outer(outer, h)
+                g_class_bias += outer
+                g_inner[c] += np.outer(within, h)
+                g_inner_bias[c] += within
+            slopes /= len(batch)
+            squares += slopes**2
+            weights -= masked_lm.RATE * slopes / (np.sqrt(squares) + 1e-6)
+    return weights
+
+
+def test_trained_query_against_plain_loops(spark):
+    """The whole query on a small corpus: training by loops over words, then each word's chance, then shares by counts."""
+    r = np.random.default_rng(5)
+    names = [f"w{int(x)}" for x in r.integers(0, 60, 400)]
+    docs = [(i, " ".join(names[a : a + 25])) for i, a in enumerate(range(0, 400, 25))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    texts, v, share = masked_lm.prepared(df)
+    coded = [(x["leg"], np.frombuffer(x["entries"], dtype="<u2").astype(int)) for x in texts.selectExpr(f"pmod(xxhash64(key), {masked_lm.LEGS}) as leg", "entries", "key").orderBy("key").collect()]
+    assert texts.rdd.getNumPartitions() == 1 and {leg for leg, _ in coded} == set(range(masked_lm.LEGS))
+    weights = slow_training(coded, v)
+    assert np.abs(masked_lm.trained(texts, v) - weights).max() < 2e-3 and np.abs(weights - masked_lm.start_weights(v)).max() > 0.1
+    found = {x["doc_id"]: x["log_likelihood"] for x in masked_lm.score(df).collect()}
+    extra = {x["doc_id"]: x["share"] for x in texts.join(share, "key", "left").collect()}
+    for (doc, _), (_, e) in zip(docs, coded):
+        flat, places = np.concatenate([[0, 0], e, [0, 0]]), np.arange(2, 2 + len(e))
+        value = sum(math.log(chances(weights, flat, p)[e[p - 2] - 1]) for p in places)
+        assert math.isclose(found[doc], value + (extra[doc] or 0), abs_tol=0.05)
+
+
 def test_held_out_gain(spark):
     """On texts that it wasn't trained on the network is clearly likelier than the words' shares of the corpus."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
