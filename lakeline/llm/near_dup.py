@@ -211,14 +211,30 @@ def first_key(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def mixed_blocks(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets that hold several components, in blocks of bounded size, members in order of their components."""
+    """Buckets that hold several components, in blocks of bounded size, members in order of their components.
+
+    `most` marks the blocks of the bucket's largest component. A component of more than a block is dealt to groups by its members, others go to groups
+    whole, before blocks are numbered; so no group holds much more than a block.
+    """
     members = buckets.join(labels, "node")
-    mixed_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    members = members.join(mixed_keys, "key")
-    # a large bucket is spread by its members' components before its blocks are numbered
-    spread = members.withColumn("salt", F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("component"), F.ceil(F.col("size") / BLOCK))).otherwise(F.lit(0).cast("long")))
-    ordered = spread.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("key", "salt").orderBy("component", "node")) - 1) / BLOCK))
-    return ordered.groupBy("key", "salt", "part").agg(F.first("size").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature"))).alias("rows"))
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own"))
+    mixed_keys = parts.groupBy("key").agg(F.sum("own").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("own", "component")).alias("top")).where("parts > 1")
+    told = parts.join(mixed_keys, "key").select("key", "component", "own", "size", (F.col("component") == F.col("top.component")).alias("most"))
+    alone = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("own") / BLOCK)))
+    salt = F.when(F.col("own") > BLOCK, alone).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("size") / BLOCK)))
+    spread = members.join(told, ["key", "component"]).withColumn("salt", salt)
+    ordered = spread.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("key", "most", "salt").orderBy("component", "node")) - 1) / BLOCK))
+    return ordered.groupBy("key", "most", "salt", "part").agg(F.first("size").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature"))).alias("rows"))
+
+
+def dealt(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks as both sides of the comparison, by key and group."""
+    # the blocks of a large bucket are dealt to several tasks on the one side; on the other those that are not of its largest
+    # component go to all of these: of two members of different components one is not in the largest
+    groups = F.ceil(F.col("size") / (BLOCK * TASK_BLOCKS))
+    left = blocks.select("key", F.pmod(F.xxhash64("salt", "part"), groups).alias("group"), F.col("most").alias("m1"), F.col("salt").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rows").alias("rows1"))
+    right = blocks.where(~F.col("most")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("group"), F.col("salt").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rows").alias("rows2"))
+    return left, right
 
 
 def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
@@ -230,11 +246,8 @@ def unlike(blocks: DataFrame, pick, kind: str) -> DataFrame:
     """
     names = [part.split()[0] for part in kind.split(",")]
     extra = [c for c in blocks.schema["rows"].dataType.elementType.names if c not in ("node", "component", "signature")]
-    # the blocks of a large bucket are dealt to several tasks on the one side and go to all of these on the other
-    groups = F.ceil(F.col("size") / (BLOCK * TASK_BLOCKS))
-    left = blocks.select("key", F.pmod(F.xxhash64("salt", "part"), groups).alias("group"), F.col("salt").alias("s1"), F.col("part").alias("p1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("rows").alias("rows1"))
-    right = blocks.select("key", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)).alias("group"), F.col("salt").alias("s2"), F.col("part").alias("p2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rows").alias("rows2"))
-    each_two = F.expr("(s1 < s2 or (s1 = s2 and p1 <= p2)) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
+    left, right = dealt(blocks)
+    each_two = F.expr("(m1 or s1 < s2 or (s1 = s2 and p1 <= p2)) and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)")
     tasks = left.join(right, ["key", "group"]).where(each_two).select("key", "rows1", "rows2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +315,8 @@ def cross_pairs(blocks: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
     sizes: (node, n, own, cells).
     """
-    member = blocks.select("key", "salt", "part", "size", "lo", "hi", F.explode("rows").alias("r")).select("key", "salt", "part", "size", "lo", "hi", "r.*").join(sizes, "node")
-    rebuilt = member.groupBy("key", "salt", "part").agg(F.first("size").alias("size"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature", "n", "own", "cells"))).alias("rows"))
+    member = blocks.select("key", "most", "salt", "part", "size", "lo", "hi", F.explode("rows").alias("r")).select("key", "most", "salt", "part", "size", "lo", "hi", "r.*").join(sizes, "node")
+    rebuilt = member.groupBy("key", "most", "salt", "part").agg(F.first("size").alias("size"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("node", "component", "signature", "n", "own", "cells"))).alias("rows"))
 
     def pick(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         most = most_common(x, y, i, j)

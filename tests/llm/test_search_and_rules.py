@@ -226,3 +226,33 @@ def test_components_of_a_long_chain_and_a_star(spark):
     found = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
     assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_hot_bucket_is_shuffled_in_proportion(spark):
+    """A bucket of some thousand copies in one component and a few members of others: blocks are bounded, few rows are copied, all near pairs are found."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    base, n, other = rng.integers(0, 1 << 16, near_dup.COMPONENTS), 5000, 20
+    rows = []
+    for node in range(n + other):
+        signature = base.copy()
+        signature[rng.choice(near_dup.COMPONENTS - 4, 3 if node < n else 12, replace=False)] = rng.integers(0, 1 << 16, 1)
+        rows.append((node, 0 if node < n else n + node % 4, signature.astype("<u2").tobytes()))
+    labels = spark.createDataFrame(rows, "node long, component long, signature binary")
+    key = int(base[-4]) << 32 | int(base[-3]) << 16 | int(base[-2])
+    key = key << 5 | near_dup.COMPONENTS - 1
+    blocks = near_dup.mixed_blocks(labels.select(F.lit(key).alias("key"), "node"), labels)
+    sizes = blocks.select(F.size("rows").alias("n"), "most").collect()
+    assert sum(r["n"] for r in sizes) == n + other and max(r["n"] for r in sizes) <= near_dup.BLOCK
+    left, right = near_dup.dealt(blocks)
+    assert left.agg(F.sum(F.size("rows1"))).first()[0] == n + other and right.agg(F.sum(F.size("rows2"))).first()[0] <= other * (1 + n // (near_dup.BLOCK * near_dup.TASK_BLOCKS) + 1)
+    matrix = np.stack([np.frombuffer(r[2], dtype="<u2") for r in rows])
+    first = near_dup.first_key(matrix[:n], np.broadcast_to(matrix[n], (n, near_dup.COMPONENTS)))
+    want = set()
+    for one in range(n, n + other):
+        close = (matrix != matrix[one]).sum(axis=1) <= near_dup.RADIUS
+        close &= np.array([r[1] for r in rows]) != rows[one][1]
+        close &= near_dup.first_key(matrix, np.broadcast_to(matrix[one], matrix.shape)) == near_dup.COMPONENTS - 1
+        want |= {one, *np.flatnonzero(close).tolist()} if close.any() else set()
+    assert {r["node"] for r in near_dup.active_nodes(blocks).collect()} == want and len(first) == n
