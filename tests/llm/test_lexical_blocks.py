@@ -9,8 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeline.llm import lexical_blocks
-from lakeline.llm.queries import oracle_sql, queries
-from tests.compare import duck_rows, spark_rows
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -89,10 +87,6 @@ def test_blocks_are_skipped_and_bounds_hold(corpus):
     assert shut > total / 10
 
 
-def test_query_against_sql(spark, sf):
-    assert spark_rows(queries()["op12_lexical_blocks"](spark, sf)) == duck_rows(oracle_sql()["op12_lexical_blocks"], sf)
-
-
 def test_odd_rows(spark, odd, none):
     items = [(1, "word"), (1, "words here"), (2, None), (3, " .,; "), (None, "The same text"), (4, "Straße 日本語"), (5, "x" * 5000), (6, "1234 it's")]
     frame = spark.createDataFrame(items, "item_id long, text string").withColumn("rank", F.lit("taken")).withColumn("doc_id", F.lit("taken"))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakeline.llm import line_rules, near_dup, queries, topk_nra
 from tests.compare import duck_rows, spark_rows
@@ -41,6 +42,9 @@ def test_topk_with_odd_rows(spark, seed, monkeypatch):
     found = sorted(tuple(x) for x in topk_nra.top_k(df, k=5).collect())
     assert found == brute_top([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows], 5, 20)
     assert topk_nra.top_k(df.limit(0)).count() == 0
+    for name in ("v", "dim", "qb", "cb", "rank", "score", "query_id", "x"):
+        df = df.withColumn(name, F.lit("taken"))
+    assert sorted(tuple(x) for x in topk_nra.top_k(df, k=5).collect()) == found
 
 
 def test_bounds_hold_and_meet():
@@ -89,10 +93,13 @@ def test_line_rules_base(spark, odd, none):
     r = random.Random(2)
     pool = ["a", "b", "c", "d|", "#e", "f.", "\n", "\n\n", "é", "\t"]
     texts = [(100 + i, " ".join(r.choice(pool) for _ in range(r.randrange(200)))) for i in range(60)]
+    texts += [(200, " ".join(r.choice(pool) + str(i) for i in range(30_000))), (201, "One line that is said again.\n" * 5000)]
     df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string"))
     found = {x["doc_id"]: tuple(x)[1:7] for x in line_rules.judge(df).collect()}
     assert found == {i: brute_base(t) for i, t in [*ODD, *texts]}
     assert line_rules.judge(none).count() == 0
+    # columns of names that the rules use
+    assert {x["doc_id"]: tuple(x)[1:7] for x in line_rules.judge(odd).collect()} == {i: brute_base(t) for i, t in ODD}
 
 
 def test_line_rules_verdict(spark):
@@ -230,8 +237,6 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 def test_a_hot_bucket_is_shuffled_in_proportion(spark):
     """A bucket of some thousand copies in one component and a few members of others: blocks are bounded, few rows are copied, all near pairs are found."""
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(8)
     base, n, other = rng.integers(0, 1 << 16, near_dup.COMPONENTS), 5000, 20
     rows = []

@@ -6,8 +6,6 @@ import random
 import pytest
 
 from lakeline.llm import set_relation_join as join
-from lakeline.llm.queries import oracle_sql, queries
-from tests.compare import duck_rows, spark_rows
 
 
 def grams(text, size):
@@ -100,10 +98,6 @@ def test_a_group_gives_few_pairs(spark):
     assert join.candidates(entries, 380).count() < 0.1 * nodes * nodes / 2
 
 
-def test_query_against_sql(spark, sf):
-    assert spark_rows(queries()["op11_set_relation_join"](spark, sf)) == duck_rows(oracle_sql()["op11_set_relation_join"], sf)
-
-
 def test_odd_rows(spark, odd, none):
     long = [(60, "long words " * 200_000), (61, "long words " * 200_001), (62, "Same Words Here"), (63, "same words here"), (63, "same words here")]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(long, "doc_id long, text string"))
