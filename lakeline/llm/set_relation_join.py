@@ -15,7 +15,8 @@ from the leader's answer: |y & z| = |r| - |lacks y| - |lacks z| + |lacks y & lac
 are linked to the leader can only be similar if their differences have a token in common; so the differences are joined as small sets of their own, by the
 same lists, prefixes (in order of their exact counts) and blocks, with the derived bound. Whole sets of one leader are never compared with each other.
 
-Candidates of both joins are confirmed exactly, on differences or on whole token sets. Tokens are 64-bit hashes; two texts'
+Candidates of the lists must pass a second bound: of the tokens in one cell of their hashes two sets share at most the smaller number.
+What is left of both joins is confirmed exactly, on differences or on whole token sets. Tokens are 64-bit hashes; two texts'
 sets are taken for another by a collision with a chance of about 1e-13 a pair. Leaders, parities and the order of tokens only
 save work: results don't depend on them. No list, group or class is capped.
 
@@ -41,6 +42,8 @@ from lakeline.llm.near_dup import components, labelled, mixed, picked
 KEYS, ROUNDS = 8, 2
 #: Counters of repeated tokens (a byte each, which every task holds); tokens that share one are taken for equally frequent.
 COUNTERS = 1 << 21
+#: Cells that a set's tokens are counted in (a byte each), for a bound on what two sets share.
+CELLS = 256
 #: Entries of a list that are compared one by one; longer lists go block by block.
 SHORT_LIST = 48
 #: Multipliers of the token hash, odd 64-bit numbers.
@@ -70,7 +73,8 @@ def token_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, mins, often): a set's size, digest and MinHash values; a slice's first row has counters of the tokens that repeat in it."""
+    """Rows (doc_id, n_shingles, digest, mins, cells, often): a set's size, digest, MinHash values and tokens by cell; a slice's first row has
+    counters of the tokens that repeat in it."""
     rng = np.random.default_rng(20170801)
     a, b = rng.integers(0, 1 << 63, KEYS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, KEYS, dtype=np.uint64)
     counters = COUNTERS
@@ -82,14 +86,15 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
                 mins = [[int(v) for v in (mixed(np.array([(s * p + q).min() for p, q in zip(a, b)])) >> np.uint64(1)).astype(np.int64)] if len(s) else [] for s in sets]
+                cells = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
                 tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
                 sums = np.bincount(counter(tokens[counts > 1], counters), counts[counts > 1])
                 at = np.flatnonzero(sums)
                 often = [[{"counter": int(c), "n": int(k)} for c, k in zip(at, sums[at])]] + [None] * (len(sets) - 1)
-                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("counter", pa.int64()), ("n", pa.int64())]))]
-                yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(x, k) for x, k in zip((n, digests, mins, often), kinds)]], names=["doc_id", "n_shingles", "digest", "mins", "often"])
+                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.struct([("counter", pa.int64()), ("n", pa.int64())]))]
+                yield pa.RecordBatch.from_arrays([piece.column(0), *[pa.array(x, k) for x, k in zip((n, digests, mins, cells, often), kinds)]], names=["doc_id", "n_shingles", "digest", "mins", "cells", "often"])
 
-    spec = "doc_id long, n_shingles long, digest binary, mins array<long>, often array<struct<counter: long, n: long>>"
+    spec = "doc_id long, n_shingles long, digest binary, mins array<long>, cells binary, often array<struct<counter: long, n: long>>"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, spec)
 
 
@@ -286,6 +291,23 @@ def prefix_entries(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, percen
     return entries.withColumns({"pos": F.col("pos").cast("long"), "need": 2 * percent * F.col("n")})
 
 
+def plausible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose tokens by cell let their sets share enough. sizes: (node, n, cells). A full cell of both sides bounds nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for k in (3, 5))
+            n, m = (batch.column(k).to_numpy() for k in (2, 4))
+            least = np.minimum(one, two)
+            most = np.where(least.max(axis=1, initial=0) == 255, np.minimum(n, m), least.sum(axis=1, dtype=np.int64))
+            keep = pa.array((100 + percent) * most >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
+    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("cells").alias("cells_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "cells_a", "n_b", "cells_b").mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
     """Of pairs (a, b) those whose whole token sets are similar enough."""
 
@@ -327,7 +349,7 @@ def classes(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "do
     """Rows (doc_id, n_shingles, component_id), one per row of docs."""
     sketched = written(sketches(docs, size, id_col, text_col), "sketches")
     filled = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    folded = written(filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("mins").alias("mins")), "folded")
+    folded = written(filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("mins").alias("mins"), F.first("cells").alias("cells"), F.max("n_shingles").alias("n")), "folded")
     nodes = folded.select("node", "mins")
     followers = followers_of(docs, nodes, size, id_col, text_col)
     stars = followers.where(similar(F.col("n_leader") - F.size("lacks"), F.col("n"), F.col("n_leader"), percent)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
@@ -338,7 +360,8 @@ def classes(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "do
     second = written(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(derived)), "derived")
     groups = labelled(labelled(nodes.select("node"), second).withColumnRenamed("component", "linked"), followers.select("node", F.col("leader").alias("component"))).withColumnRenamed("component", "group")
     found = candidates(prefix_entries(docs, groups, frequencies(sketched), percent, size, id_col, text_col), 2 * (100 + percent))
-    links = confirmed(written(found, "candidates"), docs, percent, size, id_col, text_col)
+    likely = written(plausible(found, folded.select("node", "n", "cells"), percent), "candidates")
+    links = confirmed(likely, docs, percent, size, id_col, text_col)
     last = written(components(second.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
     member = folded.select("digest", "node").join(last, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     joined = sketched.join(member, "digest", "left")
