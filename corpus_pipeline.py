@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those of unknown language, or with under 0.3 of their n-grams in their language's filter.
+    """docs without those of unknown language, or with under 0.3 of their n-grams in their language's filter (of which weak hits count a tenth).
 
     Null and empty texts and texts without a letter have no language and go; ties between languages don't matter, as either
     has the same share; rows without `lang` teach nothing; without any row that does, no language is known and all go.
