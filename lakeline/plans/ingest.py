@@ -11,7 +11,7 @@ from lakeline.operators import audits, filters, history, schema
 from lakeline.plans.registry import query
 from lakeline.plans.retail import money, t
 from lakeline.session import scratch
-from lakeline.sources import tables
+from lakeline.sources import messages, tables
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 COUNTS = " union all ".join(f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in NAMES)
@@ -144,3 +144,67 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     third = F.col("n_rows") % 3
     ok, failed = F.count_if(third == 0), F.count_if(third == 1)
     return counts(spark, d).agg(ok.alias("n_ok"), failed.alias("n_failed"), F.count_if(third == 2).alias("n_skipped"), F.sum(F.when(third == 0, F.col("n_rows")).otherwise(0)).alias("total_rows"), F.when(failed == 0, "success").when(ok > 0, "partial").otherwise("failed").alias("status"))
+
+
+KINDS = "case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'TIMESTAMP' then 'timestamp_ntz' when 'DATE' then 'date' else lower(column_type) end"
+
+
+@query(" union all ".join(f"select '{n}' as table_name, column_name, {KINDS} as data_type from (describe {n})" for n in ("orders", "lineitem", "events")))
+def schema_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Columns and types of stored tables, of which no row is read."""
+    found = [(n, f.name, f.dataType.simpleString()) for n in ("orders", "lineitem", "events") for f in tables.probe_schema(tables.read_table(spark, d, n)).fields]
+    return spark.createDataFrame(found, "table_name string, column_name string, data_type string")
+
+
+@query("select o_orderkey, o_totalprice, case when o_orderkey % 2 = 1 then o_orderpriority end as note from orders")
+def append_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two appends to one table, of which the second has a column more."""
+    o, path = t(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("note")), scratch(spark, "grown")
+    tables.append(o.where("o_orderkey % 2 = 0").drop("note"), path)
+    tables.append(o.where("o_orderkey % 2 = 1"), path)
+    return tables.read_merged(spark, path).select("o_orderkey", "o_totalprice", "note")
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, true as in_files from lineitem")
+def sized_write(spark: SparkSession, d: str) -> DataFrame:
+    """Written in files of about 256 MB; how many there are is beyond SQL: no more than the bytes ask for, and one."""
+    rows, path = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), scratch(spark, "sized")
+    tables.write_sized(rows, path)
+    back = spark.read.schema(rows.schema).parquet(path)
+    files = history.file_stats(back).agg((F.count(F.lit(1)) <= F.ceil(F.coalesce(F.sum("file_bytes"), F.lit(0)) / tables.FILE_BYTES) + 1).alias("in_files"))
+    return back.crossJoin(F.broadcast(files))
+
+
+@query("""select 'customers' as topic, c_custkey::varchar as key, '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}' as value from customer""")
+def keyed_messages(spark: SparkSession, d: str) -> DataFrame:
+    return messages.as_messages(t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "customers")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def seed_table(spark: SparkSession, d: str) -> DataFrame:
+    """A static table from a CSV file with a header."""
+    n, path = t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), scratch(spark, "seed")
+    n.write.option("header", "true").csv(path)
+    return tables.seed(spark, path, n.schema)
+
+
+@query("select o_orderpriority, count(*) as n_orders from orders group by o_orderpriority")
+def registered_view(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table under a view's name, asked in SQL."""
+    tables.register(t(spark, d, "orders"), "lakeline_orders")
+    return spark.sql("select o_orderpriority, count(*) as n_orders from lakeline_orders group by o_orderpriority")
+
+
+@query("select o_orderkey, (o_orderkey // 4000) * 1099511627776 + o_orderkey % 4000 as snap_id, o_orderdate as snap_timestamp from orders")
+def audit_columns(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return tables.with_audit(o, F.floor(F.col("o_orderkey") / 4000), F.col("o_orderkey") % 4000, F.col("o_orderdate")).drop("o_orderdate")
+
+
+@query("select least(count(*), 1000)::bigint as n_rows, true as of_table from orders")
+def capped_result(spark: SparkSession, d: str) -> DataFrame:
+    """An ad-hoc result is cut at 1000 rows; which ones is open, but they are the table's."""
+    o = t(spark, d, "orders").select("o_orderkey")
+    few = tables.capped(o)
+    found = few.join(F.broadcast(o.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))), F.col("o_orderkey").between(F.col("lo"), F.col("hi")), "left")
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), (F.count("lo") == F.count(F.lit(1))).alias("of_table"))

@@ -36,6 +36,15 @@ def model_backfill(spark: SparkSession, d: str) -> DataFrame:
     return model_table(spark, path)
 
 
+@query(HOURLY)
+def model_full(spark: SparkSession, d: str) -> DataFrame:
+    """Built from a part of the events and then from all: the whole table is replaced."""
+    events, path = t(spark, d, "events"), scratch(spark, "model")
+    for rows in (events.where("event_id % 2 = 0"), events):
+        models.run_full(hourly_model(rows), path)
+    return spark.read.schema("hour timestamp_ntz, event_type string, n_events long, total double").parquet(path)
+
+
 @query("select user_id, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id")
 def model_unique_key(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "events").select("user_id", "event_id", "value")
