@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,42 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)
 
 
+def key_range(spark: SparkSession, url: str, table: str, column: str, **options: str) -> tuple[int, int] | None:
+    """The least and largest value of a database table's column, which the database itself finds; None for a table without any."""
+    low, high = read_query(spark, url, f"select min({column}) as low, max({column}) as high from {table}", **options).first()
+    return None if low is None else (int(low), int(high))
+
+
+def read_split(spark: SparkSession, url: str, table: str, column: str, parts: int, **properties: str) -> DataFrame:
+    """A database table in parallel ranges between its column's ends; rows without a value come with the first range. New rows beyond the ends come too."""
+    ends = key_range(spark, url, table, column, **properties) or (0, 0)
+    return read_jdbc(spark, url, table, column, ends[0], ends[1] + 1, parts, **properties)
+
+
+def execute(spark: SparkSession, url: str, *statements: str) -> int:
+    """Statements in one transaction of a database, from the driver; returns how many rows they changed."""
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        changed = sum(statement.executeUpdate(s) for s in statements)
+        connection.commit()
+        return changed
+    finally:
+        connection.rollback()
+        connection.close()
+
+
+def database_sink(url: str, table: str, column: str = "batch", **properties: str) -> Callable[[DataFrame, int], None]:
+    """A sink for numbered batches: rows go to a database table with the batch's number in a column; what the table has of that batch is replaced."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        execute(batch.sparkSession, url, f"delete from {table} where {column} = {int(number)}")
+        batch.withColumn(column, F.lit(int(number)).cast("long")).write.jdbc(url, table, mode="append", properties=properties)
+
+    return write
+
+
 def probe_schema(df: DataFrame) -> StructType:
     return df.limit(0).schema
 
