@@ -18,7 +18,8 @@ same lists, prefixes (in order of their exact counts) and blocks, with the deriv
 Candidates of the lists must pass a second bound: of the tokens in one cell of their hashes two sets share at most the smaller number.
 What is left of both joins is confirmed exactly, on differences or on whole token sets. Tokens are 64-bit hashes; two texts'
 sets are taken for another by a collision with a chance of about 1e-13 a pair. Leaders, parities and the order of tokens only
-save work: results don't depend on them. No list, group or class is capped.
+save work: results don't depend on them. No list, group or class is capped; followers' long lists are cut in parts, one list of whole sets' prefixes is
+held by one task (what all texts share comes last in the order, and so is in few prefixes).
 
 Null and empty texts have an empty set and link with nothing; texts with fewer words than an n-gram have one token, all their
 words; very long texts have their whole set; rows that share an id are one document (equal texts), those without an id are a class of their
@@ -44,6 +45,8 @@ KEYS, ROUNDS = 8, 2
 COUNTERS = 1 << 21
 #: Cells that a set's tokens are counted in (a byte each), for a bound on what two sets share.
 CELLS = 256
+#: Entries of followers' lists that one task takes; the lists of a large group are cut.
+LIST = 50_000
 #: Entries of a list that are compared one by one; longer lists go block by block.
 SHORT_LIST = 48
 #: Multipliers of the token hash, odd 64-bit numbers.
@@ -113,12 +116,13 @@ def frequencies(sketched: DataFrame) -> np.ndarray:
 def leaders(nodes: DataFrame) -> DataFrame:
     """Edges (node, leader): nodes whose heaviest neighbour in a MinHash bucket is no one's follower. nodes: (node, mins)."""
     keyed = nodes.select("node", F.posexplode("mins").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # stored by themselves, so that Spark can split the joins' hot keys
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     buckets = written(keyed.join(shared, "key"), "buckets")
     weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = written(buckets.select("key", "node").join(weight, "node"), "weighed")
     rank = F.struct("weight", (-F.col("node")).alias("back"))
-    heaviest = weighed.groupBy("key").agg(F.max(rank).alias("best"))
+    heaviest = written(weighed.groupBy("key").agg(F.max(rank).alias("best")), "heaviest")
     choice = weighed.select("key", "node").join(heaviest, "key").groupBy("node").agg((-F.max("best")["back"]).alias("leader"))
     chosen = written(choice, "choice")
     roots = chosen.where("node = leader").select(F.col("node").alias("leader"))
@@ -246,17 +250,22 @@ def candidates(entries: DataFrame, factor: int) -> DataFrame:
 def difference_entries(followers: DataFrame, star: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Entries of the followers' differences, and (node, leader, keys, need) with all their keys."""
     key = lambda side: lambda x: F.xxhash64("leader", F.lit(side), x)
-    keyed = followers.select("node", "leader", "n", "n_leader", F.size("lacks").alias("m"), F.size("more").alias("p"), F.explode(F.concat(F.transform("lacks", key(0)), F.transform("more", key(1)))).alias("key"))
-    counted = keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "key")
+    keyed = written(followers.select("node", "leader", "n", "n_leader", F.size("lacks").alias("m"), F.size("more").alias("p"), F.explode(F.concat(F.transform("lacks", key(0)), F.transform("more", key(1)))).alias("key")), "keyed")
+    counted = keyed.join(written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "counts"), "key")
     total = 100 + percent
     need = (2 * percent * F.col("n") + 2 * total * F.col("m") - total * F.col("n_leader")).alias("need")
     sets = counted.groupBy("node", "leader", "n", "n_leader", "m", "p").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.expr("bit_xor(shiftleft(1L, int(pmod(key, 64))))").alias("parity"))
-    sets = written(sets.join(star, "node", "left").select("node", "leader", F.coalesce("linked", "node").alias("linked"), (F.col("m") + F.col("p")).cast("long").alias("d"), need.cast("long"), "n_leader", "keys", "parity"), "differences")
+    led = star.select(F.col("node").alias("leader"), F.col("linked").alias("led"))
+    sets = written(sets.join(star, "node", "left").join(led, "leader", "left").select("node", "leader", F.coalesce("linked", "node").alias("linked"), F.coalesce("linked", "node").eqNullSafe(F.col("led")).alias("with_leader"), (F.col("m") + F.col("p")).cast("long").alias("d"), need.cast("long"), "n_leader", "keys", "parity"), "differences")
     # the least that a partner's differences must share with these
     least = F.greatest(F.lit(1), F.ceil((F.col("need") - (100 - percent) * F.col("n_leader")) / 200))
     prefix = F.slice("keys", 1, F.greatest(F.lit(0), F.col("d") - least + 1).cast("int"))
-    entries = sets.select("node", "linked", "need", "parity", F.col("d").alias("n"), F.posexplode(prefix).alias("pos", "k")).where("k.df > 1")
-    return entries.select(F.col("k.key").alias("token"), "n", F.col("pos").cast("long").alias("pos"), "need", "node", F.col("node").alias("group"), "linked", "parity"), sets
+    entries = sets.select("node", "linked", "with_leader", "need", "parity", F.col("d").alias("n"), F.posexplode(prefix).alias("pos", "k")).where("k.df > 1")
+    # a long list is cut: sets that are linked to the leader, and so never paired, go to one part each, others to all parts
+    parts = F.ceil(F.col("k.df") / LIST)
+    part = F.when(F.col("with_leader"), F.array(F.pmod(F.xxhash64("node"), parts))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
+    dealt = entries.withColumn("part", F.explode(part))
+    return dealt.select(F.xxhash64("k.key", "part").alias("token"), "n", F.col("pos").cast("long").alias("pos"), "need", "node", F.col("node").alias("group"), "linked", "parity"), sets
 
 
 def derived_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -71,6 +71,7 @@ def frame(spark, docs):
 @pytest.mark.parametrize(("seed", "short", "counters", "percent", "size"), [(1, 48, 1 << 21, 90, 3), (2, 1, 50, 90, 3), (3, 4, 1, 80, 2)])
 def test_same_as_all_pairs(spark, monkeypatch, seed, short, counters, percent, size):
     monkeypatch.setattr(join, "SHORT_LIST", short)
+    monkeypatch.setattr(join, "LIST", short)
     monkeypatch.setattr(join, "COUNTERS", counters)
     docs = corpus(seed)
     assert rows_of(join.classes(frame(spark, docs), percent, size)) == by_hand(docs, percent, size)
