@@ -36,6 +36,8 @@ from lakeline.llm.common import slices, strings, words, written
 TOP, BLOCK, DIMENSIONS = 20, 32, 16
 #: Items of one pass over the documents, and impacts (4 bytes each) of a shard.
 ITEMS_AT_ONCE, SHARD_CELLS = 1000, 12_000_000
+#: Documents of a task that searches.
+TASK_DOCS = 8192
 #: Groups that an item's results from all tasks are ranked in before they are ranked altogether.
 MERGES = 64
 
@@ -194,7 +196,9 @@ def search_set(docs: DataFrame, texts: list[str], id_col: str, text_col: str) ->
         counts = Counter(codes[a:b].tolist())
         terms = np.array(sorted(counts), dtype=np.int64)
         items.append({"terms": terms, "weights": (weights[terms] * np.array([counts[t] for t in terms.tolist()], dtype=np.int64)).astype(np.float64)})
-    rows = best_of(found, items, weights, n_docs, n_terms)
+    # postings are small beside what is done with them: tasks are cut by documents, not by bytes
+    dealt = found.repartition(max(1, -(-n_docs // TASK_DOCS)))
+    rows = best_of(dealt, items, weights, n_docs, n_terms)
     merged = ranked(rows, ["item", F.pmod(F.xxhash64("doc_id"), F.lit(MERGES))]).drop("rank")
     return ranked(merged, ["item"])
 
