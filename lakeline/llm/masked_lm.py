@@ -139,7 +139,7 @@ def shares(pieces: DataFrame, counts: DataFrame, v: Vocabulary) -> DataFrame:
     rows = pieces.select("first", "sizes", "codes", "hashes").mapInArrow(run, "key long, h long, n long")
     room = F.element_at(F.lit((v.mass + PRIOR * v.kinds)[1 + OWN :].tolist()), (F.pmod("h", F.lit(SHARED)) + 1).cast("int"))
     elsewhere = F.col("total") - F.col("n")
-    return rows.join(counts.withColumnRenamed("n", "total"), "h").withColumn("share", F.col("n") * F.log((elsewhere + PRIOR) / room)).groupBy("key").agg(F.sum("share").alias("share"))
+    return rows.join(counts.withColumnRenamed("n", "total").hint("shuffle_hash"), "h").withColumn("share", F.col("n") * F.log((elsewhere + PRIOR) / room)).groupBy("key").agg(F.sum("share").alias("share"))
 
 
 def start_weights(v: Vocabulary) -> np.ndarray:
