@@ -107,6 +107,18 @@ def record_limited(stream: DataFrame, spool: str, checkpoint: str, records: int
     return table_source(spark, spool, stream.schema, files_per_batch=1)
 
 
+def in_records(batch: DataFrame, records: int = TRIGGER_RECORDS) -> DataFrame:
+    """A micro-batch with `trigger`, the number of a group of at most so many records: what a record-limited trigger is fired with.
+
+    Each task counts its own records, so nothing is shuffled and all groups of a micro-batch are worked on at once, however many
+    they are. record_limited gives groups one after the other, a micro-batch each, for what can't take more than one at a time.
+    """
+    # the number of a task, and of a record inside it
+    task, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = batch.withColumn("_id", F.monotonically_increasing_id())
+    return numbered.withColumn("trigger", F.shiftleft(task, 33) + F.floor(at / records)).drop("_id")
+
+
 def dual_write(batch: DataFrame, number: int, ledger: str, sinks: dict[str, Callable[[DataFrame, int], None]]) -> list[str]:
     """Hands a batch, evaluated once, to every sink that doesn't have it yet, and enters it in the ledger of each; returns those names.
 

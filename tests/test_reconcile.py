@@ -161,6 +161,33 @@ def test_micro_batches_hold_so_many_records(spark):
     assert sorted(seen) == list(range(130)) and max(sizes) <= 20 and len(sizes) >= 7
 
 
+def test_groups_of_records_share_a_micro_batch(spark):
+    """Groups hold so many records at most, each record once, and a micro-batch holds many of them."""
+    path, out, done = scratch(spark, "lines"), scratch(spark, "out"), []
+    spark.range(1000).repartition(3).write.json(path)
+
+    def handle(batch, number):
+        jobs.in_records(batch, 20).write.parquet(f"{out}/batch={number}")
+        done.append(number)
+
+    jobs.each_batch(jobs.json_source(spark, path, "id long"), handle, scratch(spark, "offsets"), seconds=None)
+    rows = [tuple(r) for r in spark.read.schema("id long, trigger long, batch long").parquet(out).collect()]
+    sizes = [sum(1 for r in rows if r[1:] == g) for g in {r[1:] for r in rows}]
+    assert sorted(r[0] for r in rows) == list(range(1000)) and max(sizes) <= 20 and 50 <= len(sizes) <= 53
+    assert done == [0]
+
+
+def test_the_record_trigger_is_no_micro_batch_per_group(spark, sf, monkeypatch):
+    from lakeline.plans import events
+
+    numbers, each = [], jobs.each_batch
+    monkeypatch.setattr(jobs, "each_batch", lambda stream, handle, *rest, **named: each(stream, lambda batch, number: (numbers.append(number), handle(batch, number)), *rest, **named))
+    found = events.stream_record_trigger(spark, sf)
+    assert found.where("fits").count() == spark.read.parquet(f"{sf}/events.parquet").count() > 100
+    # sf0.001 has a few groups of 100 records, and too few bytes for a second micro-batch
+    assert numbers == [0]
+
+
 def test_null_labels_are_labels(spark):
     rows = [("m", None, 1, 5.0), ("m", None, 2, 8.0), ("m", "x", 1, 1.0), ("m", "x", 2, 4.0)]
     s = spark.createDataFrame(rows, "metric string, label string, n long, value double")
