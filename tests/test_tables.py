@@ -294,6 +294,18 @@ def test_sized_and_seeded_tables(spark, tmp_path):
     assert spark.read.parquet(f"{path}-full").count() == 2
 
 
+def test_sized_files_are_as_many_as_their_bytes_ask_for(spark):
+    """Neither the number of cores nor the size of shuffled rows counts, and rows stay beside each other."""
+    rows = spark.range(0, 3_000_000, 1, 12).withColumn("x", F.xxhash64("id"))
+    for file_bytes in (256 << 20, 4 << 20):
+        path = scratch(spark, "sized")
+        tables.write_sized(rows, path, file_bytes)
+        back = spark.read.parquet(path)
+        sizes = [r["file_bytes"] for r in history.file_stats(back).collect()]
+        assert len(sizes) == max(1, round(sum(sizes) / file_bytes)) and max(sizes) < 1.5 * file_bytes
+        assert back.agg(F.count("id"), F.count_distinct("id"), F.min("id"), F.max("id")).first() == (3_000_000, 3_000_000, 0, 2_999_999)
+
+
 def test_catalog_helpers(spark):
     tables.ensure_namespace(spark, "shop")
     tables.drop_table(spark, "shop.items")
