@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lakeline.session import small
 
+#: About so many permissions, before repeats are taken out, are worked on by one task at a time.
+ROWS_AT_ONCE = 500_000
+
 
 def effective(bindings: DataFrame, role_perms: DataFrame, at: Column) -> DataFrame:
     """Rows (user_id, service_id, permission, binding_id): what each user may do per service.
@@ -15,7 +18,14 @@ def effective(bindings: DataFrame, role_perms: DataFrame, at: Column) -> DataFra
     service_id, permission). An expired binding counts for nothing; of several the smallest binding id stands.
     """
     valid = bindings.where(F.col("expires_at").isNull() | (F.col("expires_at") > at)).select("binding_id", "user_id", "role_id", F.col("service_id").alias("bound"))
-    joined = valid.join(role_perms, "role_id").where(F.col("bound").isNull() | (F.col("bound") == F.col("service_id")))
+    meets = F.col("bound").isNull() | (F.col("bound") == F.col("service_id"))
+    # what the bindings grow to: a number per role and service
+    groups = valid.groupBy("role_id", "bound").agg(F.count(F.lit(1)).alias("_n"))
+    perms = small(role_perms)
+    grown = groups.join(perms, "role_id").where(meets).agg(F.sum("_n")).first()[0] or 0
+    # users are dealt out before their bindings grow; rows of one user stay together in what follows, so the grown rows aren't shuffled
+    dealt = valid.repartition(-(-grown // ROWS_AT_ONCE) or 1, "user_id")
+    joined = dealt.join(perms, "role_id").where(meets)
     return joined.groupBy("user_id", "service_id", "permission").agg(F.min("binding_id").alias("binding_id"))
 
 

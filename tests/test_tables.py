@@ -306,6 +306,29 @@ def test_sized_files_are_as_many_as_their_bytes_ask_for(spark):
         assert back.agg(F.count("id"), F.count_distinct("id"), F.min("id"), F.max("id")).first() == (3_000_000, 3_000_000, 0, 2_999_999)
 
 
+def grown_bindings(spark):
+    """40 users with a binding each to a role of 50 permissions."""
+    b = spark.range(40).select(F.col("id").alias("binding_id"), F.col("id").alias("user_id"), F.lit(1).cast("long").alias("role_id"), F.lit(None).cast("long").alias("service_id"), F.lit(None).cast("timestamp").alias("expires_at"))
+    p = spark.range(50).select(F.lit(1).cast("long").alias("role_id"), (F.col("id") % 10).alias("service_id"), F.element_at(F.array(*map(F.lit, ["READ", "WRITE", "ADMIN", "DROP", "LIST"])), (F.col("id") / 10 + 1).cast("int")).alias("permission"))
+    return access.effective(b.unionByName(b.withColumn("binding_id", F.col("binding_id") + 100)), p, F.lit("2024-01-01").cast("timestamp"))
+
+
+def shares(df):
+    """Rows of each task of the result."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_permissions_are_worked_on_so_many_at_once(spark, monkeypatch):
+    """As the bindings grow tasks become more, not larger; grown rows aren't shuffled."""
+    for most, tasks in ((100_000, 1), (200, 20)):
+        monkeypatch.setattr(access, "ROWS_AT_ONCE", most)
+        found = grown_bindings(spark)
+        assert found.select("user_id", "service_id", "permission").distinct().count() == found.count() == 2000
+        assert found.agg(F.min("binding_id"), F.max("binding_id")).first() == (0, 39)
+        assert found._jdf.queryExecution().toRdd().getNumPartitions() == tasks
+        assert max(shares(found)) <= (2000 if tasks == 1 else 500)
+
+
 def test_catalog_helpers(spark):
     tables.ensure_namespace(spark, "shop")
     tables.drop_table(spark, "shop.items")
