@@ -329,6 +329,13 @@ def test_permissions_are_worked_on_so_many_at_once(spark, monkeypatch):
         assert max(shares(found)) <= (2000 if tasks == 1 else 500)
 
 
+def test_rules_are_worked_on_so_many_at_once(spark, monkeypatch):
+    monkeypatch.setattr(access, "ROWS_AT_ONCE", 200)
+    found = access.rules(grown_bindings(spark).drop("binding_id"), {"READ": ["READ", "DESCRIBE"], "WRITE": ["WRITE", "DESCRIBE"]})
+    assert found._jdf.queryExecution().toRdd().getNumPartitions() == 20
+    assert found.count() == found.distinct().count() == 40 * 10 * 3 and max(shares(found)) <= 300
+
+
 def test_catalog_helpers(spark):
     tables.ensure_namespace(spark, "shop")
     tables.drop_table(spark, "shop.items")
