@@ -336,6 +336,14 @@ def test_rules_are_worked_on_so_many_at_once(spark, monkeypatch):
     assert found.count() == found.distinct().count() == 40 * 10 * 3 and max(shares(found)) <= 300
 
 
+def test_grants_are_worked_on_so_many_at_once(spark, monkeypatch):
+    monkeypatch.setattr(access, "ROWS_AT_ONCE", 200)
+    names = spark.createDataFrame([("READ", "Select_priv"), ("WRITE", "Load_priv"), ("DROP", "Drop_priv")], "permission string, privilege string")
+    found = access.grants(grown_bindings(spark), names, "service_id")
+    assert found._jdf.queryExecution().toRdd().getNumPartitions() == 20
+    assert found.count() == 400 and found.where("privileges = 'Drop_priv,Load_priv,Select_priv'").count() == 400 and max(shares(found)) <= 100
+
+
 def test_catalog_helpers(spark):
     tables.ensure_namespace(spark, "shop")
     tables.drop_table(spark, "shop.items")
