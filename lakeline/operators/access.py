@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeline.session import small
+from lakeline.session import few, small
 
 #: About so many permissions, before repeats are taken out, are worked on by one task at a time.
 ROWS_AT_ONCE = 500_000
@@ -21,11 +21,17 @@ def effective(bindings: DataFrame, role_perms: DataFrame, at: Column) -> DataFra
     meets = F.col("bound").isNull() | (F.col("bound") == F.col("service_id"))
     # what the bindings grow to: a number per role and service
     groups = valid.groupBy("role_id", "bound").agg(F.count(F.lit(1)).alias("_n"))
-    perms = small(role_perms)
+    fit = few(role_perms)
+    perms = F.broadcast(role_perms) if fit else role_perms
     grown = groups.join(perms, "role_id").where(meets).agg(F.sum("_n")).first()[0] or 0
-    # users are dealt out before their bindings grow; rows of one user stay together in what follows, so the grown rows aren't shuffled
-    dealt = valid.repartition(-(-grown // ROWS_AT_ONCE) or 1, "user_id")
-    joined = dealt.join(perms, "role_id").where(meets)
+    tasks = -(-grown // ROWS_AT_ONCE) or 1
+    # rows of one user stay together in what follows
+    if fit:
+        # users are dealt out before their bindings grow, so the grown rows aren't shuffled
+        joined = valid.repartition(tasks, "user_id").join(perms, "role_id").where(meets)
+    else:
+        # the join deals bindings out by role, so users are dealt out after it
+        joined = valid.join(perms, "role_id").where(meets).repartition(tasks, "user_id")
     return joined.groupBy("user_id", "service_id", "permission").agg(F.min("binding_id").alias("binding_id"))
 
 

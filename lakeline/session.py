@@ -50,9 +50,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether df has at most so many rows, which are counted."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, which are counted; a larger one is left to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -344,6 +344,31 @@ def test_grants_are_worked_on_so_many_at_once(spark, monkeypatch):
     assert found.count() == 400 and found.where("privileges = 'Drop_priv,Load_priv,Select_priv'").count() == 400 and max(shares(found)) <= 100
 
 
+def many_role_perms(spark):
+    """2000 users with a binding each to one of 11,000 roles, which have ten permissions each: more rows than are sent to every task."""
+    b = spark.range(2000).select(F.col("id").alias("binding_id"), F.col("id").alias("user_id"), (F.col("id") * 5).alias("role_id"), F.lit(None).cast("long").alias("service_id"), F.lit(None).cast("timestamp").alias("expires_at"))
+    p = spark.range(110_000).select((F.col("id") % 11_000).alias("role_id"), ((F.col("id") / 11_000).cast("int") % 2).alias("service_id"), F.element_at(F.array(*map(F.lit, ["READ", "WRITE", "ADMIN", "DROP", "LIST"])), (F.col("id") / 22_000 + 1).cast("int")).alias("permission"))
+    return access.effective(b.unionByName(b.withColumn("binding_id", F.col("binding_id") + 10_000)), p, F.lit("2024-01-01").cast("timestamp"))
+
+
+def tasks_of(spark, df):
+    """Tasks of the result where Spark sends no table to every task by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return df._jdf.queryExecution().toRdd().getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rules_of_many_role_permissions_are_worked_on_so_many_at_once(spark, monkeypatch):
+    """Tasks are as many as the grown rows ask for (40,000), not as the join by role leaves."""
+    monkeypatch.setattr(access, "ROWS_AT_ONCE", 2000)
+    found = access.rules(many_role_perms(spark).drop("binding_id"), {"READ": ["READ", "DESCRIBE"], "WRITE": ["WRITE", "DESCRIBE"]})
+    assert tasks_of(spark, found) == 20
+    assert found.count() == found.distinct().count() == 2000 * 2 * 3 and max(shares(found)) <= 1200
+
+
 def test_catalog_helpers(spark):
     tables.ensure_namespace(spark, "shop")
     tables.drop_table(spark, "shop.items")
