@@ -369,6 +369,14 @@ def test_rules_of_many_role_permissions_are_worked_on_so_many_at_once(spark, mon
     assert found.count() == found.distinct().count() == 2000 * 2 * 3 and max(shares(found)) <= 1200
 
 
+def test_grants_of_many_role_permissions_are_worked_on_so_many_at_once(spark, monkeypatch):
+    monkeypatch.setattr(access, "ROWS_AT_ONCE", 2000)
+    names = spark.createDataFrame([("READ", "Select_priv"), ("WRITE", "Load_priv"), ("DROP", "Drop_priv")], "permission string, privilege string")
+    found = access.grants(many_role_perms(spark), names, "service_id")
+    assert tasks_of(spark, found) == 20
+    assert found.count() == 4000 and found.where("privileges = 'Drop_priv,Load_priv,Select_priv'").count() == 4000 and max(shares(found)) <= 400
+
+
 def test_catalog_helpers(spark):
     tables.ensure_namespace(spark, "shop")
     tables.drop_table(spark, "shop.items")
